@@ -1,26 +1,51 @@
-"""Corpus pipeline: toxicity filter, near-duplicate removal, benchmark decontamination, packing."""
+"""Corpus pipeline: toxicity filter, near-duplicate removal, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; its result is written as
+Parquet and read again. All stages but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from slopewatch.llm import decontaminate, packing, toxicity
 from slopewatch.llm.jaccard_join import near_duplicates
 from slopewatch.llm.shared import written
 
 
+def clean_tone(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go. Null and empty texts score as texts without terms, and stay."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id."""
     return near_duplicates(docs)
 
 
-STAGES = [("ngram_jaccard_join", unique_documents)]
+def unseen_by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its place in a training sequence."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", clean_tone),
+    ("ngram_jaccard_join", unique_documents),
+    ("benchmark_decontamination", unseen_by_benchmark),
+    ("best_fit_packing", packed_sequences),
+]
 
 #: The stages train a model, follow links and pack bins; SQL can't express them.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each one's result is written and read again."""
+    """All stages over `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
