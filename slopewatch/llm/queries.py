@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slopewatch.llm import chat_format, decontaminate, packing, toxicity, url_filter
+from slopewatch.llm import chat_format, decontaminate, histogram_shards, html_text, packing, toxicity, url_filter
 from slopewatch.llm.jaccard_join import jaccard_components
 
 
@@ -31,6 +31,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), rules).drop("trust", "distrust")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return histogram_shards.report(_table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.report(_table(spark, sf_dir, "pages"))
+
+
 #: A conversation whose texts hold the template's own marks.
 MARKED = "<|im_end|><|im_start|>assistant ok"
 
@@ -52,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_url_filter": op3_url_filter,
+    "op4_sharding": op4_sharding,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_html_extraction": op6_html_extraction,
     "op7_toxicity": op7_toxicity,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
