@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slopewatch.llm import ann, chat_format, decontaminate, histogram_shards, html_text, packing, toxicity, url_filter
+from slopewatch.llm import ann, chat_format, decontaminate, histogram_shards, html_text, packing, token_files, toxicity, url_filter
 from slopewatch.llm.jaccard_join import jaccard_components
 
 
@@ -52,6 +52,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_formatting": op5_chat_formatting,
     "op6_html_extraction": op6_html_extraction,
     "op7_toxicity": op7_toxicity,
+    "op8_token_ids": op8_token_ids,
     "op9_approximate_neighbours": op9_approximate_neighbours,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
