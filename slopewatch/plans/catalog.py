@@ -1,9 +1,16 @@
 """All domain queries and the SQL they are held against."""
 
+from __future__ import annotations
+
+from slopewatch.plans import evaluation_queries, panel_queries, rain_queries, routing_queries, sample_queries
+from slopewatch.plans.registry import ORACLE, QUERIES
+
+MODULES = (rain_queries, panel_queries, sample_queries, routing_queries, evaluation_queries)
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLE)
