@@ -1 +1,234 @@
-"""Queries."""
+"""Queries on experts, calibration and routing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from slopewatch.functions import common as c
+from slopewatch.operators import evaluate as ev
+from slopewatch.operators import experts as x
+from slopewatch.plans.registry import query
+
+MODELS = ["persistence", "damped", "trend"]
+VAL = F.col("split") == "val"
+WIDE = "w AS MATERIALIZED (SELECT site_id, seed, start, split, is_fallback, horizon, node_index, y_true, " + ", ".join(f"max(y_pred) FILTER (WHERE model = '{m}') AS {m}" for m in MODELS) + " FROM predictions GROUP BY 1, 2, 3, 4, 5, 6, 7, 8)"
+
+
+def wide(t):
+    return x.wide(t.predictions, MODELS, ["seed", "split", "is_fallback"])
+
+
+@query("r1_persistence", "SELECT site_id, start, horizon, node_index, round(y_pred, 6) AS y_pred, round(y_true, 6) AS y_true FROM predictions WHERE model = 'persistence'")
+def _(t):
+    return x.persistence(t.panel, 12, 5).select("site_id", "start", "horizon", "node_index", "y_pred", "y_true")
+
+
+@query("r2_damped_velocity", "SELECT site_id, horizon, round(avg(y_pred), 6) AS mean_prediction FROM predictions WHERE model = 'damped' GROUP BY 1, 2")
+def _(t):
+    return x.simple_experts(t.panel, 12, 5).where("model = 'damped'").groupBy("site_id", "horizon").agg(F.avg("y_pred").alias("mean_prediction"))
+
+
+@query("s16_pick_variant", "SELECT split, count(*) AS n, round(avg(y_pred), 6) AS mean_prediction FROM predictions WHERE model = 'trend' AND split IN ('val', 'test') GROUP BY 1")
+def _(t):
+    return t.predictions.where("model = 'trend' and split in ('val', 'test')").groupBy("split").agg(F.count("*").alias("n"), F.avg("y_pred").alias("mean_prediction"))
+
+
+@query("s9_completeness", "SELECT site_id, model, count(*) AS n FROM predictions GROUP BY 1, 2 HAVING count(*) <> 67 * 5 * 12")
+def _(t):
+    """No group lacks rows, so both sides are empty."""
+    from slopewatch.sources.tables import complete
+
+    return complete(t.predictions, ["site_id"], MODELS).select("site_id", "model", "n")
+
+
+_GAIN = f"{WIDE}, g AS (SELECT site_id, node_index, least(greatest(sum((damped - persistence) * (y_true - persistence)) / (sum((damped - persistence) * (damped - persistence)) + 1e-6), 0), 1) AS gain FROM w WHERE split = 'val' GROUP BY 1, 2)"
+
+
+@query("a11_node_gain", f"WITH {_GAIN} SELECT site_id, node_index, round(gain, 6) AS gain FROM g")
+def _(t):
+    d = wide(t).where(VAL).withColumn("pd", F.col("damped") - F.col("persistence")).withColumn("td", F.col("y_true") - F.col("persistence"))
+    return x.node_gain(d, ["site_id", "node_index"], "pd", "td")
+
+
+@query("r3_calibrated_choice", f"WITH {_GAIN}, e AS (SELECT w.site_id, split, abs(damped - y_true) AS r, abs(persistence + gain * (damped - persistence) - y_true) AS k FROM w JOIN g ON g.site_id = w.site_id AND g.node_index = w.node_index), v AS (SELECT site_id, sqrt(avg(r * r)) + 0.25 * avg(r) AS raw, sqrt(avg(k * k)) + 0.25 * avg(k) AS cal FROM e WHERE split = 'val' GROUP BY 1) SELECT e.site_id, CASE WHEN any_value(round(cal, 9)) < any_value(round(raw, 9)) THEN 'calibrated' ELSE 'raw' END AS choice, round(avg(CASE WHEN round(cal, 9) < round(raw, 9) THEN k ELSE r END), 6) AS test_mae FROM e JOIN v ON v.site_id = e.site_id WHERE split = 'test' GROUP BY 1")
+def _(t):
+    """Gains and the choice between raw and calibrated come from validation samples; the error from test samples."""
+    d = wide(t).withColumn("pd", F.col("damped") - F.col("persistence")).withColumn("td", F.col("y_true") - F.col("persistence"))
+    g = x.node_gain(d.where(VAL), ["site_id", "node_index"], "pd", "td")
+    e = d.join(g, ["site_id", "node_index"]).select("site_id", "split", F.abs(F.col("damped") - F.col("y_true")).alias("r"), F.abs(F.col("persistence") + F.col("gain") * F.col("pd") - F.col("y_true")).alias("k"))
+    cost = lambda n: F.round(F.sqrt(F.avg(F.col(n) ** 2)) + 0.25 * F.avg(n), 9)
+    v = e.where(VAL).groupBy("site_id").agg((cost("k") < cost("r")).alias("use"))
+    return e.where("split = 'test'").join(v, "site_id").groupBy("site_id", F.when(F.col("use"), "calibrated").otherwise("raw").alias("choice")).agg(F.avg(F.when(F.col("use"), F.col("k")).otherwise(F.col("r"))).alias("test_mae"))
+
+
+@query("r4_best_blend", f"WITH {WIDE}, g AS (SELECT site_id, a.range / 40.0 AS alpha, avg(abs(damped * (a.range / 40.0) + persistence * (1 - a.range / 40.0) - y_true)) AS mae FROM w, range(41) a WHERE split = 'val' GROUP BY 1, 2) SELECT site_id, round(arg_min(alpha, struct_pack(a := round(mae, 9), b := alpha)), 6) AS alpha, round(min(mae), 6) AS mae FROM g GROUP BY 1")
+def _(t):
+    return x.best_blend(wide(t).where(VAL), "damped", "persistence", ["site_id"])
+
+
+@query("r5_rolling_parameters", f"WITH {WIDE}, k AS (SELECT seed, f.fold, al.a, avg(abs(persistence + al.a * (trend - persistence) - y_true)) AS mae FROM w, (VALUES (0, 20, 30), (1, 30, 40), (2, 40, 50), (3, 50, 67)) f(fold, lo, hi), (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) al(a) WHERE start >= lo AND start < hi GROUP BY 1, 2, 3) SELECT seed, round(a, 6) AS a, round(avg(mae), 6) AS mae, count(*) AS folds FROM k GROUP BY 1, 2")
+def _(t):
+    """Four expanding folds and a grid, in one aggregation."""
+    fold = F.when(F.col("start") >= 50, 3).when(F.col("start") >= 40, 2).when(F.col("start") >= 30, 1).when(F.col("start") >= 20, 0)
+    d = wide(t).withColumn("fold", fold).where("fold is not null").withColumn("a", F.explode(F.array(*[F.lit(v) for v in (0.0, 0.25, 0.5, 0.75, 1.0)])))
+    g = d.groupBy("seed", "fold", "a").agg(F.avg(F.abs(F.col("persistence") + F.col("a") * (F.col("trend") - F.col("persistence")) - F.col("y_true"))).alias("mae"))
+    return g.groupBy("seed", "a").agg(F.avg("mae").alias("mae"), F.count("*").alias("folds"))
+
+
+@query("r6_source_bias", "WITH b AS (SELECT site_id, model, is_fallback, least(greatest(avg(y_true - y_pred) * count(*) / (count(*) + 12.0), -1), 1) AS bias FROM predictions WHERE split = 'val' GROUP BY 1, 2, 3) SELECT p.site_id, p.model, round(avg(abs(y_pred + coalesce(bias, 0) - y_true)), 6) AS mae FROM predictions p LEFT JOIN b ON b.site_id = p.site_id AND b.model = p.model AND b.is_fallback = p.is_fallback WHERE split = 'test' GROUP BY 1, 2")
+def _(t):
+    d = x.bias_calibration(t.predictions, VAL, ["site_id", "model", "is_fallback"])
+    return d.where("split = 'test'").groupBy("site_id", "model").agg(F.avg(F.abs(F.col("y_cal") - F.col("y_true"))).alias("mae"))
+
+
+@query("r7_quantile_mapping", """WITH k AS (SELECT site_id, model, quantile_cont(y_pred, [i / 20.0 for i in range(21)]) AS p, quantile_cont(y_true, [i / 20.0 for i in range(21)]) AS tt FROM predictions WHERE split = 'val' GROUP BY 1, 2),
+d AS (SELECT q.*, p, tt, least(greatest(len(list_filter(p, lambda v: v <= y_pred)), 1), 20) AS j FROM predictions q JOIN k ON k.site_id = q.site_id AND k.model = q.model WHERE split = 'test'),
+m AS (SELECT site_id, model, y_true, tt[j] + least(greatest(CASE WHEN p[j + 1] > p[j] THEN (y_pred - p[j]) / (p[j + 1] - p[j]) ELSE 0 END, 0), 1) * (tt[j + 1] - tt[j]) AS y FROM d)
+SELECT site_id, model, round(avg(abs(y - y_true)), 6) AS mae FROM m GROUP BY 1, 2""")
+def _(t):
+    d = x.quantile_map(t.predictions.where("split in ('val', 'test')"), VAL, ["site_id", "model"])
+    return d.where("split = 'test'").groupBy("site_id", "model").agg(F.avg(F.abs(F.col("y_cal") - F.col("y_true"))).alias("mae"))
+
+
+@query("r8_monotone_projection", f"""WITH {WIDE}, v AS (SELECT *, y_true - persistence AS ch, CASE WHEN horizon % 2 = 0 THEN trend - persistence ELSE damped - persistence END AS m FROM w),
+p AS (SELECT *, last_value(m) OVER (u ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l, max(m) OVER (u ROWS UNBOUNDED PRECEDING) AS up, min(m) OVER (u ROWS UNBOUNDED PRECEDING) AS dn FROM v WINDOW u AS (PARTITION BY site_id, start, node_index ORDER BY horizon))
+SELECT site_id, horizon, round(avg(CASE WHEN l >= 0 THEN up ELSE dn END), 6) AS mean_change FROM p GROUP BY 1, 2""")
+def _(t):
+    """Running extremes along the horizon."""
+    d = wide(t).withColumn("y_pred", F.when(F.col("horizon") % 2 == 0, F.col("trend")).otherwise(F.col("damped")))
+    d = x.monotone_projection(d, F.col("persistence"), extra=())
+    return d.groupBy("site_id", "horizon").agg(F.avg(F.col("y_proj") - F.col("persistence")).alias("mean_change"))
+
+
+_SIMPLEX = ", ".join(f"({i}, {a}, {b}, {d})" for i, (a, b, d) in enumerate(x.simplex(3, 5)))
+
+
+@query("r9_convex_stacking", f"WITH {WIDE}, s AS (SELECT site_id, i, a, b, d, avg(abs(a * persistence + b * damped + d * trend - y_true)) AS mae FROM w, (VALUES {_SIMPLEX}) g(i, a, b, d) WHERE split = 'val' GROUP BY 1, 2, 3, 4, 5), m AS (SELECT site_id, arg_min(struct_pack(a := a, b := b, d := d), struct_pack(x := round(mae, 9), y := i)) AS g, min(mae) AS mae FROM s GROUP BY 1) SELECT site_id, round(g.a, 6) AS w_persistence, round(g.b, 6) AS w_damped, round(g.d, 6) AS w_trend, round(mae, 6) AS mae FROM m")
+def _(t):
+    return x.best_stack(wide(t).where(VAL), MODELS, ["site_id"])
+
+
+_LOSS = f"{WIDE}, fe AS (SELECT site_id, start, split, avg(persistence) AS f1, avg(trend - persistence) AS f2, {', '.join(f'avg(abs({m} - y_true)) AS l_{m}' for m in MODELS)} FROM w WHERE split IN ('val', 'test') GROUP BY 1, 2, 3), st AS (SELECT site_id, avg(f1) AS m1, stddev_pop(f1) AS s1, avg(f2) AS m2, stddev_pop(f2) AS s2 FROM fe WHERE split = 'val' GROUP BY 1), fz AS MATERIALIZED (SELECT fe.*, (f1 - m1) / CASE WHEN s1 >= 1e-6 THEN s1 ELSE 1 END AS z1, (f2 - m2) / CASE WHEN s2 >= 1e-6 THEN s2 ELSE 1 END AS z2 FROM fe JOIN st ON st.site_id = fe.site_id)"
+_NN = f"{_LOSS}, nn AS MATERIALIZED (SELECT * FROM (SELECT q.site_id, q.start AS query, p.start AS neighbour, sqrt((q.z1 - p.z1) * (q.z1 - p.z1) + (q.z2 - p.z2) * (q.z2 - p.z2)) AS distance, p.l_persistence, p.l_damped, p.l_trend, row_number() OVER (PARTITION BY q.site_id, q.start ORDER BY round(sqrt((q.z1 - p.z1) * (q.z1 - p.z1) + (q.z2 - p.z2) * (q.z2 - p.z2)), 9), p.start) AS rank FROM fz q JOIN fz p ON p.site_id = q.site_id AND p.split = 'val' AND p.start <> q.start WHERE q.split = 'test') WHERE rank <= 5)"
+
+
+def _losses(t):
+    d = wide(t).where("split in ('val', 'test')")
+    return c.cut(d.groupBy("site_id", "start", "split").agg(F.avg("persistence").alias("f1"), F.avg(F.col("trend") - F.col("persistence")).alias("f2"), *[F.avg(F.abs(F.col(m) - F.col("y_true"))).alias(f"l_{m}") for m in MODELS]).withColumn("key", F.col("start")))
+
+
+@query("j14_feature_neighbours", f"WITH {_NN} SELECT site_id, query, neighbour, CAST(rank AS INT) AS rank, round(distance, 6) AS distance FROM nn")
+def _(t):
+    """The five nearest validation samples of each test sample."""
+    d = _losses(t)
+    return ev.neighbours(d.where("split = 'test'"), d.where(VAL), ["site_id"], ["f1", "f2"], 5)
+
+
+@query("r10_neighbour_gate", f"""WITH {_NN}, g AS (SELECT site_id, query, {", ".join(f"avg(l_{m}) AS l_{m}" for m in MODELS)} FROM nn GROUP BY 1, 2), e AS (SELECT site_id, query, {", ".join(f"exp((least(l_persistence, l_damped, l_trend) - l_{m}) / 0.5) AS e_{m}" for m in MODELS)} FROM g),
+s AS (SELECT site_id, query, {", ".join(f"e_{m} / (e_persistence + e_damped + e_trend) AS g_{m}" for m in MODELS)} FROM e)
+SELECT w.site_id, w.horizon, round(avg(abs(g_persistence * persistence + g_damped * damped + g_trend * trend - y_true)), 6) AS mae FROM w JOIN s ON s.site_id = w.site_id AND s.query = w.start WHERE split = 'test' GROUP BY 1, 2""")
+def _(t):
+    """Expert losses of the nearest validation samples become gate weights that add up to 1."""
+    d = _losses(t)
+    n = ev.neighbours(d.where("split = 'test'"), d.where(VAL), ["site_id"], ["f1", "f2"], 5)
+    pool = d.where(VAL).select("site_id", F.col("start").alias("neighbour"), F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"l_{m}").alias("loss")) for m in MODELS])).alias("x")).select("site_id", "neighbour", "x.*")
+    g = n.join(pool, ["site_id", "neighbour"]).groupBy("site_id", F.col("query").alias("start"), "model").agg(F.avg("loss").alias("loss"))
+    g = g.withColumn("gate", ev.softmax(-F.col("loss"), ["site_id", "start"], 0.5)).drop("loss")
+    mixed = t.predictions.where("split = 'test'").join(g, ["site_id", "start", "model"]).groupBy(*x.CELL, "y_true").agg(F.sum(F.col("gate") * F.col("y_pred")).alias("y"))
+    return mixed.groupBy("site_id", "horizon").agg(F.avg(F.abs(F.col("y") - F.col("y_true"))).alias("mae"))
+
+
+_CAUSAL = f"{_LOSS}, cn AS MATERIALIZED (SELECT * FROM (SELECT q.site_id, q.start AS query, p.start AS neighbour, sqrt((q.z1 - p.z1) * (q.z1 - p.z1) + (q.z2 - p.z2) * (q.z2 - p.z2)) AS distance, row_number() OVER (PARTITION BY q.site_id, q.start ORDER BY round(sqrt((q.z1 - p.z1) * (q.z1 - p.z1) + (q.z2 - p.z2) * (q.z2 - p.z2)), 9), p.start) AS rank FROM fz q JOIN fz p ON p.site_id = q.site_id AND p.split = 'val' AND p.start < q.start) WHERE rank <= 3), cw AS (SELECT *, (1 / greatest(distance, 1e-6)) / sum(1 / greatest(distance, 1e-6)) OVER (PARTITION BY site_id, query) AS weight FROM cn)"
+
+
+@query("j15_causal_neighbours", f"WITH {_CAUSAL} SELECT site_id, query, neighbour, round(weight, 6) AS weight FROM cw")
+def _(t):
+    """Neighbours strictly before the query, with inverse-distance weights; early queries have fewer than three."""
+    d = _losses(t)
+    return ev.inverse_distance(ev.neighbours(d, d.where(VAL), ["site_id"], ["f1", "f2"], 3, causal="start"), ["site_id"]).select("site_id", "query", "neighbour", "weight")
+
+
+@query("j21_leak_check", f"WITH {_CAUSAL} SELECT count(*) AS pairs, count(*) FILTER (WHERE neighbour >= query) AS leaks FROM cw")
+def _(t):
+    d = _losses(t)
+    n = ev.neighbours(d, d.where(VAL), ["site_id"], ["f1", "f2"], 3, causal="start")
+    return n.agg(F.count("*").alias("pairs"), F.count(F.when(F.col("neighbour") >= F.col("query"), 1)).alias("leaks"))
+
+
+@query("r11_analog_correction", f"""WITH {_CAUSAL}, rs AS (SELECT site_id, start, horizon, node_index, y_true - trend AS r FROM w WHERE split = 'val'), co AS (SELECT cw.site_id, query AS start, horizon, node_index, least(greatest(0.5 * sum(weight * r), -2), 2) AS c FROM cw JOIN rs ON rs.site_id = cw.site_id AND rs.start = cw.neighbour GROUP BY 1, 2, 3, 4)
+SELECT w.site_id, round(avg(abs(trend + coalesce(c, 0) - y_true)), 6) AS mae FROM w LEFT JOIN co ON co.site_id = w.site_id AND co.start = w.start AND co.horizon = w.horizon AND co.node_index = w.node_index WHERE split = 'test' GROUP BY 1""")
+def _(t):
+    """Weighted residuals of earlier analogs, shrunk by half and clipped."""
+    d = _losses(t)
+    n = ev.inverse_distance(ev.neighbours(d, d.where(VAL), ["site_id"], ["f1", "f2"], 3, causal="start"), ["site_id"]).select("site_id", "query", "neighbour", "weight")
+    w = wide(t)
+    r = w.where(VAL).select("site_id", F.col("start").alias("neighbour"), "horizon", "node_index", (F.col("y_true") - F.col("trend")).alias("r"))
+    k = n.join(r, ["site_id", "neighbour"]).groupBy("site_id", F.col("query").alias("start"), "horizon", "node_index").agg(c.clip(0.5 * F.sum(F.col("weight") * F.col("r")), -2.0, 2.0).alias("k"))
+    e = w.where("split = 'test'").join(k, x.CELL, "left")
+    return e.groupBy("site_id").agg(F.avg(F.abs(F.col("trend") + F.coalesce("k", F.lit(0.0)) - F.col("y_true"))).alias("mae"))
+
+
+@query("r12_source_switch", f"WITH {WIDE} SELECT seed, split, round(avg(abs(CASE WHEN is_fallback THEN persistence ELSE trend END - y_true)), 6) AS mae FROM w GROUP BY 1, 2")
+def _(t):
+    """R19 routes the same way."""
+    return wide(t).groupBy("seed", "split").agg(F.avg(F.abs(x.switch(F.col("trend"), F.col("persistence"), F.col("is_fallback")) - F.col("y_true"))).alias("mae"))
+
+
+_GRID = f"{WIDE}, es AS (SELECT seed, is_fallback, model, sum(abs(y_pred - y_true)) AS s, count(*) AS n FROM predictions WHERE split = 'val' GROUP BY 1, 2, 3), gr AS (SELECT a.seed, a.model AS official, b.model AS fallback, (a.s + b.s) / (a.n + b.n) AS mae FROM es a JOIN es b ON a.seed = b.seed AND NOT a.is_fallback AND b.is_fallback)"
+
+
+@query("j19_switch_grid", f"WITH {_GRID} SELECT seed, official, fallback, round(mae, 6) AS mae FROM gr")
+def _(t):
+    """All pairs of experts from error sums taken once."""
+    return x.switch_grid(x.grid_errors(wide(t).where(VAL), ["seed"], MODELS, ["is_fallback"]), ["seed"], "is_fallback")
+
+
+@query("v9_strict_protocol", f"WITH {_GRID}, best AS (SELECT arg_min(struct_pack(o := official, f := fallback), struct_pack(m := round(m, 9), o := official, f := fallback)) AS x FROM (SELECT official, fallback, avg(mae) AS m FROM gr GROUP BY 1, 2)), pe AS (SELECT seed, avg(abs(CASE WHEN is_fallback THEN CASE x.f WHEN 'persistence' THEN persistence WHEN 'damped' THEN damped ELSE trend END ELSE CASE x.o WHEN 'persistence' THEN persistence WHEN 'damped' THEN damped ELSE trend END END - y_true)) AS mae FROM w, best WHERE split = 'test' GROUP BY seed) SELECT x.o AS official, x.f AS fallback, round(avg(mae), 6) AS mean_mae, round(stddev_samp(mae), 6) AS std_mae FROM pe, best GROUP BY 1, 2")
+def _(t):
+    """Chosen on validation over all seeds, evaluated once on test."""
+    w = c.cut(wide(t))
+    g = x.switch_grid(x.grid_errors(w.where(VAL), ["seed"], MODELS, ["is_fallback"]), ["seed"], "is_fallback")
+    best = g.groupBy("official", "fallback").agg(F.avg("mae").alias("m")).orderBy(F.round("m", 9), "official", "fallback").limit(1).select("official", "fallback")
+    pick = lambda n: F.coalesce(*[F.when(F.col(n) == m, F.col(m)) for m in MODELS])
+    d = w.where("split = 'test'").join(F.broadcast(best))  # one row
+    per = d.groupBy("official", "fallback", "seed").agg(F.avg(F.abs(x.switch(pick("official"), pick("fallback"), F.col("is_fallback")) - F.col("y_true"))).alias("mae"))
+    return per.groupBy("official", "fallback").agg(F.avg("mae").alias("mean_mae"), F.stddev_samp("mae").alias("std_mae"))
+
+
+_RISK = "(abs(trend - persistence) / (1 + abs(trend - persistence)))"
+
+
+@query("r13_event_switch", f"WITH {WIDE} SELECT g.th, round(avg(abs(CASE WHEN NOT is_fallback THEN trend WHEN {_RISK} >= g.th THEN damped ELSE persistence END - y_true)), 6) AS hard_mae, round(avg(abs(CASE WHEN NOT is_fallback THEN trend ELSE damped / (1 + exp(-8 * ({_RISK} - g.th))) + persistence * (1 - 1 / (1 + exp(-8 * ({_RISK} - g.th)))) END - y_true)), 6) AS soft_mae FROM w, (VALUES (0.2), (0.4), (0.6), (0.8)) g(th) WHERE split = 'val' GROUP BY 1")
+def _(t):
+    """Hard and logistic gates for a grid of thresholds in one pass."""
+    k = F.abs(F.col("trend") - F.col("persistence"))
+    d = wide(t).where(VAL).withColumn("risk", k / (1 + k))
+    rows = []
+    for th in (0.2, 0.4, 0.6, 0.8):
+        hard = x.event_switch(F.col("trend"), F.col("persistence"), F.col("damped"), F.col("is_fallback"), F.col("risk"), th)
+        soft = x.event_switch(F.col("trend"), F.col("persistence"), F.col("damped"), F.col("is_fallback"), F.col("risk"), th, 8.0)
+        rows.append(F.struct(F.lit(th).alias("th"), F.abs(hard - F.col("y_true")).alias("h"), F.abs(soft - F.col("y_true")).alias("s")))
+    return d.select(F.explode(F.array(*rows)).alias("x")).groupBy(F.col("x.th").alias("th")).agg(F.avg("x.h").alias("hard_mae"), F.avg("x.s").alias("soft_mae"))
+
+
+_JSON = '{"coefs": [0.8, -0.04, 0.01], "intercept": -1.5, "features": ["probability", "wetness", "rain"]}'
+
+
+@query("r14_calibrator_apply", "SELECT site_id, date, round(1 / (1 + exp(-(-1.5 + 0.8 * (day(date) / 31.0) - 0.04 * (month(date) / 12.0) + 0.01 * rain_mm))), 6) AS p FROM daily_rain")
+def _(t):
+    """A logistic model kept as JSON."""
+    p = x.calibrator_probability(_JSON, [F.dayofmonth("date") / 31.0, F.month("date") / 12.0, F.col("rain_mm")], ["probability", "wetness", "rain"])
+    return t.daily_rain.select("site_id", "date", p.alias("p"))
+
+
+_TE = f"{WIDE}, te AS (SELECT site_id, start, is_fallback, avg(abs(trend - y_true)) AS selected, avg(abs(CASE WHEN is_fallback THEN damped ELSE trend END - y_true)) AS teacher, avg(CASE WHEN is_fallback THEN 0.5 ELSE 2.0 END) AS raw FROM w WHERE split = 'train' GROUP BY 1, 2, 3)"
+
+
+@query("r17_teacher_export", f"WITH {_TE} SELECT site_id, start, round(100 * (selected - teacher) / greatest(selected, 1e-6), 6) AS gain, round(raw / avg(raw) OVER (PARTITION BY site_id), 6) AS weight FROM te")
+def _(t):
+    """Gains of a routed teacher and weights with a mean of 1 in each site."""
+    d = wide(t).where("split = 'train'")
+    teacher = x.switch(F.col("trend"), F.col("damped"), F.col("is_fallback"))
+    g = d.groupBy("site_id", "start", "is_fallback").agg(F.avg(F.abs(F.col("trend") - F.col("y_true"))).alias("selected"), F.avg(F.abs(teacher - F.col("y_true"))).alias("teacher"), F.avg(x.teacher_weights(d)).alias("raw"))
+    g = c.with_stats(g, ["site_id"], _m=F.avg("raw"))
+    return g.select("site_id", "start", ev.gain(F.col("selected"), F.col("teacher")).alias("gain"), (F.col("raw") / F.col("_m")).alias("weight"))
