@@ -13,17 +13,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Registers f(tables) -> DataFrame. Doubles are rounded to six places on both sides; sql may name the bound views."""
+def query(name: str, sql: str | None = None, places: int = 6):
+    """Registers f(tables) -> DataFrame. Doubles are rounded on both sides, to six places unless means of short decimals end
+    in an exact half there; sql may name the bound views."""
 
     def add(f: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(f(Tables(spark, sf_dir)))
+            return rounded(f(Tables(spark, sf_dir)), places)
 
         run.__doc__ = f.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = with_views(sql)
+            ORACLE[name] = with_views(sql.replace(", 6)", f", {places})"))
         return f
 
     return add

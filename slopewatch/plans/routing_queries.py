@@ -50,7 +50,7 @@ def _(t):
     return x.node_gain(d, ["site_id", "node_index"], "pd", "td")
 
 
-@query("r3_calibrated_choice", f"WITH {_GAIN}, e AS (SELECT w.site_id, split, abs(damped - y_true) AS r, abs(persistence + gain * (damped - persistence) - y_true) AS k FROM w JOIN g ON g.site_id = w.site_id AND g.node_index = w.node_index), v AS (SELECT site_id, sqrt(avg(r * r)) + 0.25 * avg(r) AS raw, sqrt(avg(k * k)) + 0.25 * avg(k) AS cal FROM e WHERE split = 'val' GROUP BY 1) SELECT e.site_id, CASE WHEN any_value(round(cal, 9)) < any_value(round(raw, 9)) THEN 'calibrated' ELSE 'raw' END AS choice, round(avg(CASE WHEN round(cal, 9) < round(raw, 9) THEN k ELSE r END), 6) AS test_mae FROM e JOIN v ON v.site_id = e.site_id WHERE split = 'test' GROUP BY 1")
+@query("r3_calibrated_choice", f"WITH {_GAIN}, e AS (SELECT w.site_id, split, abs(damped - y_true) AS r, abs(persistence + gain * (damped - persistence) - y_true) AS k FROM w JOIN g ON g.site_id = w.site_id AND g.node_index = w.node_index), v AS (SELECT site_id, sqrt(avg(r * r)) + 0.25 * avg(r) AS raw, sqrt(avg(k * k)) + 0.25 * avg(k) AS cal FROM e WHERE split = 'val' GROUP BY 1) SELECT e.site_id, CASE WHEN any_value(round(cal, 9)) < any_value(round(raw, 9)) THEN 'calibrated' ELSE 'raw' END AS choice, round(avg(CASE WHEN round(cal, 9) < round(raw, 9) THEN k ELSE r END), 6) AS test_mae FROM e JOIN v ON v.site_id = e.site_id WHERE split = 'test' GROUP BY 1", places=10)
 def _(t):
     """Gains and the choice between raw and calibrated come from validation samples; the error from test samples."""
     d = wide(t).withColumn("pd", F.col("damped") - F.col("persistence")).withColumn("td", F.col("y_true") - F.col("persistence"))
@@ -61,12 +61,12 @@ def _(t):
     return e.where("split = 'test'").join(v, "site_id").groupBy("site_id", F.when(F.col("use"), "calibrated").otherwise("raw").alias("choice")).agg(F.avg(F.when(F.col("use"), F.col("k")).otherwise(F.col("r"))).alias("test_mae"))
 
 
-@query("r4_best_blend", f"WITH {WIDE}, g AS (SELECT site_id, a.range / 40.0 AS alpha, avg(abs(damped * (a.range / 40.0) + persistence * (1 - a.range / 40.0) - y_true)) AS mae FROM w, range(41) a WHERE split = 'val' GROUP BY 1, 2) SELECT site_id, round(arg_min(alpha, struct_pack(a := round(mae, 9), b := alpha)), 6) AS alpha, round(min(mae), 6) AS mae FROM g GROUP BY 1")
+@query("r4_best_blend", f"WITH {WIDE}, g AS (SELECT site_id, a.range / 40.0 AS alpha, avg(abs(damped * (a.range / 40.0) + persistence * (1 - a.range / 40.0) - y_true)) AS mae FROM w, range(41) a WHERE split = 'val' GROUP BY 1, 2) SELECT site_id, round(arg_min(alpha, struct_pack(a := round(mae, 9), b := alpha)), 6) AS alpha, round(min(mae), 6) AS mae FROM g GROUP BY 1", places=10)
 def _(t):
     return x.best_blend(wide(t).where(VAL), "damped", "persistence", ["site_id"])
 
 
-@query("r5_rolling_parameters", f"WITH {WIDE}, k AS (SELECT seed, f.fold, al.a, avg(abs(persistence + al.a * (trend - persistence) - y_true)) AS mae FROM w, (VALUES (0, 20, 30), (1, 30, 40), (2, 40, 50), (3, 50, 67)) f(fold, lo, hi), (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) al(a) WHERE start >= lo AND start < hi GROUP BY 1, 2, 3) SELECT seed, round(a, 6) AS a, round(avg(mae), 6) AS mae, count(*) AS folds FROM k GROUP BY 1, 2")
+@query("r5_rolling_parameters", f"WITH {WIDE}, k AS (SELECT seed, f.fold, al.a, avg(abs(persistence + al.a * (trend - persistence) - y_true)) AS mae FROM w, (VALUES (0, 20, 30), (1, 30, 40), (2, 40, 50), (3, 50, 67)) f(fold, lo, hi), (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) al(a) WHERE start >= lo AND start < hi GROUP BY 1, 2, 3) SELECT seed, round(a, 6) AS a, round(avg(mae), 6) AS mae, count(*) AS folds FROM k GROUP BY 1, 2", places=10)
 def _(t):
     """Four expanding folds and a grid, in one aggregation."""
     fold = F.when(F.col("start") >= 50, 3).when(F.col("start") >= 40, 2).when(F.col("start") >= 30, 1).when(F.col("start") >= 20, 0)
@@ -75,7 +75,7 @@ def _(t):
     return g.groupBy("seed", "a").agg(F.avg("mae").alias("mae"), F.count("*").alias("folds"))
 
 
-@query("r6_source_bias", "WITH b AS (SELECT site_id, model, is_fallback, least(greatest(avg(y_true - y_pred) * count(*) / (count(*) + 12.0), -1), 1) AS bias FROM predictions WHERE split = 'val' GROUP BY 1, 2, 3) SELECT p.site_id, p.model, round(avg(abs(y_pred + coalesce(bias, 0) - y_true)), 6) AS mae FROM predictions p LEFT JOIN b ON b.site_id = p.site_id AND b.model = p.model AND b.is_fallback = p.is_fallback WHERE split = 'test' GROUP BY 1, 2")
+@query("r6_source_bias", "WITH b AS (SELECT site_id, model, is_fallback, least(greatest(avg(y_true - y_pred) * count(*) / (count(*) + 12.0), -1), 1) AS bias FROM predictions WHERE split = 'val' GROUP BY 1, 2, 3) SELECT p.site_id, p.model, round(avg(abs(y_pred + coalesce(bias, 0) - y_true)), 6) AS mae FROM predictions p LEFT JOIN b ON b.site_id = p.site_id AND b.model = p.model AND b.is_fallback = p.is_fallback WHERE split = 'test' GROUP BY 1, 2", places=10)
 def _(t):
     d = x.bias_calibration(t.predictions, VAL, ["site_id", "model", "is_fallback"])
     return d.where("split = 'test'").groupBy("site_id", "model").agg(F.avg(F.abs(F.col("y_cal") - F.col("y_true"))).alias("mae"))
@@ -92,7 +92,7 @@ def _(t):
 
 @query("r8_monotone_projection", f"""WITH {WIDE}, v AS (SELECT *, y_true - persistence AS ch, CASE WHEN horizon % 2 = 0 THEN trend - persistence ELSE damped - persistence END AS m FROM w),
 p AS (SELECT *, last_value(m) OVER (u ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l, max(m) OVER (u ROWS UNBOUNDED PRECEDING) AS up, min(m) OVER (u ROWS UNBOUNDED PRECEDING) AS dn FROM v WINDOW u AS (PARTITION BY site_id, start, node_index ORDER BY horizon))
-SELECT site_id, horizon, round(avg(CASE WHEN l >= 0 THEN up ELSE dn END), 6) AS mean_change FROM p GROUP BY 1, 2""")
+SELECT site_id, horizon, round(avg(CASE WHEN l >= 0 THEN up ELSE dn END), 6) AS mean_change FROM p GROUP BY 1, 2""", places=10)
 def _(t):
     """Running extremes along the horizon."""
     d = wide(t).withColumn("y_pred", F.when(F.col("horizon") % 2 == 0, F.col("trend")).otherwise(F.col("damped")))
@@ -103,7 +103,7 @@ def _(t):
 _SIMPLEX = ", ".join(f"({i}, {a}, {b}, {d})" for i, (a, b, d) in enumerate(x.simplex(3, 5)))
 
 
-@query("r9_convex_stacking", f"WITH {WIDE}, s AS (SELECT site_id, i, a, b, d, avg(abs(a * persistence + b * damped + d * trend - y_true)) AS mae FROM w, (VALUES {_SIMPLEX}) g(i, a, b, d) WHERE split = 'val' GROUP BY 1, 2, 3, 4, 5), m AS (SELECT site_id, arg_min(struct_pack(a := a, b := b, d := d), struct_pack(x := round(mae, 9), y := i)) AS g, min(mae) AS mae FROM s GROUP BY 1) SELECT site_id, round(g.a, 6) AS w_persistence, round(g.b, 6) AS w_damped, round(g.d, 6) AS w_trend, round(mae, 6) AS mae FROM m")
+@query("r9_convex_stacking", f"WITH {WIDE}, s AS (SELECT site_id, i, a, b, d, avg(abs(a * persistence + b * damped + d * trend - y_true)) AS mae FROM w, (VALUES {_SIMPLEX}) g(i, a, b, d) WHERE split = 'val' GROUP BY 1, 2, 3, 4, 5), m AS (SELECT site_id, arg_min(struct_pack(a := a, b := b, d := d), struct_pack(x := round(mae, 9), y := i)) AS g, min(mae) AS mae FROM s GROUP BY 1) SELECT site_id, round(g.a, 6) AS w_persistence, round(g.b, 6) AS w_damped, round(g.d, 6) AS w_trend, round(mae, 6) AS mae FROM m", places=10)
 def _(t):
     return x.best_stack(wide(t).where(VAL), MODELS, ["site_id"])
 
@@ -168,7 +168,7 @@ def _(t):
     return e.groupBy("site_id").agg(F.avg(F.abs(F.col("trend") + F.coalesce("k", F.lit(0.0)) - F.col("y_true"))).alias("mae"))
 
 
-@query("r12_source_switch", f"WITH {WIDE} SELECT seed, split, round(avg(abs(CASE WHEN is_fallback THEN persistence ELSE trend END - y_true)), 6) AS mae FROM w GROUP BY 1, 2")
+@query("r12_source_switch", f"WITH {WIDE} SELECT seed, split, round(avg(abs(CASE WHEN is_fallback THEN persistence ELSE trend END - y_true)), 6) AS mae FROM w GROUP BY 1, 2", places=10)
 def _(t):
     """R19 routes the same way."""
     return wide(t).groupBy("seed", "split").agg(F.avg(F.abs(x.switch(F.col("trend"), F.col("persistence"), F.col("is_fallback")) - F.col("y_true"))).alias("mae"))
@@ -177,7 +177,7 @@ def _(t):
 _GRID = f"{WIDE}, es AS (SELECT seed, is_fallback, model, sum(abs(y_pred - y_true)) AS s, count(*) AS n FROM predictions WHERE split = 'val' GROUP BY 1, 2, 3), gr AS (SELECT a.seed, a.model AS official, b.model AS fallback, (a.s + b.s) / (a.n + b.n) AS mae FROM es a JOIN es b ON a.seed = b.seed AND NOT a.is_fallback AND b.is_fallback)"
 
 
-@query("j19_switch_grid", f"WITH {_GRID} SELECT seed, official, fallback, round(mae, 6) AS mae FROM gr")
+@query("j19_switch_grid", f"WITH {_GRID} SELECT seed, official, fallback, round(mae, 6) AS mae FROM gr", places=10)
 def _(t):
     """All pairs of experts from error sums taken once."""
     return x.switch_grid(x.grid_errors(wide(t).where(VAL), ["seed"], MODELS, ["is_fallback"]), ["seed"], "is_fallback")
