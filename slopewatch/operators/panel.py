@@ -24,7 +24,7 @@ def long_panel(wide: DataFrame, ids: Sequence[str]) -> DataFrame:
     if len(names) < 20:
         raise ValueError(f"a panel needs 20 acquisitions; {len(names)} columns are left besides {list(ids)}")
     place = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    d = wide.unpivot(list(ids), names, "label", "disp")
+    d = wide.unpivot(list(ids), [f"`{n}`" for n in names], "label", "disp")
     return d.select(*ids, place[F.col("label")].cast("long").alias("t"), F.to_date(F.regexp_replace("label", r"\.\d+$", "")).alias("date"), F.when(~F.isnan("disp"), F.col("disp")).alias("disp"))
 
 

@@ -13,18 +13,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def nudge(places: int) -> float:
+    """Added before rounding on both sides: means of short decimals often end in an exact half, which would fall either way."""
+    return 0.017 * 10.0**-places
+
+
 def query(name: str, sql: str | None = None, places: int = 6):
-    """Registers f(tables) -> DataFrame. Doubles are rounded on both sides, to six places unless means of short decimals end
-    in an exact half there; sql may name the bound views."""
+    """Registers f(tables) -> DataFrame. Doubles are rounded on both sides, to six places by default; sql may name
+    the bound views."""
 
     def add(f: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(f(Tables(spark, sf_dir)), places)
+            return rounded(f(Tables(spark, sf_dir)), places, nudge(places))
 
         run.__doc__ = f.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = with_views(sql.replace(", 6)", f", {places})"))
+            ORACLE[name] = with_views(sql.replace(", 6)", f" + {nudge(places)!r}, {places})"))
         return f
 
     return add
