@@ -10,7 +10,7 @@ from slopewatch.operators import experts as x
 from slopewatch.plans.registry import query
 
 MODELS = ["persistence", "damped", "trend"]
-VAL = F.col("split") == "val"
+VAL = "split = 'val'"
 WIDE = "w AS MATERIALIZED (SELECT site_id, seed, start, split, is_fallback, horizon, node_index, y_true, " + ", ".join(f"max(y_pred) FILTER (WHERE model = '{m}') AS {m}" for m in MODELS) + " FROM predictions GROUP BY 1, 2, 3, 4, 5, 6, 7, 8)"
 
 
