@@ -298,3 +298,30 @@ def normalised_laplacian(edges: DataFrame) -> DataFrame:
     return d.select("site_id", "src", "dst", (F.when(F.col("src") == F.col("dst"), 1.0).otherwise(0.0) - F.col("w") / F.sqrt(F.col("g0") * F.col("g1"))).alias("value"))
 
 
+
+
+def mdl_segmentation(d: DataFrame, by: Sequence[str], values: Sequence[str], penalty: float = 10.0, least: int = 5, rounds: int = 8) -> DataFrame:
+    """(by, t): greedy splits of a many-valued series while the best split's gain exceeds max(0.5, penalty / 10) * values * ln T.
+
+    The gain of a split is the sum over the values of the drop of n * ln(variance) / 2. A series without a worthwhile
+    split stops; all series are cut at once, a round each.
+    """
+    found = None
+    d = cut(d.select(*by, "t", *values, F.lit(0).cast("long").alias("_segment")))
+    w, whole = Window.partitionBy(*by, "_segment").orderBy("t"), Window.partitionBy(*by, "_segment")
+    length = Window.partitionBy(*by)
+    for _ in range(rounds):
+        p = d.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(whole), "T": F.count("*").over(length)})
+        total = F.lit(0.0)
+        for c in values:
+            s, q, ws, wq = F.sum(c).over(w), F.sum(F.col(c) ** 2).over(w), F.sum(c).over(whole), F.sum(F.col(c) ** 2).over(whole)
+            code = lambda n, s, q: n / 2 * F.log(F.greatest(q / n - (s / n) ** 2, F.lit(1e-6)))
+            total = total + code(F.col("n"), ws, wq) - code(F.col("i"), s, q) - code(F.col("n") - F.col("i"), ws - s, wq - q)
+        p = p.where("n > i").withColumn("gain", total - max(0.5, penalty / 10) * len(values) * F.log("T"))
+        p = p.where((F.col("i") >= least) & (F.col("n") - F.col("i") >= least) & (F.col("gain") > 1e-9))
+        one = cut(p.groupBy(*by).agg(F.max_by(F.struct("_segment", (F.col("t") + 1).alias("t")), F.struct(F.round("gain", 6), "t")).alias("x")).select(*by, F.col("x._segment").alias("_cut"), F.col("x.t").alias("_at")))
+        if one.isEmpty():
+            break
+        found = one if found is None else found.union(one)
+        d = cut(d.join(one, list(by), "left").withColumn("_segment", F.when((F.col("_segment") == F.col("_cut")) & (F.col("t") >= F.col("_at")), F.col("_at")).otherwise(F.col("_segment"))).drop("_cut", "_at"))
+    return (found if found is not None else one).select(*by, F.col("_at").alias("t"))

@@ -48,7 +48,7 @@ def _(t):
 @query("e15_multiscale_features", f"""WITH {_GROUP}, dec AS (SELECT site_id, t, absolute - avg(absolute) OVER (PARTITION BY site_id ORDER BY t ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS x FROM grp),
 z AS (SELECT d.site_id, d.t, (x - m) / CASE WHEN mad * 1.4826 >= 1e-6 THEN mad * 1.4826 WHEN s >= 1e-6 THEN s ELSE 1 END AS z FROM dec d JOIN
  (SELECT d.site_id, m, s, quantile_cont(abs(x - m), 0.5) AS mad FROM dec d JOIN (SELECT site_id, quantile_cont(x, 0.5) AS m, stddev_pop(x) AS s FROM dec GROUP BY 1) q ON q.site_id = d.site_id GROUP BY 1, 2, 3) q ON q.site_id = d.site_id)
-SELECT site_id, t, round(z, 6) AS rain_disturbance_z, """ + ", ".join(f"round(coalesce(lag(z, {k}) OVER (PARTITION BY site_id ORDER BY t), 0), 6) AS gate_lag{k}" for k in (1, 3, 6)) + " FROM z")
+SELECT site_id, t, round(z, 6) AS rain_disturbance_z, """ + ", ".join(f"round(coalesce(lag(z,{k}) OVER (PARTITION BY site_id ORDER BY t), 0), 6) AS gate_lag{k}" for k in (1, 3, 6)) + " FROM z")
 def _(t):
     """Robust z-scores of the disturbance and their lags, 0 before the start."""
     d = p.decomposed(p.group_increments(t.panel), ["site_id"], "absolute")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from slopewatch.functions import common as c
 from slopewatch.operators import rain
-from slopewatch.plans.registry import query
+from slopewatch.plans.registry import nudge, query
 
 _PRE = (3, 7, 15, 30, 45, 60)
 _SUMS = ", ".join(
@@ -54,7 +54,7 @@ def _(t):
 
 @query("t2_top_candidates", f"WITH {CANDIDATES} SELECT site_id, date, round(event_selection_score, 6) AS event_selection_score FROM cand ORDER BY round(event_selection_score, 6) DESC, site_id, date LIMIT 20")
 def _(t):
-    d = rain.event_candidates(rain.rain_background(t.daily_rain)).select("site_id", "date", F.round("event_selection_score", 6).alias("event_selection_score"))
+    d = rain.event_candidates(rain.rain_background(t.daily_rain)).select("site_id", "date", F.round(F.col("event_selection_score") + nudge(6), 6).alias("event_selection_score"))
     return d.orderBy(F.desc("event_selection_score"), "site_id", "date").limit(20)
 
 
