@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,8 @@ def query(name: str, sql: str | None = None, places: int = 6):
         run.__doc__ = f.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = with_views(sql.replace(", 6)", f" + {nudge(places)!r}, {places})"))
+            # `round(x, 6)` gets the nudge; the end of a list of grouped columns is left alone
+            ORACLE[name] = with_views(re.sub(r"(GROUP BY [\d, ]+)?, 6\)", lambda m: m[0] if m[1] else f" + {nudge(places)!r}, {places})", sql))
         return f
 
     return add
