@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopewatch.llm.shared import rolling
+from slopewatch.llm.shared import aside, rolling
 
 WIDTH = 10
 #: Bytes of benchmark text that may be broadcast; a larger benchmark is refused, to be scanned for in parts.
@@ -168,9 +168,10 @@ def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", width: int = WIDTH) -> DataFrame:
     """docs without contaminated documents, or (remove="spans") with the hit spans cut out of their texts. Columns stay."""
+    held, own = aside(docs, ["_words", "_hits", "_items", "_clean"])
     if remove == "documents":
-        return scan(docs, benchmark, width).where("_hits = 0").select(*docs.columns)
+        return scan(held, benchmark, width).where("_hits = 0").select(*own)
     if remove != "spans":
         raise ValueError(f"remove is documents or spans, not {remove!r}")
-    found = scan(docs, benchmark, width, with_text=True)
-    return found.select(*(F.col("_clean").alias("text") if c == "text" else c for c in docs.columns))
+    found = scan(held, benchmark, width, with_text=True)
+    return found.select(*(F.col("_clean").alias("text") if c == "text" else o for c, o in zip(docs.columns, own, strict=True)))

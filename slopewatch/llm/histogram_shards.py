@@ -14,10 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopewatch.llm.shared import written
+from slopewatch.llm.shared import aside, written
 
 SHARDS = 24
 #: Bytes of a sorting bucket, of which a shard has several; at most MOST_BUCKETS in all.
@@ -107,7 +107,7 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = T
 
     Shards are near equal in bytes: each splitter misses its target by the tolerance or by one row at most, unless
     rows agree in text and id: those stay together. Null texts are a group of equal texts. An empty table gives no
-    rows. The columns _key and _bucket are not allowed in docs; all others are carried through the one exchange.
+    rows. All columns are carried through the one exchange; columns named shard or slot are replaced.
     """
     # ids, hashes and sizes only: the rounds read this narrow table, the texts are read once more for the exchange
     keys = written(docs.select(sort_key().alias("key"), row_size().alias("size")), "shard-keys")
@@ -121,12 +121,11 @@ def histogram_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = T
     rows = np.concatenate([[0], s.rows])
     first = rows - rows[(np.arange(len(rows)) // s.per_shard) * s.per_shard]
     place = docs.sparkSession.createDataFrame(pa.table({"_bucket": np.arange(len(rows), dtype=np.int32), "shard": (np.arange(len(rows)) // s.per_shard).astype(np.int32), "_first": first}))
-    dealt = docs.withColumn("_key", sort_key()).withColumn("_bucket", bucket("_key"))
-    from pyspark.sql import Window
-
+    held, own = aside(docs.drop("shard", "slot"), ["_key", "_bucket", "_at", "_first"])
+    dealt = held.withColumn("_key", sort_key()).withColumn("_bucket", bucket("_key"))
     at = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", "doc_id"))
     numbered = dealt.repartition("_bucket").withColumn("_at", at).join(F.broadcast(place), "_bucket")  # at most MOST_BUCKETS rows
-    return numbered.select(*docs.columns, "shard", (F.col("_first") + F.col("_at") - 1).cast("long").alias("slot"))
+    return numbered.select(*own, "shard", (F.col("_first") + F.col("_at") - 1).cast("long").alias("slot"))
 
 
 def report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

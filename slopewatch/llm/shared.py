@@ -52,6 +52,16 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def aside(df: DataFrame, taken: list[str]) -> tuple[DataFrame, list[Column]]:
+    """df with its columns renamed where they clash with `taken`, and what selects them again under their own names."""
+    used = {t.lower() for t in taken}
+    names = []
+    for i, c in enumerate(df.columns):
+        names.append(f"_own_{i}" if c.lower() in used else c)
+    own = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.select(*[own(c).alias(n) for c, n in zip(df.columns, names, strict=True)]), [own(n).alias(c) for c, n in zip(df.columns, names, strict=True)]
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen last; bounded."""
 

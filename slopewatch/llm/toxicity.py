@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopewatch.llm.decontaminate import words_of
-from slopewatch.llm.shared import WordHashes, small_or_shuffled, written
+from slopewatch.llm.shared import WordHashes, aside, small_or_shuffled, written
 
 #: Columns that terms are hashed to, as a power of two.
 BITS = 18
@@ -137,7 +137,8 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs whose score is below the threshold. Columns stay."""
-    return score(docs, fit(docs, labels)).where(F.col("_score") < threshold).select(*docs.columns)
+    held, own = aside(docs, ["_score"])
+    return score(held, fit(docs, labels)).where(F.col("_score") < threshold).select(*own)
 
 
 def crc_remainder(doc_id: int) -> int:

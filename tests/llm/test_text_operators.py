@@ -27,7 +27,7 @@ def sentence(n):
 def documents(spark, texts, ids=None, extra=False):
     rows = [(i, t, "en", "s", len(t or "")) for i, t in zip(ids or range(len(texts)), texts, strict=True)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    return d.withColumns({"_words": F.lit(1), "count": F.lit("x")}) if extra else d
+    return d.withColumns({n: F.lit("x") for n in ("_words", "_hits", "_score", "_rid", "_key", "_at", "rid", "cls", "slot", "count")}) if extra else d
 
 
 # decontamination
@@ -62,7 +62,7 @@ def test_decontamination_equals_the_plain_search(spark):
 
 def test_decontamination_removes_documents_or_spans(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
-    docs = documents(spark, ["keep One, TWO; three! me", "clean", None, "clean"])
+    docs = documents(spark, ["keep One, TWO; three! me", "clean", None, "clean"], extra=True)
     assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [1, 2, 3]
     spans = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, "spans").collect()}
     assert spans == {0: "keep ! me", 1: "clean", 2: None, 3: "clean"}
