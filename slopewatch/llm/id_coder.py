@@ -17,69 +17,63 @@ import numpy as np
 #: Ids of a block, at most; small segments get shorter blocks, so that at least LANES are coded side by side.
 BLOCK, LANES, LEAST = 2048, 256, 256
 #: Slots of the three tables of predictions, as powers of two; counts are halved above LIMIT.
-SLOTS, LIMIT, STEP = (12, 11, 12), 1000, 24
+SLOTS, LIMIT, STEP = (10, 9, 9), 1000, 24
 MAGIC = b"CMR1"
 _WORD, _32 = np.uint64(1 << 32), np.uint64(32)
 _PREFIX = (0, 1, 17, 273)
 
 
 class _Mixer:
-    """The predictions of all lanes."""
+    """The predictions of all lanes; arrays of three rows have one for each order."""
 
     def __init__(self, lanes: int) -> None:
-        self.lane16 = np.arange(lanes) * 16
-        self.tables = [np.ones((lanes << bits, 16), np.uint16) for bits in SLOTS]
-        self.totals = [np.full(lanes << bits, 16, np.int32) for bits in SLOTS]
-        self.base = [np.arange(lanes) << bits for bits in SLOTS]
-        self.weight = np.full((2, lanes, 1), 8, np.int32)
-        self.before = np.zeros((2, lanes), np.int64)
-        self.context = [np.zeros(lanes, np.int64)] * 3
+        sizes = np.array([lanes << bits for bits in SLOTS])
+        self.table = np.ones((sizes.sum(), 16), np.uint16)
+        self.flat = self.table.reshape(-1)
+        self.total = np.full(sizes.sum(), 16, np.int32)
+        self.base = np.stack([(np.arange(lanes) << bits) + start for bits, start in zip(SLOTS, sizes.cumsum() - sizes, strict=True)])
+        self.mask = np.array([[(1 << bits) - 1] for bits in SLOTS])
+        self.weight = np.full((3, lanes, 1), 8, np.uint16)
+        self.weight[0] = 2
+        self.context = np.zeros((3, lanes), np.int64)
+        self.last = np.zeros(lanes, np.int64)
 
     def predict(self, k: int, prefix: np.ndarray) -> np.ndarray:
-        """Mixed frequencies of digit k of an id; prefix are the digits before it."""
-        node = (prefix + _PREFIX[k]) * 0x9E3779B1
-        self.rows = []
-        for h, base, bits in zip(self.context, self.base, SLOTS, strict=True):
-            h = h + node
-            h ^= h >> 15
-            h *= 0x2C1B3C6D
-            h >>= 12
-            h &= (1 << bits) - 1
-            h += base
-            self.rows.append(h)
-        self.found = [t.take(r, axis=0) for t, r in zip(self.tables, self.rows, strict=True)]
-        f = self.found[1] * self.weight[0]
-        f += self.found[2] * self.weight[1]
-        f += self.found[0]
-        f += self.found[0]
+        """Mixed frequencies of digit k of an id, digits by lanes; prefix are the digits before it."""
+        h = self.context + (prefix + _PREFIX[k]) * 0x9E3779B1
+        h ^= h >> 15
+        h *= 0x2C1B3C6D
+        h >>= 12
+        h &= self.mask
+        h += self.base
+        self.rows = h
+        self.found = self.table.take(h, axis=0)
+        f = np.multiply(self.found, self.weight, dtype=np.uint16).sum(axis=0, dtype=np.uint16)
         f += 2
-        return f
+        return f.T.astype(np.int32)
 
     def learn(self, k: int, digit: np.ndarray) -> None:
-        at = self.lane16 + digit
-        if k in (0, 3):  # an order that foresaw the digit better than order 0 gains weight
-            seen = [f.ravel().take(at).astype(np.int32) for f in self.found]
-            total = [t.take(r) for t, r in zip(self.totals, self.rows, strict=True)]
-            for j in (1, 2):
-                better = seen[j] * total[0] > seen[0] * total[j]
-                w = self.weight[j - 1][:, 0]
-                w += better
-                w += better
-                w -= 1
-                np.clip(w, 1, 16, out=w)
-        for t, n, r in zip(self.tables, self.totals, self.rows, strict=True):
-            t.reshape(-1)[r * 16 + digit] += STEP
-            m = n.take(r) + STEP
-            n[r] = m
-            if m.max() > LIMIT:
-                full = r[m > LIMIT]
-                t[full] = half = (t[full] >> 1) + 1
-                n[full] = half.sum(axis=1, dtype=np.int32)
+        at = self.rows * 16
+        at += digit
+        total = self.total.take(self.rows)
+        if k == 1:  # an order that foresaw the digit better than order 0 gains weight
+            seen = self.flat.take(at).astype(np.int32)
+            better = seen[1:] * total[0] > seen[0] * total[1:]
+            w = self.weight[1:, :, 0]
+            w[better & (w < 16)] += 2
+            w[w > 1] -= 1
+        self.flat[at] += STEP
+        total += STEP
+        self.total[self.rows] = total
+        if total.max() > LIMIT:
+            full = self.rows[total > LIMIT]
+            self.table[full] = half = (self.table[full] >> 1) + 1
+            self.total[full] = half.sum(axis=1, dtype=np.int32)
 
     def pass_on(self, ids: np.ndarray) -> None:
-        one = (ids + 1) * 0x85EBCA6B
-        self.context = [self.context[0], one, one + (self.before[0] + 1) * 0xC2B2AE35]
-        self.before[0] = ids
+        self.context[1] = one = (ids + 1) * 0x85EBCA6B
+        self.context[2] = one + (self.last + 1) * 0xC2B2AE35
+        self.last = ids
 
 
 def _settled(low: np.ndarray, span: np.ndarray) -> np.ndarray:
@@ -103,7 +97,7 @@ def encode(ids: np.ndarray) -> bytes:
     flat[:n] = ids
     grid[:] = flat.reshape(lanes, block).T if n else 0
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
-    mixer, outs, heads = _Mixer(lanes), [], []
+    mixer, lane, outs, heads = _Mixer(lanes), np.arange(lanes), [], []
 
     def emit(at: np.ndarray) -> None:
         x = low[at]
@@ -116,12 +110,12 @@ def encode(ids: np.ndarray) -> bytes:
         prefix = np.zeros(lanes, np.int64)
         for k in range(4):
             digit = token >> 4 * (3 - k) & 15
-            f = mixer.predict(k, prefix)
-            c = f.cumsum(axis=1)
-            at = mixer.lane16 + digit
+            f = np.ascontiguousarray(mixer.predict(k, prefix))
+            c = f.cumsum(axis=0, dtype=np.int32)
+            at = digit * lanes + lane
             size = f.ravel().take(at)
             under = (c.ravel().take(at) - size).astype(np.uint64)
-            span //= c[:, 15].astype(np.uint64)
+            span //= c[15].astype(np.uint64)
             low += under * span
             span *= size.astype(np.uint64)
             if k & 1:
@@ -159,16 +153,16 @@ def decode(data: bytes) -> np.ndarray:
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, np.uint64(0xFFFFFFFFFFFFFFFF))
     code = body[at] << _32 | body[at + 1]
     at += 2
-    mixer, grid = _Mixer(lanes), np.zeros((block, lanes), np.int64)
+    mixer, lane, grid = _Mixer(lanes), np.arange(lanes), np.zeros((block, lanes), np.int64)
     for t in range(block):
         prefix = np.zeros(lanes, np.int64)
         for k in range(4):
-            f = mixer.predict(k, prefix)
-            c = f.cumsum(axis=1)
-            span //= c[:, 15].astype(np.uint64)
+            f = np.ascontiguousarray(mixer.predict(k, prefix))
+            c = f.cumsum(axis=0, dtype=np.int32)
+            span //= c[15].astype(np.uint64)
             where = ((code - low) // span).astype(np.int64)
-            digit = np.minimum((c <= where[:, None]).sum(axis=1), 15)
-            i = mixer.lane16 + digit
+            digit = np.minimum((c <= where).sum(axis=0, dtype=np.int64), 15)
+            i = digit * lanes + lane
             size = f.ravel().take(i)
             low += (c.ravel().take(i) - size).astype(np.uint64) * span
             span *= size.astype(np.uint64)

@@ -21,7 +21,7 @@ from slopewatch.llm.id_coder import decode, encode
 from slopewatch.llm.shared import small_or_shuffled, written
 
 #: Ids of a segment, at least (the last of a part has what is left); a document is never divided.
-SEGMENT = 1_500_000
+SEGMENT = 1_000_000
 #: The end id that follows each document.
 END = 2
 
@@ -29,7 +29,7 @@ END = 2
 class Encoder:
     """Ids of texts by a tokenizer that never joins what blanks or line feeds divide; so pieces between them are encoded once."""
 
-    LIMIT = 1_500_000
+    LIMIT = 250_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
