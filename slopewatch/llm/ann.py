@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by learned partitions.
 
 A sample's neighbour graph is cut into balanced partitions (few neighbours are separated), and a small classifier
-learns to name a vector's partition. All vectors are indexed in their two most probable partitions; a query is routed
-to several most probable ones and reranked there by exact inner products in double precision.
+learns to name a vector's partition. All vectors are indexed in their most probable partition; a query is routed to
+several most probable ones and reranked there by exact inner products in double precision. The number of partitions
+doesn't grow with the table: large partitions are dealt into cells instead, so that what a query returns from its
+partitions stays in proportion to the queries.
 """
 
 from __future__ import annotations
@@ -21,11 +23,11 @@ from slopewatch.llm.shared import small_or_shuffled, written
 #: Vectors that partitions are learned from, at most; chosen by hash of the id. Everything is indexed.
 SAMPLE = 8_192
 #: Neighbours in the sample's graph, vectors for each partition, and partitions at most.
-NEIGHBOURS, PER_PARTITION, MOST_PARTITIONS = 10, 1_000, 256
+NEIGHBOURS, PER_PARTITION, MOST_PARTITIONS = 10, 100, 20
 #: Share of all partitions that a query is routed to, and at least so many.
-PROBE_SHARE, LEAST_PROBES = 0.45, 4
-#: Partitions that each vector is indexed in.
-SPILL = 2
+PROBE_SHARE, LEAST_PROBES = 0.75, 4
+#: Partitions that each vector is indexed in; more of them cost as many times the rows.
+SPILL = 1
 #: Vectors and queries that meet in one task at a time.
 CELL_VECTORS, CELL_QUERIES = 20_000, 2_000
 
@@ -38,7 +40,7 @@ def valid(df: DataFrame, column: str) -> DataFrame:
 
 
 def matrix(column: pa.Array | pd.Series) -> np.ndarray:
-    return np.array([np.asarray(x, np.float64) for x in column]).reshape(len(column), -1)
+    return np.array([np.asarray(x, np.float64) for x in column]).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def neighbour_graph(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
