@@ -131,6 +131,11 @@ def draw(perm: Column, item: Column, seed: int, span: Column | int) -> Column:
     return F.pmod(perm * 7919 + item * 104729 + seed * 31 + (perm * item) % 8191 * 131, span)
 
 
+def drawn(perm, item, seed: int, span: int):
+    """The same number as draw(), of NumPy's integers."""
+    return (perm * 7919 + item * 104729 + seed * 31 + (perm * item) % 8191 * 131) % span
+
+
 def rounded(df: DataFrame, places: int = 6, nudge: float = 0.0) -> DataFrame:
     """All doubles rounded, after `nudge` is added; -0.0 becomes 0.0."""
     return df.select(*[(F.round(F.col(c) + nudge, places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])

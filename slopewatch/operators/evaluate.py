@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopewatch.functions.common import draw, with_stats
+from slopewatch.functions.common import draw, drawn, with_stats
 
 
 def scopes(susceptibility: DataFrame, q: float = 0.6) -> DataFrame:
@@ -116,22 +118,50 @@ def node_response(events: DataFrame, change_points: DataFrame, nodes: DataFrame,
 
     events: site_id, threshold_level, lag_days, date (windows of lag_days from date on; one change point counts once).
     Returns site_id, threshold_level, lag_days, profile, node_index, observed, baseline, lift, p_value, for all nodes:
-    zero counts count. Drawn windows meet change points by day, never the panel.
+    zero counts count. A site's windows of one level and lag meet its change points in one group, whose drawn windows
+    are never rows: a change point is hit if a window begins on one of the lag_days days before it, or on its own.
     """
     keys = ["site_id", "threshold_level", "lag_days"]
-    e = events.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("date")).cast("long")).select(*keys, "_k", "date")
-    perm = e.withColumn("perm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(permutations).cast("long"))))
-    begin = F.when(F.col("perm") == 0, F.datediff("date", F.lit(first_day).cast("date"))).otherwise(draw(F.col("perm"), F.col("_k"), seed, F.lit(days) - F.col("lag_days")))
-    w = perm.withColumn("_b", begin.cast("int")).withColumn("day", F.explode(F.sequence(F.col("_b"), F.col("_b") + F.col("lag_days")))).select(*keys, "perm", "day").distinct()
-    c = change_points.select("site_id", "node_index", "profile", F.datediff("date", F.lit(first_day).cast("date")).alias("day"))
-    hits = w.join(c, ["site_id", "day"]).groupBy(*keys, "profile", "node_index", "perm").agg(F.count("*").alias("hits"))
-    g = hits.groupBy(*keys, "profile", "node_index").agg(F.coalesce(F.max(F.when(F.col("perm") == 0, F.col("hits"))), F.lit(0)).alias("observed"), F.coalesce(F.sum(F.when(F.col("perm") > 0, F.col("hits"))), F.lit(0)).alias("_sum"), F.array_compact(F.collect_list(F.when(F.col("perm") > 0, F.col("hits")))).alias("_all"))
+    day = F.datediff("date", F.lit(first_day).cast("date")).alias("day")
+    kinds = dict(events.dtypes) | {f"node_{k}": v for k, v in nodes.dtypes}
+    c = events.select(*keys).distinct().join(change_points.select("site_id", "node_index", "profile", day), "site_id")
+    c = c.select(*[F.col(k).alias(f"_{k}") for k in keys], "node_index", "profile", "day")  # the groups' columns under names of their own
+
+    def task(key, e, c):
+        return pd.DataFrame(drawn_hits(e["day"].to_numpy(), c, int(key[2]), days, permutations, seed)).assign(**dict(zip(keys, key, strict=True)))[[*keys, "profile", "node_index", "observed", "_sum", "_reached"]]
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", profile string, node_index {kinds['node_node_index']}, observed long, _sum long, _reached long"
+    g = events.select(*keys, day).groupBy(*keys).cogroup(c.groupBy(*[f"_{k}" for k in keys])).applyInPandas(task, schema)
     grid = events.select(*keys).distinct().join(nodes.select("site_id", "node_index"), "site_id").join(F.broadcast(change_points.sparkSession.range(1).select(F.explode(F.array(F.lit("strict"), F.lit("medium"))).alias("profile"))))
-    d = grid.join(g, [*keys, "profile", "node_index"], "left").fillna({"observed": 0, "_sum": 0})
-    reached = F.coalesce(F.size(F.filter("_all", lambda h: h >= F.col("observed"))), F.lit(0))
-    reached = F.when(F.col("observed") == 0, permutations).otherwise(reached)
+    d = grid.join(g, [*keys, "profile", "node_index"], "left").fillna({"observed": 0, "_sum": 0, "_reached": permutations})
     base = F.col("_sum") / permutations
-    return d.select(*keys, "profile", "node_index", F.col("observed").cast("long").alias("observed"), base.alias("baseline"), (F.col("observed") / F.greatest(base, F.lit(1e-6))).alias("lift"), ((reached + 1) / (permutations + 1)).alias("p_value"))
+    return d.select(*keys, "profile", "node_index", "observed", base.alias("baseline"), (F.col("observed") / F.greatest(base, F.lit(1e-6))).alias("lift"), ((F.col("_reached") + 1) / (permutations + 1)).alias("p_value"))
+
+
+def drawn_hits(begins: np.ndarray, c: pd.DataFrame, lag: int, days: int, permutations: int, seed: int, block: int = 20_000) -> dict[str, np.ndarray]:
+    """Of each profile and node of c (day, profile, node_index): change points hit by the windows that begin on the days
+    `begins`, hits by as many drawn windows over all permutations, and in how many permutations these are as many."""
+    c = c.sort_values(["profile", "node_index"], kind="stable")
+    begins, span = np.sort(begins), days - lag
+    perm, item = np.arange(1, permutations + 1)[:, None], np.arange(1, len(begins) + 1)[None, :]
+    at = drawn(perm, item, seed, span) + (perm - 1) * span
+    upto = np.zeros((permutations, span + 1), np.int32)
+    np.cumsum(np.bincount(at.ravel(), minlength=permutations * span).reshape(permutations, span), axis=1, out=upto[:, 1:])
+    day = c["day"].to_numpy()
+    own = np.searchsorted(begins, day, "right") > np.searchsorted(begins, day - lag, "left")
+    first = np.flatnonzero(~c.duplicated(["profile", "node_index"]).to_numpy())
+    ends = np.append(first[1:], len(c))
+    out = {"profile": c["profile"].to_numpy()[first], "node_index": c["node_index"].to_numpy()[first], "observed": np.zeros(len(first), np.int64), "_sum": np.zeros(len(first), np.int64), "_reached": np.zeros(len(first), np.int64)}
+    i = 0
+    while i < len(first):  # whole nodes, about `block` change points at once
+        j = max(i + 1, int(np.searchsorted(ends, first[i] + block, "right")))
+        part = slice(first[i], ends[j - 1])
+        hit = upto[:, np.clip(day[part] + 1, 0, span)] > upto[:, np.clip(day[part] - lag, 0, span)]
+        hits = np.add.reduceat(hit, first[i:j] - first[i], axis=1, dtype=np.int64)
+        out["observed"][i:j] = np.add.reduceat(own[part], first[i:j] - first[i], dtype=np.int64)
+        out["_sum"][i:j], out["_reached"][i:j] = hits.sum(axis=0), (hits >= out["observed"][i:j]).sum(axis=0)
+        i = j
+    return out
 
 
 def susceptibility_scores(response: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -158,10 +158,10 @@ def assign_levels(events: DataFrame, least: int = 3, active_count: int = 1) -> D
     return d.withColumn("event_class", kind)
 
 
-def threshold_events(rain: DataFrame, lags: Sequence[int] = (3, 7, 15)) -> DataFrame:
+def threshold_events(rain: DataFrame, lags: Sequence[int] = (3, 7, 15, 30)) -> DataFrame:
     """(site_id, threshold_level, date, lag_days, window_end): each day at each level that it passes, with each lag window."""
     d = rain.join(thresholds(rain), "site_id").where("rain_mm > 0")
-    levels = F.array(*[F.when(F.col("rain_mm") >= F.col(p), F.lit(p)) for p in ("P75", "P90", "P95")])
+    levels = F.array(*[F.when(F.col("rain_mm") >= F.col(p), F.lit(p)) for p in ("P50", "P75", "P90", "P95")])
     d = d.select("site_id", "date", F.explode(F.array_compact(levels)).alias("threshold_level")).withColumn("lag_days", F.explode(F.array(*map(F.lit, lags))))
     return d.withColumn("window_end", F.date_add("date", F.col("lag_days")))
 

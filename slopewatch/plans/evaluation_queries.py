@@ -190,6 +190,9 @@ def _(t):
     return ev.permutation_p(_lagged(t).where("lag = 1"), ["site_id"], "x", "y", "t")
 
 
+#: Drawn sets of windows for each level and lag.
+PERMUTATIONS = 300
+
 _NR = f"""WITH {rq._THR}, te AS (SELECT r.site_id, r.date, CASE WHEN rain_mm >= P95 THEN 'P95' END AS threshold_level FROM daily_rain r JOIN thr USING (site_id) WHERE rain_mm > 0 AND rain_mm >= P95),
 ev AS (SELECT site_id, threshold_level, g.lag AS lag_days, date, row_number() OVER (PARTITION BY site_id, g.lag ORDER BY date) AS k FROM te, (VALUES (3), (7)) g(lag)),
 wi AS (SELECT DISTINCT site_id, threshold_level, lag_days, p.range AS perm, CASE WHEN p.range = 0 THEN date_diff('day', DATE '1995-01-02', date) ELSE {_DRAW('p.range', 'k', '(2499 - lag_days)')} END + d.range AS day FROM ev, range(0, 21) p, range(0, 8) d WHERE d.range <= lag_days),
@@ -201,8 +204,9 @@ nr AS MATERIALIZED (SELECT e.site_id, e.threshold_level, e.lag_days, v.profile,
 
 
 def _response(t):
-    e = rain.threshold_events(t.daily_rain, (3, 7)).where("threshold_level = 'P95'").select("site_id", "threshold_level", "lag_days", "date")
-    return ev.node_response(e, t.change_points, t.nodes, "1995-01-02", 2499)
+    """All levels, lags and permutations of the survey's E10; the statement above covers P95, lags 3 and 7 and 20 draws only."""
+    e = rain.threshold_events(t.daily_rain).select("site_id", "threshold_level", "lag_days", "date")
+    return ev.node_response(e, t.change_points, t.nodes, "1995-01-02", 2499, PERMUTATIONS)
 
 
 @query("e10_node_response", f"{_NR} SELECT site_id, threshold_level, lag_days, profile, node_index, observed, round(baseline, 6) AS baseline, round(lift, 6) AS lift, round(p_value, 6) AS p_value FROM nr")
