@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,21 +152,39 @@ def climatology_fill(origins: DataFrame, rain: DataFrame, leads: int = 15, half:
     return d.select("site_id", "origin_date", "lead", "valid_date", F.greatest(value, F.lit(0.0)).alias("forecast_rain_mm"))
 
 
-def analog_fill(origins: DataFrame, rain: DataFrame, k: int = 5, leads: int = 15, sums: Sequence[int] = (3, 7, 15, 30), step: int = 7) -> DataFrame:
+def analog_fill(origins: DataFrame, rain: DataFrame, k: int = 5, leads: int = 15, sums: Sequence[int] = (3, 7, 15, 30), least: int = 20) -> DataFrame:
     """(site_id, origin_date, lead, forecast_rain_mm): mean of the rain that followed the k earlier days most like the origin.
 
     Likeness: distance of the sums over the days before, each over its spread, and half the seasonal distance.
-    Candidate days are every `step`-th day of the same site whose leads end before the origin.
+    Candidates are all days of the same site that have the longest sum's days before them and whose leads end before
+    the origin. Origins with fewer than `least` candidates get no rows. A site's days meet its origins in one group;
+    pairs are never rows.
     """
     w = lambda n: Window.partitionBy("site_id").orderBy("date").rowsBetween(-n, -1)
+    names = [f"s{n}" for n in sums]
     f = rain.select("site_id", "date", *[F.coalesce(F.sum("rain_mm").over(w(n)), F.lit(0.0)).alias(f"s{n}") for n in sums])
     f = with_stats(f, SITE, **{f"_d{n}": F.stddev_pop(f"s{n}") for n in sums})
-    f = f.select("site_id", "date", F.dayofyear("date").alias("doy"), *[(F.col(f"s{n}") / F.greatest(f"_d{n}", F.lit(1e-6))).alias(f"s{n}") for n in sums])
-    o = origins.join(f.withColumnRenamed("date", "origin_date"), ["site_id", "origin_date"])
-    c = f.where(F.pmod(F.unix_date("date"), F.lit(step)) == 0).select("site_id", F.col("date").alias("cand"), F.col("doy").alias("cdoy"), *[F.col(f"s{n}").alias(f"c{n}") for n in sums])
-    p = o.join(c, "site_id").where(F.expr(f"date_add(cand, {leads}) < origin_date"))
-    season = F.least(F.abs(F.col("doy") - F.col("cdoy")), 366 - F.abs(F.col("doy") - F.col("cdoy"))) / 183.0
-    p = p.withColumn("d", sum((F.abs(F.col(f"s{n}") - F.col(f"c{n}")) for n in sums), 0.5 * season))
-    near = p.withColumn("r", F.row_number().over(Window.partitionBy("site_id", "origin_date").orderBy(F.round("d", 9), "cand"))).where(F.col("r") <= k)
-    days = near.select("site_id", "origin_date", "cand", F.explode(F.sequence(F.lit(1), F.lit(leads))).alias("lead")).withColumn("date", F.expr("date_add(cand, lead)"))
+    f = f.select("site_id", F.unix_date("date").alias("day"), F.dayofyear("date").alias("doy"), *[(F.col(f"s{n}") / F.greatest(f"_d{n}", F.lit(1e-6))).alias(f"s{n}") for n in sums])
+    o = origins.select(F.col("site_id").alias("_site"), F.unix_date("origin_date").alias("origin")).distinct()
+
+    def task(key, f, o):
+        f = f.sort_values("day")
+        day, doy, s = f["day"].to_numpy(), f["doy"].to_numpy(), [f[n].to_numpy() for n in names]
+        first = int(np.searchsorted(day, day[0] + max(sums))) if len(day) else 0
+        found = []
+        for origin in o["origin"].to_numpy():
+            at, last = int(np.searchsorted(day, origin)), int(np.searchsorted(day, origin - leads))
+            if at == len(day) or day[at] != origin or last - first < least:
+                continue
+            c = slice(first, last)
+            apart = np.abs(doy[at] - doy[c])
+            d = 0.5 * np.minimum(apart, 366 - apart) / 183.0
+            for x in s:
+                d = d + np.abs(x[at] - x[c])
+            found += [(key[0], origin, x) for x in day[c][np.argsort(np.round(d, 9), kind="stable")[:k]]]
+        return pd.DataFrame(found, columns=["site_id", "origin", "cand"])
+
+    near = f.groupBy("site_id").cogroup(o.groupBy("_site")).applyInPandas(task, f"site_id {dict(origins.dtypes)['site_id']}, origin int, cand int")
+    near = near.select("site_id", F.date_from_unix_date("origin").alias("origin_date"), "cand")
+    days = near.select("site_id", "origin_date", F.explode(F.sequence(F.lit(1), F.lit(leads))).alias("lead"), "cand").withColumn("date", F.date_from_unix_date(F.col("cand") + F.col("lead")))
     return days.join(rain, ["site_id", "date"]).groupBy("site_id", "origin_date", "lead").agg(F.avg("rain_mm").alias("forecast_rain_mm"))

@@ -116,7 +116,7 @@ _MISS = "miss AS (SELECT site_id, origin_date FROM samples s WHERE start % 6 = 0
 
 def _missing(t):
     have = t.forecast.select("site_id", F.col("issue_date").alias("origin_date")).distinct()
-    return t.samples.where("start % 6 = 0").select("site_id", "origin_date").join(have, ["site_id", "origin_date"], "left_anti")
+    return t.samples.select("site_id", "origin_date").join(have, ["site_id", "origin_date"], "left_anti")
 
 
 @query("m10_climatology_fill", f"""WITH {_MISS}, l AS (SELECT m.*, CAST(g.range AS INT) AS lead, CAST(origin_date + to_days(CAST(g.range AS INTEGER)) AS DATE) AS valid_date FROM miss m, range(1, 16) g),

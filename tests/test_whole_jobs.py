@@ -4,10 +4,11 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from slopewatch.operators import evaluate as ev
-from slopewatch.operators import rain
+from slopewatch.operators import rain, samples
 
 DAY = dt.date(2000, 1, 1)
 
@@ -45,3 +46,36 @@ def test_response_query_covers_all_levels_lags_and_draws(spark):
     rows = catalog.queries()["e10_node_response"](spark, "/root/testdata/sf0.001").collect()
     assert {(r.threshold_level, r.lag_days) for r in rows} == {(p, g) for p in ("P50", "P75", "P90", "P95") for g in (3, 7, 15, 30)}
     assert min(r.p_value for r in rows) < 1 / 21
+
+
+def test_analogs_are_the_nearest_of_all_earlier_days(spark):
+    rnd = random.Random(3)
+    mm = [float(rnd.choice([0, 0, 0, 1, 4, 11])) for _ in range(120)]
+    r = spark.createDataFrame([(1, day(i), x) for i, x in enumerate(mm)], "site_id long, date date, rain_mm double")
+    origins = (40, 64, 65, 90, 119)
+    o = spark.createDataFrame([(1, day(i)) for i in origins], "site_id long, origin_date date")
+    got = {((x.origin_date - DAY).days, x.lead): x.forecast_rain_mm for x in samples.analog_fill(o, r).collect()}
+    sums = {n: np.array([sum(mm[max(0, i - n) : i]) for i in range(120)]) for n in (3, 7, 15, 30)}
+    want = {}
+    for origin in origins:
+        candidates = range(30, origin - 15)  # 30 days before, 15 leads that end before the origin
+        if len(candidates) < 20:
+            continue
+        far = lambda c, o=origin: round(sum(abs(s[o] - s[c]) / s.std() for s in sums.values()) + 0.5 * (o - c) / 183.0, 9)
+        best = sorted(candidates, key=lambda c: (far(c), c))[:5]
+        want |= {(origin, lead): sum(mm[c + lead] for c in best) / 5 for lead in range(1, 16)}
+    assert got.keys() == want.keys() == {(i, lead) for i in (65, 90, 119) for lead in range(1, 16)}
+    assert all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_every_origin_without_a_forecast_is_filled(spark):
+    from slopewatch.plans import catalog
+    from slopewatch.plans.bindings import Tables
+
+    sf = "/root/testdata/sf0.001"
+    t = Tables(spark, sf)
+    have = {(r.site_id, r.issue_date) for r in t.forecast.collect()}
+    missing = {(r.site_id, r.origin_date) for r in t.samples.collect()} - have
+    for name in ("m10_climatology_fill", "m11_analog_fill"):
+        rows = catalog.queries()[name](spark, sf).collect()
+        assert {(r.site_id, r.origin_date) for r in rows} == missing and len(rows) == 15 * len(missing)
