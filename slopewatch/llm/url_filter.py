@@ -7,13 +7,19 @@ is the share of its pages that the rules judge so. All of it are DataFrame opera
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopewatch.llm.shared import ascii_lower, small_or_shuffled, written
 
 DAMPING = 0.85
+#: Rounds of spread() where no tolerance is given.
 ROUNDS = 12
+#: judge() spreads until the changes of a round, summed up over all hosts, are below this. Each later round changes at
+#: most DAMPING times as much, so no host's trust or distrust is further than 6 tolerances from the limit.
+TOLERANCE = 1e-6
 #: A host is blocked if its distrust is so far above its trust; 1 is what a host has whose pages all are blocked.
 MARGIN = 0.5
 
@@ -46,19 +52,24 @@ def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return fit.groupBy(hosts["host"]).agg(F.collect_set(found).alias("rules"))
 
 
-def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) from (host, trust, distrust) and (src, dst, n), in units of a fully seeded lone host."""
+def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING, tolerance: float | None = None) -> DataFrame:
+    """(host, trust, distrust) from (host, trust, distrust) and (src, dst, n), in units of a fully seeded lone host.
+
+    With a tolerance, `rounds` doesn't count: rounds follow until the sums of absolute changes of trust and of distrust are below it.
+    """
     outward = edges.groupBy("src").agg(F.sum("n").alias("out"))
     inward = edges.groupBy("dst").agg(F.sum("n").alias("in"))
     e = written(edges.join(outward, "src").join(inward, "dst").select("src", "dst", (F.col("n") / F.col("out")).alias("w_out"), (F.col("n") / F.col("in")).alias("w_in")), "url-edges")
     now = seeds
     if e.isEmpty():
         return now
-    for _ in range(rounds):
+    for k in count():
+        if tolerance is None and k == rounds:
+            break
         trust = e.join(now.select(F.col("host").alias("src"), "trust"), "src").select(F.col("dst").alias("host"), (F.col("trust") * F.col("w_out")).alias("t"), F.lit(0.0).alias("d"))
         doubt = e.join(now.select(F.col("host").alias("dst"), "distrust"), "dst").select(F.col("src").alias("host"), F.lit(0.0).alias("t"), (F.col("distrust") * F.col("w_in")).alias("d"))
         got = trust.union(doubt).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        now = written(
+        last, now = now, written(
             seeds.alias("s").join(got.alias("g"), "host", "full").select(
                 "host",
                 (F.coalesce("s.trust", F.lit(0.0)) + damping * F.coalesce("g.t", F.lit(0.0))).alias("trust"),
@@ -66,9 +77,18 @@ def spread(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: fl
             ),
             "url-scores",
         )
+        if tolerance is not None and changed(last, now) < tolerance:
+            break
     return now
 
 
+def changed(last: DataFrame, now: DataFrame) -> float:
+    """Sum of absolute changes over all hosts, of trust or of distrust, whichever is more."""
+    d = now.join(last.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d")), "host", "left")
+    total = lambda c, old: F.coalesce(F.sum(F.abs(F.col(c) - F.coalesce(old, F.lit(0.0)))), F.lit(0.0))
+    return max(d.agg(total("trust", "t"), total("distrust", "d")).first())
+
+
 def judge(pages: DataFrame, rules: DataFrame, margin: float = MARGIN) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 
@@ -86,7 +106,7 @@ def judge(pages: DataFrame, rules: DataFrame, margin: float = MARGIN) -> DataFra
     judged = judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("ruled"))
     share = lambda v: F.avg(F.coalesce((F.col("ruled") == v).cast("double"), F.lit(0.0)))
     seeds = written(judged.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "url-seeds")
-    scores = written(spread(seeds, host_edges(pages.select(host_of(F.col("url")).alias("host"), "html"))), "url-scores")
+    scores = written(spread(seeds, host_edges(pages.select(host_of(F.col("url")).alias("host"), "html")), tolerance=TOLERANCE), "url-scores")
     blocked = F.coalesce(F.col("distrust") - F.col("trust") >= margin, F.lit(False)) & (F.col("host") != "")
     return judged.join(small_or_shuffled(scores), "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(blocked, "block").otherwise("allow")).alias("verdict"), "trust", "distrust"
