@@ -84,7 +84,7 @@ _CPS = "cpl AS (SELECT site_id, list_sort(list(DISTINCT t)) AS cps FROM change_p
 @query("w11_stages", f"""WITH {_CPS}, x AS (SELECT s.site_id, m.range AS t, list_filter(cps, lambda q: q <= m.range) AS b, list_filter(cps, lambda q: q > m.range) AS a FROM cpl s, range(83) m)
 SELECT site_id, t, CAST(len(b) AS INT) AS stage_id, t - coalesce(list_max(b), 0) AS since_last_cp, coalesce(list_min(a), 83) - t AS until_next_cp, CAST(least(coalesce(t - list_max(b), 1073741824), coalesce(list_min(a) - t, 1073741824)) <= 1 AS INT) AS near_cpd FROM x""")
 def _(t):
-    cps = t.change_points.where("profile = 'strict' and node_index = 0").groupBy("site_id").agg(F.sort_array(F.collect_set("t")).alias("cps"))
+    cps = t.change_points.where("profile = 'strict'").groupBy("site_id").agg(F.sort_array(F.collect_set("t")).alias("cps"))
     d = cps.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(82).cast("long"))))
     return d.select("site_id", "t", *[x.alias(n) for n, x in p.stage_columns(F.col("t"), F.col("cps"), F.lit(83)).items()])
 
@@ -96,7 +96,7 @@ _STAGES = f"{_CPS}, stg AS (SELECT s.site_id, m.range AS t, len(list_filter(cps,
 per AS (SELECT site_id, node_index, stage_id, arg_max(disp, t) - arg_min(disp, t) AS total, avg(step) AS step, count(*) AS n, min(date) AS f, max(date) AS l FROM d GROUP BY 1, 2, 3)
 SELECT site_id, CAST(stage_id AS INT) AS stage_id, max(n) AS length, min(f) AS first_date, max(l) AS last_date, round(avg(total), 6) AS mean_total, round(avg(step), 6) AS mean_step FROM per GROUP BY 1, 2""")
 def _(t):
-    cps = t.change_points.where("profile = 'strict' and node_index = 0").groupBy("site_id").agg(F.sort_array(F.collect_set("t")).alias("cps"))
+    cps = t.change_points.where("profile = 'strict'").groupBy("site_id").agg(F.sort_array(F.collect_set("t")).alias("cps"))
     d = cps.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(82).cast("long"))))
     return p.stage_kinematics(t.panel, d.select("site_id", "t", p.stage_columns(F.col("t"), F.col("cps"), F.lit(83))["stage_id"].alias("stage_id")))
 
@@ -104,7 +104,7 @@ def _(t):
 @query("a10_stage_histogram", f"WITH {_STAGES} SELECT s.split, CAST(stage_id AS INT) AS stage_id, count(*) AS n FROM samples s JOIN stg g ON g.site_id = s.site_id AND g.t = s.start + 16 GROUP BY 1, 2")
 def _(t):
     """M5: the stage at the last target of a sample."""
-    cps = t.change_points.where("profile = 'strict' and node_index = 0").groupBy("site_id").agg(F.sort_array(F.collect_set("t")).alias("cps"))
+    cps = t.change_points.where("profile = 'strict'").groupBy("site_id").agg(F.sort_array(F.collect_set("t")).alias("cps"))
     d = t.samples.join(cps, "site_id").withColumn("stage_id", F.size(F.filter("cps", lambda x: x <= F.col("start") + 16)))
     return d.groupBy("split", "stage_id").agg(F.count("*").alias("n"))
 
@@ -164,8 +164,8 @@ def _(t):
 @query("c6_quantile_fallback", """WITH cp AS (SELECT DISTINCT site_id, t FROM change_points WHERE profile = 'strict' AND node_index = 0 AND site_id % 2 = 0)
 SELECT site_id, t FROM cp UNION ALL SELECT site_id, CAST(floor(83 * q) AS BIGINT) AS t FROM sites, (VALUES (0.25), (0.5), (0.75)) v(q) WHERE site_id NOT IN (SELECT site_id FROM cp)""")
 def _(t):
-    cp = t.change_points.where("profile = 'strict' and node_index = 0 and site_id % 2 = 0").select("site_id", "t").distinct()
-    series = t.panel.where("node_index = 0")
+    cp = t.change_points.where("profile = 'strict'").select("site_id", "t").distinct()
+    series = t.panel.select("site_id", "t").distinct()
     return p.quantile_fallback(cp, series, ["site_id"])
 
 
