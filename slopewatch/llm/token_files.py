@@ -7,12 +7,14 @@ and the ids as the coder in `id_coder` writes them. Segments hold whole document
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,34 +23,92 @@ from slopewatch.llm.id_coder import decode, encode
 from slopewatch.llm.shared import small_or_shuffled, written
 
 #: Ids of a segment, at least (the last of a part has what is left); a document is never divided.
-SEGMENT = 1_000_000
+SEGMENT = 8_000_000
+#: Bytes of texts that are encoded together, about.
+TOGETHER = 4_000_000
 #: The end id that follows each document.
 END = 2
 
 
+def _classes() -> np.ndarray:
+    """Of each byte: 0 blanks that divide pieces, 1 letters, 2 digits, 3 other plain signs, 4 what makes a piece not plain."""
+    out = np.full(256, 4, np.uint8)
+    out[33:127] = 3
+    out[[10, 32]], out[[39, 124]] = 0, 4
+    out[48:58] = 2
+    out[65:91] = out[97:123] = 1
+    return out
+
+
 class Encoder:
-    """Ids of texts by a tokenizer that never joins what blanks or line feeds divide; so pieces between them are encoded once."""
+    """Ids of texts by a tokenizer that lower-cases, and never joins what blanks or line feeds divide: each distinct part is encoded once.
+
+    Pieces between blanks of plain ASCII are divided into the tokenizer's words here (letters, single digits, runs of
+    other signs), and each word is encoded by the tokenizer's model. All other pieces go through the whole tokenizer.
+    Apostrophes begin words of their own, and a bar may belong to a special token: such pieces aren't plain.
+    """
 
-    LIMIT = 250_000
+    LIMIT = 400_000
+    CLASS, PLAIN = _classes(), re.compile(rb"[!-&(-{}~]+")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {"": ()}
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set(chain.from_iterable(pieces)) - self.known.keys())
-        if len(self.known) + len(new) > self.LIMIT:
-            self.known = {"": ()}
-            new = list(set(chain.from_iterable(pieces)) - self.known.keys())
-        for a in range(0, len(new), 10_000):
-            part = new[a : a + 10_000]
-            for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[x] = tuple(e.ids)
-        get = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, p)), np.int64) for p in pieces]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.found, self.starts = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+
+    def learn(self, new: list[bytes]) -> None:
+        """Ids of words and pieces, after those known."""
+        model, plain = self.tokenizer.model, self.PLAIN.fullmatch
+        ids = [array("H", [t.id for t in model.tokenize(x.decode())]).tobytes() if plain(x) else b"" for x in new]
+        others = [k for k, x in enumerate(new) if not plain(x)]
+        for a in range(0, len(others), 10_000):
+            part = others[a : a + 10_000]
+            for k, e in zip(part, self.tokenizer.encode_batch_fast([new[k].decode() for k in part], add_special_tokens=False), strict=True):
+                ids[k] = array("H", e.ids).tobytes()
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        self.found = np.concatenate([self.found, np.frombuffer(b"".join(ids), np.uint16)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Of UTF-8 texts, which are taken together: a few megabytes at a time."""
+        joined = np.frombuffer(b"\n".join([b"", *texts]), np.uint8)
+        kind = self.CLASS[joined]
+        first = np.empty(len(kind), bool)
+        first[:1], first[1:] = False, kind[1:] != kind[:-1]
+        first |= kind == 2
+        upper = (joined - np.uint8(65)) < 26
+        if (odd := np.flatnonzero(kind == 4)).size:
+            piece = np.cumsum(kind == 0)
+            bad = np.zeros(piece[-1] + 1, bool)
+            bad[piece[odd]] = True
+            whole = bad[piece]
+            upper &= ~whole
+            after = np.concatenate([[False], kind[:-1] == 0])
+            first = np.where(whole, after, first)
+        kept = kind != 0
+        first &= kept
+        data = (joined | (upper.view(np.uint8) << 5))[kept]
+        at = np.flatnonzero(first[kept]).astype(np.int32)
+        n = len(at)
+        words = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(at, np.int32(len(data)))), pa.py_buffer(data)]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        if len(self.known) + len(distinct) > self.LIMIT:
+            self.forget()
+        if new := [x for x in distinct if x not in self.known]:
+            self.learn(new)
+        numbers = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+        starts = self.starts[numbers]
+        sizes = self.starts[numbers + 1] - starts
+        ends = np.cumsum(sizes)
+        out = self.found[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if n else 0)]
+        until = np.searchsorted(np.flatnonzero(first), np.cumsum([len(t) + 1 for t in texts]) + 1)  # words before each text's end
+        return np.split(out, np.concatenate([[0], ends])[until[:-1]]) if texts else []
 
 
 def segments(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
@@ -57,18 +117,20 @@ def segments(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator
     docs, held, total = [], [], 0
 
     def row() -> pa.RecordBatch:
-        data = encode(np.concatenate(held) if held else np.zeros(0, np.int64))
+        data = encode(np.concatenate(held))
         return pa.RecordBatch.from_arrays(
             [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([total], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(x) for x in held]], pa.list_(pa.int64())), pa.array([data], pa.binary())],
             names=["part", "number", "n_tokens", "doc_ids", "lengths", "ids"],
         )
 
     for batch in batches:
-        for a in range(0, batch.num_rows, 200):
-            ids, texts = batch.column(0).slice(a, 200).to_pylist(), batch.column(1).slice(a, 200).to_pylist()
-            for doc, found in zip(ids, encoder.ids([t or "" for t in texts]), strict=True):
-                docs.append(doc)
-                held.append(np.append(found, end))
+        texts = batch.column(1).fill_null("").cast(pa.large_binary())
+        ids = batch.column(0).to_pylist()
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // TOGETHER
+        for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(size)) + 1):
+            for i, found in zip(part.tolist(), encoder.ids([texts[i].as_py() for i in part.tolist()]), strict=True):
+                docs.append(ids[i])
+                held.append(np.append(found, np.uint16(end)))
                 total += len(held[-1])
                 if total >= SEGMENT:
                     yield row()
