@@ -24,7 +24,7 @@ import numpy as np
 #: Ids of a block, at most; small segments get shorter blocks, so that at least LANES are coded side by side.
 BLOCK, LANES, LEAST = 16_384, 256, 256
 #: Ids are below this.
-ALPHABET = 65_535
+ALPHABET = 1 << 16
 #: Places of a lane in the tables of candidates (orders 2 and 1), as powers of two, and the states of a place.
 PLACES, STATES = (12, 11), 8
 #: Chances of outcomes and of ids in whole numbers of these totals, as powers of two; those of a lane's own ids are multiples of 1 << FINE.
@@ -72,7 +72,7 @@ class _Model:
 
     def __init__(self, lanes: int) -> None:
         self.lanes, self.lane = lanes, np.arange(lanes)
-        self.places = np.full(sum(lanes << bits for bits in PLACES), ALPHABET, np.uint32)  # no id has this number
+        self.places = np.full(sum(lanes << bits for bits in PLACES), ALPHABET - 1, np.uint32)  # a place not used yet names the last id
         starts = (0, lanes << PLACES[0])
         self.base = np.stack([(self.lane << bits) + start for bits, start in zip(PLACES, starts, strict=True)])
         self.slot = np.zeros(lanes << 16, np.uint16)  # of each lane's ids: 0 if not had yet, else their number

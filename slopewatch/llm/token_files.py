@@ -127,8 +127,8 @@ def segments(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator
         texts = batch.column(1).fill_null("").cast(pa.large_binary())
         ids = batch.column(0).to_pylist()
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // TOGETHER
-        for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(size)) + 1):
-            for i, found in zip(part.tolist(), encoder.ids([texts[i].as_py() for i in part.tolist()]), strict=True):
+        for rows in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(size)) + 1):
+            for i, found in zip(rows.tolist(), encoder.ids([texts[i].as_py() for i in rows.tolist()]), strict=True):
                 docs.append(ids[i])
                 held.append(np.append(found, np.uint16(end)))
                 total += len(held[-1])
