@@ -30,7 +30,7 @@ PLACES, STATES = (12, 11), 8
 #: Chances of outcomes and of ids in whole numbers of these totals, as powers of two; those of a lane's own ids are multiples of 1 << FINE.
 OUTCOME_BITS, ID_BITS, FINE = 11, 17, 3
 #: Refreshes: the first ones, their distance as a share of what has been read, and at most.
-FIRST, GROWTH, FARTHEST = 32, 3, 2048
+FIRST, GROWTH, FARTHEST = 32, 4, 1024
 #: Ids that a lane numbers; what comes after so many different ones stays new.
 NUMBERED = 8_000
 MAGIC = b"CMR2"

@@ -11,6 +11,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from slopewatch.llm.id_coder import decode, encode
 from slopewatch.llm.shared import small_or_shuffled, written
 
 #: Ids of a segment, at least (the last of a part has what is left); a document is never divided.
-SEGMENT = 8_000_000
+SEGMENT = 4_000_000
 #: Bytes of texts that are encoded together, about.
 TOGETHER = 4_000_000
 #: The end id that follows each document.
@@ -40,16 +41,25 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _byte_signs() -> list[str]:
+    """The sign that byte-level vocabularies write for each byte: itself if it is seen in print, else the next one from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in seen else next(others)) for b in range(256)]
+
+
 class Encoder:
     """Ids of texts by a tokenizer that lower-cases, and never joins what blanks or line feeds divide: each distinct part is encoded once.
 
-    Pieces between blanks of plain ASCII are divided into the tokenizer's words here (letters, single digits, runs of
-    other signs), and each word is encoded by the tokenizer's model. All other pieces go through the whole tokenizer.
-    Apostrophes begin words of their own, and a bar may belong to a special token: such pieces aren't plain.
+    Plain pieces between blanks are divided into the tokenizer's words here (letters, single digits, runs of other
+    signs), and each word is encoded by the tokenizer's model. Plain are ASCII signs and the letters from U+00C0 to
+    U+00FF. All other pieces go through the whole tokenizer. Apostrophes begin words of their own, and a bar may belong
+    to a special token: such pieces aren't plain.
     """
 
     LIMIT = 400_000
-    CLASS, PLAIN = _classes(), re.compile(rb"[!-&(-{}~]+")
+    CLASS, PLAIN = _classes(), re.compile(rb"(?:[!-&(-{}~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+    SIGNS = dict(enumerate(_byte_signs()))
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -63,9 +73,9 @@ class Encoder:
 
     def learn(self, new: list[bytes]) -> None:
         """Ids of words and pieces, after those known."""
-        model, plain = self.tokenizer.model, self.PLAIN.fullmatch
-        ids = [array("H", [t.id for t in model.tokenize(x.decode())]).tobytes() if plain(x) else b"" for x in new]
-        others = [k for k, x in enumerate(new) if not plain(x)]
+        model, plain = self.tokenizer.model, [self.PLAIN.fullmatch(x) is not None for x in new]
+        ids = [array("H", [t.id for t in model.tokenize(x.decode("latin-1").translate(self.SIGNS))]).tobytes() if p else b"" for x, p in zip(new, plain, strict=True)]
+        others = [k for k, p in enumerate(plain) if not p]
         for a in range(0, len(others), 10_000):
             part = others[a : a + 10_000]
             for k, e in zip(part, self.tokenizer.encode_batch_fast([new[k].decode() for k in part], add_special_tokens=False), strict=True):
@@ -79,10 +89,15 @@ class Encoder:
         """Of UTF-8 texts, which are taken together: a few megabytes at a time."""
         joined = np.frombuffer(b"\n".join([b"", *texts]), np.uint8)
         kind = self.CLASS[joined]
+        lead = np.flatnonzero(joined[:-1] == 0xC3)
+        tail = joined[lead + 1]
+        letter = lead[((tail & 0xC0) == 0x80) & ((tail & 0x9F) != 0x97)]
+        kind[letter] = kind[letter + 1] = 1
         first = np.empty(len(kind), bool)
         first[:1], first[1:] = False, kind[1:] != kind[:-1]
         first |= kind == 2
         upper = (joined - np.uint8(65)) < 26
+        upper[letter[joined[letter + 1] < 0x9F] + 1] = True
         if (odd := np.flatnonzero(kind == 4)).size:
             piece = np.cumsum(kind == 0)
             bad = np.zeros(piece[-1] + 1, bool)
@@ -111,9 +126,15 @@ class Encoder:
         return np.split(out, np.concatenate([[0], ends])[until[:-1]]) if texts else []
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One for each worker process, which goes on with what it has learned."""
+    return Encoder(path)
+
+
 def segments(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     """Rows come in the order of the files: (doc_id, text)."""
-    encoder, part, number = Encoder(path), TaskContext.get().partitionId(), 0
+    encoder, part, number = encoder_of(path), TaskContext.get().partitionId(), 0
     docs, held, total = [], [], 0
 
     def row() -> pa.RecordBatch:
