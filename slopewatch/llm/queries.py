@@ -119,23 +119,28 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{MARKED}'), (-1, 1, 'assistant', '{MARKED}')) v(conv_id, turn, role, text)),
 sized AS (
-  SELECT *, CAST(ceil(length(text) / 4.0) AS BIGINT) + 4 AS tokens,
-    24 + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) AS chars
+  SELECT *, '<|im_start|>' || replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&#10;') || chr(10) || replace(replace(text, '&', '&amp;'), '<|', '&lt;|') || '<|im_end|>' || chr(10) AS written
   FROM rows),
 placed AS (
-  SELECT *, row_number() OVER w AS at_turn, sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-    coalesce(sum(chars) OVER (w ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), 0) AS before,
-    first_value(role) OVER w AS opening, first_value(chars) OVER w AS opening_chars
+  SELECT *, strlen(written) AS tokens, length(written) AS chars, row_number() OVER w AS at_turn, sum(strlen(written)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+    lag(strlen(written), 1) OVER w AS t1, lag(strlen(written), 2) OVER w AS t2, lag(length(written), 1) OVER w AS c1, lag(length(written), 2) OVER w AS c2,
+    CASE WHEN first_value(role) OVER w = 'system' THEN first_value(strlen(written)) OVER w ELSE 0 END AS system,
+    first_value(length(written)) OVER w AS opening_chars
   FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 spans AS (
-  SELECT *, 2 * CAST(floor((upto - tokens) / 1024) AS BIGINT) + CASE WHEN floor((upto - tokens) / 1024) <> floor((upto - 1) / 1024) THEN 1 ELSE 0 END AS span FROM placed),
-starts AS (SELECT *, at_turn = min(at_turn) OVER (PARTITION BY conv_id, span) AS begins FROM spans)
+  SELECT *, 2 * CAST(floor((upto - tokens) / wide) AS BIGINT) + CASE WHEN floor((upto - tokens) / wide) <> floor((upto - 1) / wide) THEN 1 ELSE 0 END AS span
+  FROM (SELECT *, greatest(1, floor((4096 - system) * 0.75)) AS wide FROM placed)),
+starts AS (SELECT *, at_turn = min(at_turn) OVER (PARTITION BY conv_id, span) AS begins, 4096 - sum(tokens) OVER (PARTITION BY conv_id, span) AS space FROM spans),
+opened AS (SELECT *, system > 0 AND at_turn > 1 AS opens FROM starts),
+spaces AS (SELECT *, space - CASE WHEN opens THEN system ELSE 0 END AS rest,
+    CASE WHEN at_turn < 2 OR opens AND at_turn = 2 THEN NULL ELSE t1 END AS h1, CASE WHEN at_turn < 3 OR opens AND at_turn = 3 THEN NULL ELSE t2 END AS h2 FROM opened),
+repeated AS (SELECT *, CASE WHEN opens THEN opening_chars ELSE 0 END + CASE WHEN h1 <= rest THEN c1 + CASE WHEN h1 + h2 <= rest THEN c2 ELSE 0 END ELSE 0 END AS again FROM spaces)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at_turn)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY at_turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars + CASE WHEN begins THEN before + CASE WHEN opening = 'system' AND at_turn > 3 THEN opening_chars ELSE 0 END ELSE 0 END) AS BIGINT) AS formatted_chars,
+  CAST(sum(chars + CASE WHEN begins THEN again ELSE 0 END) AS BIGINT) AS formatted_chars,
   count(DISTINCT span) AS n_windows
-FROM starts GROUP BY conv_id
+FROM repeated GROUP BY conv_id
 """
 
 

@@ -58,6 +58,55 @@ def test_pack_documents_is_whole_and_within_lengths(spark):
     assert sorted(got[got.doc_id == 9]["copy"]) == [1, 2] and packing.pack_documents(d.limit(0)).count() == 0
 
 
+def test_lengths_are_chosen_jointly():
+    rng = np.random.default_rng(4)
+    for most, n in ((64, 300), (30, 80), (16, 50)):
+        sizes = rng.integers(1, most + 1, n)
+        where, offset, size = packing.pack_jointly(sizes, (16, 32, 64), 4, 64)
+        sets = [s for s in ((16,), (32,), (64,), (16, 32), (16, 64), (32, 64), (16, 32, 64)) if max(s) >= sizes.max()]
+        totals = []
+        for s in sets:  # every packing by the plain rules over a plain list of bins
+            bins, left = [], int(sizes.sum())
+            for x in sorted(sizes.tolist(), reverse=True):
+                fit = [b for b in bins if b[0] >= x]
+                if fit:
+                    b = min(fit, key=lambda b: b[0])
+                else:
+                    b = [min((c for c in s if c >= x), key=lambda c: (packing.cost(c, 4, 64) / min(c, left), c)), 0]
+                    bins.append(b)
+                b[0] -= x
+                b[1] += x
+                left -= x
+            totals.append(sum(packing.cost(min(c for c in (16, 32, 64) if c >= u), 4, 64) for _, u in bins))
+        assert packing.cost(size, 4, 64).sum() == pytest.approx(min(totals))
+        for b in range(len(size)):
+            assert sizes[where == b].sum() <= size[b] and (np.sort(offset[where == b])[:1] == 0).all()
+    # many short pieces and a few long ones: more than one length is opened
+    _, _, size = packing.pack_jointly(np.concatenate([rng.integers(1, 500, 4000), np.full(9, 4000)]))
+    assert len(set(size.tolist())) > 1
+
+
+def test_sequences_hold_the_tokenizers_ids(spark):
+    from tokenizers import Tokenizer
+
+    P = pytest.importorskip("public_tokenizers")
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    texts = ["the cat sat", "", None, "word " * 700, "É été don't 42", "the cat sat", "the cat sat"]
+    ids = [1, 2, 3, 4, None, 1, 1]
+    d = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").withColumn("ids", F.lit(0)).withColumn("part", F.lit(1))
+    got = defaultdict(list)
+    for r in packing.sequences(d, (16, 64), 4).collect():
+        assert len(r.ids) == r.bin_length and r.bin_length == min(c for c in (16, 64) if c >= sum(p.n_tokens for p in r.pieces))
+        filled = 0
+        for p in r.pieces:
+            assert p.bin_offset == filled
+            filled += p.n_tokens
+            got[p.doc_id, p.copy].append((p.piece, r.ids[p.bin_offset : filled]))
+        assert set(r.ids[filled:]) <= {packing.PAD}
+    whole = sorted((str(k[0]), [i for _, x in sorted(v) for i in x]) for k, v in got.items())
+    assert whole == sorted((str(i), [*tok.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in zip(ids, texts, strict=True))
+
+
 # URL filter
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -141,6 +190,19 @@ def test_spans_stay_within_the_budget(spark):
         assert sum(tokens) <= 50 or len(tokens) == 1
 
 
+def test_what_windows_repeat_is_charged_to_the_budget(spark):
+    turns = [("system", "be brief"), *[("user" if i % 2 else "assistant", "é" * (i * 7 % 90)) for i in range(60)], ("user", "x" * 900), ("user", "same"), ("user", "same")]
+    rows = [(c, i, r, t) for c in (1, None) for i, (r, t) in enumerate(turns)] + [(1, len(turns) - 1, "user", "same")] * 2  # repeated rows are repeated turns
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for history in (0, 2, 3):
+        w = chat_format.windows(d, 400, history).collect()
+        assert sum(r.n_new for r in w) == len(rows) and {r.conv_id for r in w} == {1, None}
+        assert (max(r.n_repeated for r in w) == history + 1) or history > 2
+        for r in w:
+            assert len(r.formatted.encode()) <= 400 or r.n_new == 1 and r.n_repeated == 1
+            assert r.formatted.count("<|im_start|>system") == 1
+
+
 # extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p><p>no</p>";</script></head><body>
