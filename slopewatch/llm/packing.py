@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopewatch.llm.shared import small_or_shuffled, written
-from slopewatch.llm.token_files import END, TOGETHER, encoder_of
+from slopewatch.llm.token_files import END, TOGETHER, Encoder
 
 LENGTHS = (512, 1024, 2048, 4096)
 #: Cost of a sequence besides its length, in tokens: what a batch row costs however short it is.
@@ -92,7 +92,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], path: str, largest: int) -> Ite
 
     part is this task, nth tells rows of the task apart that agree in doc_id and tokens. ids are unsigned 16-bit.
     """
-    encoder, part, seen = encoder_of(path), TaskContext.get().partitionId(), Counter()
+    encoder, part, seen = Encoder(path), TaskContext.get().partitionId(), Counter()
     names = ["doc_id", "tokens", "part", "nth", "piece", "n_tokens", "ids"]
     for batch in batches:
         texts = batch.column(1).fill_null("").cast(pa.large_binary())

@@ -11,7 +11,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +56,7 @@ class Encoder:
     to a special token: such pieces aren't plain.
     """
 
-    LIMIT = 400_000
+    LIMIT = 250_000
     CLASS, PLAIN = _classes(), re.compile(rb"(?:[!-&(-{}~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
     SIGNS = dict(enumerate(_byte_signs()))
 
@@ -126,15 +125,9 @@ class Encoder:
         return np.split(out, np.concatenate([[0], ends])[until[:-1]]) if texts else []
 
 
-@cache
-def encoder_of(path: str) -> Encoder:
-    """One for each worker process, which goes on with what it has learned."""
-    return Encoder(path)
-
-
 def segments(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     """Rows come in the order of the files: (doc_id, text)."""
-    encoder, part, number = encoder_of(path), TaskContext.get().partitionId(), 0
+    encoder, part, number = Encoder(path), TaskContext.get().partitionId(), 0
     docs, held, total = [], [], 0
 
     def row() -> pa.RecordBatch:

@@ -3,7 +3,8 @@
 The machine adds to a linear model a weight for each pair of terms, the product of two short vectors, so that an
 insult counts for more beside the mention of a group than either counts alone. It is trained by Spark's
 FMClassifier. Terms are hashed; which of the hashed columns carry a sign of the label is counted over all training
-rows first, so that the machine is small.
+rows first: columns that tell by themselves, and columns of two terms that tell when they stand near each other, even
+if neither does alone. Their number isn't limited; it grows with what the rows can prove.
 """
 
 from __future__ import annotations
@@ -24,8 +25,12 @@ from slopewatch.llm.shared import WordHashes, aside, small_or_shuffled, written
 
 #: Columns that terms are hashed to, as a power of two.
 BITS = 18
-#: Columns that the machine gets: those with the strongest association with the label.
-COLUMNS = 1024
+#: Chi-square with the label from which on a column is used (a chance of 0.01), and that of a pair of near terms (1e-6).
+SINGLE_CHI, PAIR_CHI = 6.63, 23.93
+#: Words that near terms are apart, at most; training rows that a term and a toxic pair are in, at least.
+NEAR, LEAST_ROWS = 4, 3
+#: Pairs that may be broadcast; beyond it they are joined.
+BROADCAST_PAIRS = 1_000_000
 #: Training rows that the machine is fitted on, at most; the counts for choosing columns cover all training rows.
 FIT_ROWS = 60_000
 THRESHOLD = 0.3
@@ -72,18 +77,50 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _term_lists(df: DataFrame) -> DataFrame:
-    """(label, terms) of rows (doc_id, text, label)."""
+def near_pairs(text: str | None, columns: _Columns) -> np.ndarray:
+    """Distinct pairs of different columns whose words stand at most NEAR words apart, lesser column first, as one number each."""
+    c = np.fromiter(map(columns.__getitem__, words_of(text or "")), np.int64)
+    found = [np.zeros(0, np.int64)]
+    for gap in range(1, min(NEAR, len(c) - 1) + 1):
+        a, b = np.minimum(c[gap:], c[:-gap]), np.maximum(c[gap:], c[:-gap])
+        found.append((a << BITS | b)[a != b])
+    return np.unique(np.concatenate(found))
+
+
+def _lists(df: DataFrame, of, wanted=None) -> DataFrame:
+    """(doc_id, label, terms) of rows (doc_id, text, label); of: what makes the numbers of a text; wanted: broadcast sorted numbers that stay."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _Columns()
         for b in batches:
-            terms = [terms_of(x.as_py(), columns) for x in b.column(1)]
+            terms = [of(x.as_py(), columns) for x in b.column(1)]
+            if wanted is not None:
+                terms = [t[np.isin(t, wanted.value, assume_unique=True)] for t in terms]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(terms, pa.list_(pa.int64()))], names=["doc_id", "label", "terms"])
 
     return df.mapInArrow(task, "doc_id long, label int, terms array<bigint>")
 
 
+def _telling(counts: DataFrame, n: int, positive: int, least: float) -> DataFrame:
+    """Of (term, n, p): terms whose presence has a chi-square of at least `least` with the label, for or against it."""
+    expected = F.col("n") * (positive / n)
+    spread = F.col("n") * (positive / n) * (1 - positive / n) * (n - F.col("n") + 1) / n
+    return counts.where(F.col("n") >= LEAST_ROWS).where((F.col("p") - expected) ** 2 / spread >= least).select("term")
+
+
+def telling_pairs(train: DataFrame, n: int, positive: int) -> DataFrame:
+    """(term) of the columns of near pairs that tell the label; pairs are looked for in rows of label 1 and counted in all."""
+    counted = lambda d: d.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
+    seen = written(counted(_lists(train.where("label = 1"), near_pairs)).where(F.col("n") >= LEAST_ROWS).select("term"), "toxic-pairs")
+    if seen.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
+        wanted = train.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in seen.collect()], np.int64)))
+        counts = counted(_lists(train, near_pairs, wanted))
+    else:
+        counts = counted(_lists(train, near_pairs)).join(seen, "term", "left_semi")
+    pair = F.col("term")
+    return _telling(counts, n, positive, PAIR_CHI).select(F.explode(F.array(F.shiftright(pair, BITS), pair.bitwiseAND(F.lit((1 << BITS) - 1)))).alias("term"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, factors: int = 4, iterations: int = 150, fit_rows: int = FIT_ROWS) -> Model:
     """Learns labels.toxic from the labelled rows that aren't held out.
 
@@ -92,16 +129,16 @@ def fit(docs: DataFrame, labels: DataFrame, factors: int = 4, iterations: int =
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     known = small_or_shuffled(written(known.where(~held_out(F.col("doc_id"))), "toxic-labels"))
-    rows = written(_term_lists(docs.select("doc_id", "text").where("text is not null").join(known, "doc_id").select("doc_id", "text", "label")), "toxic-terms")
+    train = docs.select("doc_id", "text").where("text is not null").join(known, "doc_id").select("doc_id", "text", "label")
+    rows = written(_lists(train, terms_of), "toxic-terms")
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     base = (positive + 0.5) / (n + 1)
     if not 0 < positive < n:
         return Model({}, float(np.log(base / (1 - base))), np.zeros(0), np.zeros((0, factors)))
     counts = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    # chi-square of the term's presence with the label, for terms that speak for label 1 or against it
-    expected = F.col("n") * (positive / n)
-    spread = F.col("n") * (positive / n) * (1 - positive / n) * (n - F.col("n") + 1) / n
-    best = counts.where("n >= 3").withColumn("chi", (F.col("p") - expected) ** 2 / spread).orderBy(F.desc("chi"), "term").limit(COLUMNS).collect()
+    best = _telling(counts, n, positive, SINGLE_CHI).union(telling_pairs(train, n, positive)).distinct().orderBy("term").collect()  # below 1 << BITS numbers
+    if not best:
+        return Model({}, float(np.log(base / (1 - base))), np.zeros(0), np.zeros((0, factors)))
     column = {r["term"]: i for i, r in enumerate(best)}
 
     # a bounded sample, by hash of the id; everything else covers all rows

@@ -267,6 +267,52 @@ def test_parser_never_fails(source):
     assert html_text.main_text(source, None) is not None and html.unescape(source) is not None
 
 
+BOX = "<div class='x{k}'><p>Subscribe to our letter, it is free of charge</p></div>"
+
+
+def page_without_marks(n, first):
+    """Two layouts of one host: the content comes first or last, with a box that all pages share inside of it."""
+    rng = np.random.default_rng(n)
+    words = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 9000, k))
+    body = [words(30) for _ in range(int(rng.integers(2, 6)))]
+    content = f"<div><h2>Title {n}</h2><p>{body[0]}</p>" + BOX.format(k=1) + "".join(f"<p>{x}</p>" for x in body[1:]) + "</div>"
+    links = "<div><ul>" + "".join(f"<li><a href=/{x}>{words(2)}</a></li>" for x in range(9)) + "</ul></div>"
+    source = f"<body><header>Site</header>{content}{links}" if first else f"<body>{links}<div>advert {words(3)}</div>{content}"
+    return source, "\n".join([f"Title {n}", *body])
+
+
+def test_content_is_found_by_alignment_without_marks(spark):
+    made = [page_without_marks(n, n % 5 < 3) for n in range(60)]
+    got = {r.page_id: r.text for r in html_text.report(pages(spark, [(n, f"http://h.com/{n}", s) for n, (s, _) in enumerate(made)])).collect()}
+    assert all(got[n] == want for n, (_, want) in enumerate(made))
+    # without other pages of its host, nothing tells that the box is template
+    alone = html_text.main_text(made[0][0], None)
+    assert alone != got[0] and "Subscribe" in alone and alone.replace("Subscribe to our letter, it is free of charge\n", "") == got[0]
+
+
+def test_near_copies_of_one_article_keep_their_paragraphs(spark):
+    same = "".join(f"<p>Paragraph {k} that all the copies share, word by word</p>" for k in range(9))
+    rows = [(n, f"http://h.com/{n}", f"<body><nav>m</nav><article>{same}<p>only here {n}</p></article>") for n in range(20)]
+    assert all(r.text.count("Paragraph") == 9 and r.text.endswith(f"only here {r.page_id}") for r in html_text.report(pages(spark, rows)).collect())
+
+
+def test_parts_of_words_in_a_class_say_nothing():
+    source = '<body><article><header class="entry-header"><h1>The title</h1></header><div class="side-effects"><p>What it does</p></div><div class="share">no</div></article>'
+    assert html_text.main_text(source, None) == "The title\nWhat it does"
+
+
+def test_bad_pages_take_no_longer_than_others():
+    import time
+
+    row = "<p>a</p>"
+    wide = html_text.Wrapper("<body><div>" + row * 20_000 + "</div>", 2)
+    began = time.process_time()
+    for bad in ('<a ' + '"' * 101, '<a ' + '"' * 101 + ">x", '<a "' * 50_000, "<![CDATA[" * 50_000 + ">", "<div>" * 20_000 + "</x>" * 20_000, "<b>" * 20_000 + "<div></i>" * 20_000):
+        assert html_text.main_text(bad, None) is not None
+    assert html_text.main_text("<body><div>" + (row + "<ul><li>x</ul>") * 10_000 + "</div>", wide).count("a") == 10_000
+    assert time.process_time() - began < 20
+
+
 def test_deep_pages_do_not_fail(spark):
     rows = [(1, "http://h.com/", "<div>" * 3000 + "deep"), (2, "http://h.com/2", "<p>x")]
     assert {r.page_id: r.text for r in html_text.report(pages(spark, rows)).collect()}[1] == "deep"
@@ -302,6 +348,24 @@ def test_invalid_vectors_and_few_candidates(spark):
     assert ann.search(d.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_vectors_of_other_lengths_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0]), (3, [1.0, 2.0, 3.0]), (4, [0.2, 0.1]), (4, [0.9, 0.1])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("parts", F.lit("clash"))
+    got = ann.search(d, lambda i: i % 20 == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(4, 0.9), (1, 0.5)]
+
+
+def test_clustered_vectors_need_few_partitions(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=(40, 16)) * 4
+    v = centre[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)) * 0.3
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    router = ann.learn(d)
+    assert len(router.bias) > 40 and router.probes < 0.2 * len(router.bias)
+    again = ann.learn(d.repartition(5))
+    assert (router.weight == again.weight).all() and router.probes == again.probes
+
+
 def test_copies_are_dealt_into_cells_without_loss(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL_VECTORS", 40)
     monkeypatch.setattr(ann, "CELL_QUERIES", 3)

@@ -70,8 +70,7 @@ def test_decontamination_removes_documents_or_spans(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(docs, empty).count() == 4
     assert decontaminate.report(docs.limit(0), bench).count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.items_of(bench, 3)
+    assert len(list(decontaminate.parts_of(bench, 3))) == 5  # 13 bytes
     with pytest.raises(ValueError):
         decontaminate.decontaminate(docs, bench, "lines")
 
@@ -223,6 +222,30 @@ def test_token_files_are_read_back_in_order(spark, monkeypatch):
     assert token_files.report(documents(spark, texts).limit(0), path).count() == 0
 
 
+def test_words_and_pieces_get_the_tokenizers_ids():
+    P = pytest.importorskip("public_tokenizers")
+    encoder = token_files.Encoder(P.path("word_bpe_49k.json"))
+    signs = [*"abZ0'|<> \n\t,.-ÀÿÞ×÷ßÖÉéİΣςſ中\u00a0\x01\x7f\u0301", "<|startoftext|>", "'s", "'LL", "it's"]
+    texts = ["".join(rng.choice(signs, int(rng.integers(0, 40)))) for _ in range(2000)] + ["", " ", "\n\n"]
+    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for part in (slice(0, None), slice(5, 6), slice(0, 0)):
+        assert [x.tolist() for x in encoder.ids([t.encode() for t in texts[part]])] == [e.ids for e in want[part]]
+
+
+def test_ids_beyond_the_alphabet_are_refused():
+    for bad in ([-1], [5, id_coder.ALPHABET]):
+        with pytest.raises(ValueError):
+            id_coder.encode(np.array(bad))
+
+
+@pytest.mark.parametrize("shape", ["tiled", "alike", "distinct", "frequent"])
+def test_long_blocks_round_trip(shape):
+    ids = {"tiled": np.tile(rng.integers(0, 65536, 777), 90), "alike": np.full(70_000, 65535), "distinct": rng.permutation(65536), "frequent": rng.zipf(1.3, 70_000) % 65536}[shape]
+    data = id_coder.encode(ids)
+    assert (id_coder.decode(data) == ids).all()
+    assert shape != "alike" or len(data) < 9000
+
+
 # toxicity
 
 
@@ -261,3 +284,44 @@ def test_packing_query_packs_every_document(spark):
     d = "/root/testdata/sf0.001"
     got = op2_best_fit_packing(spark, d)
     assert got.select("doc_id").distinct().count() == spark.read.parquet(f"{d}/documents.parquet").count()
+
+
+def test_pairs_tell_where_single_words_do_not(spark):
+    def text(i):
+        # each of the two words is in half of the texts of either label; only together, near each other, they tell
+        words = sentence(10).split()
+        kind = i % 4
+        return " ".join([*words[:5], *(["qqa", "qqb"] if kind == 0 else ["qqa"] if kind == 1 else ["qqb"] if kind == 2 else []), *words[5:]])
+
+    n = 2400
+    docs = documents(spark, [text(i) for i in range(n)])
+    toxic = [int(i % 4 in (0, 3)) for i in range(n)]
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(toxic)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    columns = toxicity._Columns()
+    a, b = (int(toxicity.terms_of(w, columns)[0]) for w in ("qqa", "qqb"))
+    assert a in model.column and b in model.column
+    held = [i for i in range(n) if toxicity.crc_remainder(i) == 2]
+    score = {r.doc_id: r._score for r in toxicity.score(docs, model).collect()}
+    assert np.mean([(score[i] >= 0.5) == toxic[i] for i in held]) > 0.9
+
+
+def test_empty_documents_and_clashing_names_of_toxicity(spark):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, toxic int").withColumn("_score", F.lit(1)).withColumn("label", F.lit(2))
+    docs = documents(spark, ["a b", "a b", None]).withColumn("_score", F.lit("x")).withColumn("label", F.lit("y"))
+    assert toxicity.report(docs.limit(0), labels).count() == 0 and toxicity.report(docs, labels.limit(0)).count() == 3
+    assert toxicity.without_toxic(docs, labels, 1.1).count() == 3 and toxicity.report(docs.union(docs), labels).count() == 6
+
+
+def test_a_benchmark_in_parts_and_items_without_an_id(spark):
+    common = [sentence(30) for _ in range(6)]
+    items = [(i if i % 3 else None, t) for i, t in enumerate(common)] + [(7, common[1]), (1, common[2]), (9, None), (None, "short one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [sentence(5) + " | " + c + " | " + sentence(5) for c in common] + ["short one", None, "", "no words of the benchmark"]
+    docs = documents(spark, texts)
+    whole = decontaminate.scan(docs, bench).orderBy("doc_id").collect()
+    parts = decontaminate.scan(docs, bench, limit=100).orderBy("doc_id").collect()
+    assert whole == parts and [r._hits for r in whole][:6] == [30] * 6
+    assert [r._items for r in whole][:6] == [[], [1, 7], [1, 2], [], [4], [5]] and (whole[6]._hits, whole[6]._items) == (2, [])
+    cleaned = decontaminate.decontaminate(documents(spark, texts, extra=True), bench, "spans")
+    assert cleaned.count() == len(texts) and decontaminate.decontaminate(cleaned, bench).count() == len(texts)
