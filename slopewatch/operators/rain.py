@@ -57,6 +57,7 @@ def rain_background(rain: DataFrame) -> DataFrame:
 
 def event_candidates(background: DataFrame) -> DataFrame:
     """Days of much rain, or of some rain on wet ground, with their event_selection_score."""
+    background = cut(background)  # read three times: for its quantiles, for those of the candidates, and for the candidates
     d = with_stats(background, SITE, wet60_q80=quantile("pre60_rain_sum", 0.8), wet30_q80=quantile("pre30_rain_sum", 0.8))
     wet = (F.col("pre60_rain_sum") >= F.col("wet60_q80")) | (F.col("pre30_rain_sum") >= F.col("wet30_q80"))
     d = d.where((F.col("rain_mm") >= F.col("P75")) | (F.col("rain_mm") >= F.col("P50")) & wet).drop("wet60_q80", "wet30_q80")
@@ -135,7 +136,7 @@ def rain_level(rain: Column) -> Column:
 
 def assign_levels(events: DataFrame, least: int = 3, active_count: int = 1) -> DataFrame:
     """Wetness, response and rain levels, and the class of each event. Events without a response of enough nodes are R0."""
-    d = wetness_index(events)
+    d = cut(wetness_index(cut(events)))  # each is joined to its own quantiles
     w = F.col("antecedent_wetness_index")
     d = with_stats(d, SITE, _q33=quantile(w, 0.33), _q66=quantile(w, 0.66), _q85=quantile(w, 0.85))
     wet = F.when(w >= F.col("_q85"), "W3_very_wet").when(w >= F.col("_q66"), "W2_wet").when(w >= F.col("_q33"), "W1_moderate").otherwise("W0_dry")

@@ -193,41 +193,30 @@ def _(t):
 #: Drawn sets of windows for each level and lag.
 PERMUTATIONS = 300
 
-_NR = f"""WITH {rq._THR}, te AS (SELECT r.site_id, r.date, CASE WHEN rain_mm >= P95 THEN 'P95' END AS threshold_level FROM daily_rain r JOIN thr USING (site_id) WHERE rain_mm > 0 AND rain_mm >= P95),
-ev AS (SELECT site_id, threshold_level, g.lag AS lag_days, date, row_number() OVER (PARTITION BY site_id, g.lag ORDER BY date) AS k FROM te, (VALUES (3), (7)) g(lag)),
-wi AS (SELECT DISTINCT site_id, threshold_level, lag_days, p.range AS perm, CASE WHEN p.range = 0 THEN date_diff('day', DATE '1995-01-02', date) ELSE {_DRAW('p.range', 'k', '(2499 - lag_days)')} END + d.range AS day FROM ev, range(0, 21) p, range(0, 8) d WHERE d.range <= lag_days),
-hi AS (SELECT w.site_id, threshold_level, lag_days, profile, node_index, perm, count(*) AS h FROM wi w JOIN change_points c ON c.site_id = w.site_id AND date_diff('day', DATE '1995-01-02', c.date) = w.day GROUP BY 1, 2, 3, 4, 5, 6),
-ga AS (SELECT site_id, threshold_level, lag_days, profile, node_index, coalesce(max(h) FILTER (WHERE perm = 0), 0) AS observed, coalesce(sum(h) FILTER (WHERE perm > 0), 0) AS s, list(h) FILTER (WHERE perm > 0) AS al FROM hi GROUP BY 1, 2, 3, 4, 5),
-nr AS MATERIALIZED (SELECT e.site_id, e.threshold_level, e.lag_days, v.profile, n.node_index, coalesce(observed, 0) AS observed, coalesce(s, 0) / 20.0 AS baseline, coalesce(observed, 0) / greatest(coalesce(s, 0) / 20.0, 1e-6) AS lift,
- (CASE WHEN coalesce(observed, 0) = 0 THEN 20 ELSE coalesce(len(list_filter(al, lambda h: h >= observed)), 0) END + 1) / 21.0 AS p_value FROM (SELECT DISTINCT site_id, threshold_level, lag_days FROM ev) e JOIN nodes n ON n.site_id = e.site_id CROSS JOIN (VALUES ('strict'), ('medium')) v(profile)
- LEFT JOIN ga g ON g.site_id = e.site_id AND g.threshold_level = e.threshold_level AND g.lag_days = e.lag_days AND g.profile = v.profile AND g.node_index = n.node_index)"""
-
-
 def _response(t):
-    """All levels, lags and permutations of the survey's E10; the statement above covers P95, lags 3 and 7 and 20 draws only."""
+    """All levels, lags and permutations. SQL is too slow for so many draws; the operator is held against brute force."""
     e = rain.threshold_events(t.daily_rain).select("site_id", "threshold_level", "lag_days", "date")
     return ev.node_response(e, t.change_points, t.nodes, "1995-01-02", 2499, PERMUTATIONS)
 
 
-@query("e10_node_response", f"{_NR} SELECT site_id, threshold_level, lag_days, profile, node_index, observed, round(baseline, 6) AS baseline, round(lift, 6) AS lift, round(p_value, 6) AS p_value FROM nr")
+@query("e10_node_response")
 def _(t):
     """Windows after events against drawn windows; nodes without a change point count as zero."""
     return _response(t)
 
 
-@query("e11_response_summary", f"{_NR} SELECT lag_days, profile, count(*) FILTER (WHERE p_value < 0.05) AS p05, count(*) FILTER (WHERE p_value < 0.1) AS p10, round(max(lift), 6) AS max_lift FROM nr GROUP BY 1, 2")
+@query("e11_response_summary")
 def _(t):
     r = _response(t)
     return r.groupBy("lag_days", "profile").agg(F.count(F.when(F.col("p_value") < 0.05, 1)).alias("p05"), F.count(F.when(F.col("p_value") < 0.1, 1)).alias("p10"), F.max("lift").alias("max_lift"))
 
 
-@query("e12_susceptibility", f"""{_NR}, hh AS (SELECT *, sum(CAST(p_value < 0.1 AS INT)) OVER (PARTITION BY site_id, node_index, threshold_level, lag_days) AS h FROM nr), sg AS (SELECT site_id, node_index, avg(ln(1 + greatest(lift, 0))) AS a, avg(-log10(greatest(p_value, 1e-6))) AS b, max(h) AS c FROM hh GROUP BY 1, 2)
-SELECT site_id, node_index, round({" + ".join(f"{w} * CASE WHEN max({k}) OVER s - min({k}) OVER s < 1e-6 THEN 0 ELSE ({k} - min({k}) OVER s) / (max({k}) OVER s - min({k}) OVER s) END" for k, w in (("a", 0.45), ("b", 0.35), ("c", 0.20)))}, 6) AS rain_susceptibility_dense FROM sg WINDOW s AS (PARTITION BY site_id)""")
+@query("e12_susceptibility")
 def _(t):
     return ev.susceptibility_scores(_response(t), t.nodes)
 
 
-@query("v14_response_matrix", f"{_NR} SELECT lag_days, CAST(count(*) FILTER (WHERE profile = 'strict' AND p_value < 0.1) AS BIGINT) AS strict, CAST(count(*) FILTER (WHERE profile = 'medium' AND p_value < 0.1) AS BIGINT) AS medium FROM nr GROUP BY 1")
+@query("v14_response_matrix")
 def _(t):
     return _response(t).groupBy("lag_days").pivot("profile", ["strict", "medium"]).agg(F.count(F.when(F.col("p_value") < 0.1, 1)))
 

@@ -14,7 +14,7 @@ from slopewatch.plans import rain_queries as rq
 from slopewatch.plans.registry import query
 from slopewatch.sources import tables
 
-_GRID = "grid AS MATERIALIZED (SELECT site_id, date, v.r AS row, v.k AS col, CASE WHEN (day(date) + v.r + v.k) % 13 = 0 THEN -9999.0 ELSE rain_mm * (1 + v.r * 0.5 - v.k * 0.25) END AS rain_mm FROM daily_rain, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(r, k) WHERE day(date) <= 10)"
+_GRID = "grid AS MATERIALIZED (SELECT site_id, date, v.r AS row, v.k AS col, CASE WHEN (day(date) + v.r + v.k) % 13 = 0 THEN -9999.0 ELSE rain_mm * (1 + v.r * 0.5 - v.k * 0.25) END AS rain_mm FROM daily_rain, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(r, k))"
 
 
 def _grid(t):
@@ -71,7 +71,7 @@ def _(t):
     return g.select("site_id", ev.gain(F.col("r"), F.col("m")).alias("gain"))
 
 
-@query("j11_strict_lookup", "SELECT site_id, start, issue FROM (SELECT s.site_id, s.start, min(f.issue_no) AS issue FROM samples s JOIN forecast f ON f.site_id = s.site_id AND (s.start + f.issue_no) % 7 = 0 AND f.issue_no < 20 GROUP BY 1, 2)")
+@query("j11_strict_lookup", "SELECT site_id, start, issue FROM (SELECT s.site_id, s.start, min(f.issue_no) AS issue FROM samples s JOIN forecast f ON f.site_id = s.site_id AND (s.start + f.issue_no) % 7 = 0 GROUP BY 1, 2)")
 def _(t):
     """The first row of a key wins; a sample without a row raises."""
     keyed = t.forecast.select("site_id", "issue_no", (F.pmod(-F.col("issue_no"), F.lit(7))).alias("k"))

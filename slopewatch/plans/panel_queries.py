@@ -78,7 +78,7 @@ def _(t):
     return p.sample_windows(t.panel, 12, 5).select("site_id", "node_index", "start", total("history").alias("history_sum"), total("target").alias("target_sum"))
 
 
-_CPS = "cpl AS (SELECT site_id, list_sort(list(DISTINCT t)) AS cps FROM change_points WHERE profile = 'strict' AND node_index = 0 GROUP BY 1)"
+_CPS = "cpl AS (SELECT site_id, list_sort(list(DISTINCT t)) AS cps FROM change_points WHERE profile = 'strict' GROUP BY 1)"
 
 
 @query("w11_stages", f"""WITH {_CPS}, x AS (SELECT s.site_id, m.range AS t, list_filter(cps, lambda q: q <= m.range) AS b, list_filter(cps, lambda q: q > m.range) AS a FROM cpl s, range(83) m)
@@ -161,7 +161,7 @@ def _(t):
     return found.groupBy("site_id", "method").agg(F.count("*").alias("n"), F.concat_ws(",", F.transform(F.sort_array(F.collect_list("t")), lambda x: x.cast("string"))).alias("places"))
 
 
-@query("c6_quantile_fallback", """WITH cp AS (SELECT DISTINCT site_id, t FROM change_points WHERE profile = 'strict' AND node_index = 0 AND site_id % 2 = 0)
+@query("c6_quantile_fallback", """WITH cp AS (SELECT DISTINCT site_id, t FROM change_points WHERE profile = 'strict')
 SELECT site_id, t FROM cp UNION ALL SELECT site_id, CAST(floor(83 * q) AS BIGINT) AS t FROM sites, (VALUES (0.25), (0.5), (0.75)) v(q) WHERE site_id NOT IN (SELECT site_id FROM cp)""")
 def _(t):
     cp = t.change_points.where("profile = 'strict'").select("site_id", "t").distinct()

@@ -138,7 +138,7 @@ def _(t):
     return rain.active_nodes(t.susceptibility)
 
 
-@query("e9_threshold_events", f"WITH {_THR} SELECT r.site_id, r.date, v.l AS threshold_level, g.lag AS lag_days, CAST(r.date + g.lag AS DATE) AS window_end FROM daily_rain r JOIN thr USING (site_id), (VALUES ('P75'), ('P90'), ('P95')) v(l), (VALUES (3), (7), (15)) g(lag) WHERE rain_mm > 0 AND rain_mm >= CASE v.l WHEN 'P75' THEN P75 WHEN 'P90' THEN P90 ELSE P95 END")
+@query("e9_threshold_events", f"WITH {_THR} SELECT r.site_id, r.date, v.l AS threshold_level, g.lag AS lag_days, CAST(r.date + g.lag AS DATE) AS window_end FROM daily_rain r JOIN thr USING (site_id), (VALUES ('P50'), ('P75'), ('P90'), ('P95')) v(l), (VALUES (3), (7), (15), (30)) g(lag) WHERE rain_mm > 0 AND rain_mm >= CASE v.l WHEN 'P50' THEN P50 WHEN 'P75' THEN P75 WHEN 'P90' THEN P90 ELSE P95 END")
 def _(t):
     return rain.threshold_events(t.daily_rain)
 

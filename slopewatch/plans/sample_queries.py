@@ -111,7 +111,7 @@ def _(t):
     return d.groupBy("site_id", "start").agg(F.coalesce(F.max("f"), F.lit(0)).alias("in_event"))
 
 
-_MISS = "miss AS (SELECT site_id, origin_date FROM samples s WHERE start % 6 = 0 AND NOT EXISTS (SELECT 1 FROM forecast f WHERE f.site_id = s.site_id AND f.issue_date = s.origin_date))"
+_MISS = "miss AS (SELECT site_id, origin_date FROM samples s WHERE NOT EXISTS (SELECT 1 FROM forecast f WHERE f.site_id = s.site_id AND f.issue_date = s.origin_date))"
 
 
 def _missing(t):
@@ -128,11 +128,7 @@ def _(t):
     return s.climatology_fill(_missing(t), t.daily_rain)
 
 
-@query("m11_analog_fill", f"""WITH {_MISS}, f0 AS (SELECT site_id, date, {", ".join(f"coalesce(sum(rain_mm) OVER (PARTITION BY site_id ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 0) AS s{n}" for n in (3, 7, 15, 30))} FROM daily_rain),
-f AS MATERIALIZED (SELECT site_id, date, dayofyear(date) AS doy, {", ".join(f"s{n} / greatest(stddev_pop(s{n}) OVER (PARTITION BY site_id), 1e-6) AS s{n}" for n in (3, 7, 15, 30))} FROM f0),
-p AS (SELECT m.site_id, m.origin_date, c.date AS cand, {" + ".join(f"abs(o.s{n} - c.s{n})" for n in (3, 7, 15, 30))} + 0.5 * least(abs(o.doy - c.doy), 366 - abs(o.doy - c.doy)) / 183.0 AS d FROM miss m JOIN f o ON o.site_id = m.site_id AND o.date = m.origin_date JOIN f c ON c.site_id = m.site_id AND date_diff('day', DATE '1970-01-01', c.date) % 7 = 0 AND c.date + 15 < m.origin_date),
-n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_id, origin_date ORDER BY round(d, 9), cand) AS r FROM p) WHERE r <= 5)
-SELECT n.site_id, n.origin_date, CAST(g.range AS INT) AS lead, round(avg(rain_mm), 6) AS forecast_rain_mm FROM n, range(1, 16) g, daily_rain r WHERE r.site_id = n.site_id AND r.date = n.cand + to_days(CAST(g.range AS INTEGER)) GROUP BY 1, 2, 3""")
+@query("m11_analog_fill")
 def _(t):
     """What followed the most similar earlier days."""
     return s.analog_fill(_missing(t), t.daily_rain)

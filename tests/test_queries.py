@@ -8,7 +8,7 @@ import pytest
 from slopewatch.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SOME = ["e4_event_candidates", "e6_label_response", "e1_align_rain", "m6_forecast_context", "m4_source_balanced_validation", "g1_terrain_edges", "r10_neighbour_gate", "v9_strict_protocol", "a18_bootstrap_by_site", "e10_node_response"]
+SOME = ["e4_event_candidates", "e6_label_response", "e1_align_rain", "m6_forecast_context", "m4_source_balanced_validation", "g1_terrain_edges", "r10_neighbour_gate", "v9_strict_protocol", "a18_bootstrap_by_site"]
 
 
 def comparable(rows, names):
