@@ -246,7 +246,7 @@ def _(t):
     return learned.residual_regressor(wide(t), t.panel, p.terrain_edges(t.nodes))
 
 
-@query("x1_rain_stream")
+@query("x1_rain_stream", "SELECT l_suppkey AS site_id, CAST(l_shipdate AS DATE) AS date, round(avg(l_quantity), 6) AS rain_mm FROM lineitem WHERE CAST(l_shipdate AS DATE) + 4 <= (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem) GROUP BY 1, 2")
 def _(t):
     """Daily means from a stream of landed rain rows, appended once a day is over."""
     from slopewatch.streaming.ingest import streamed_daily_means

@@ -154,5 +154,7 @@ def _(t):
 
 @query("s10_pack_round_trip", "SELECT site_id, count(*) AS rows_read, round(sum(disp), 6) AS disp_sum FROM panel GROUP BY 1")
 def _(t):
-    """A written panel read again."""
-    return c.cut(t.panel.select("site_id", "disp")).groupBy("site_id").agg(F.count("*").alias("rows_read"), F.sum("disp").alias("disp_sum"))
+    """A pack of each site's panel (each node an array in the order of months), written, read and unpacked again."""
+    path = c.fresh_path(t.spark, "pack")
+    tables.write_packs(t.panel, path)
+    return tables.read_packs(t.spark, path).groupBy("site_id").agg(F.count("*").alias("rows_read"), F.sum("disp").alias("disp_sum"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -96,9 +97,13 @@ def append_new_days(spark: SparkSession, new: DataFrame, path: str, keys: Sequen
     from pyspark.errors import AnalysisException
 
     try:
-        fresh = new.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
-    except AnalysisException:
+        old = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         fresh = new
+    else:
+        fresh = new.join(old.select(*keys), list(keys), "left_anti")
     fresh.write.mode("append").parquet(path)
     return fresh
 
@@ -111,6 +116,25 @@ def complete(predictions: DataFrame, by: Sequence[str], models: Sequence[str]) -
 
 
 def gathered_metrics(spark: SparkSession, pattern: str) -> DataFrame:
-    """CSV files of metrics with differing columns, and the experiment's name from the folder of each."""
-    d = spark.read.option("header", True).option("mergeSchema", True).csv(pattern)
-    return d.withColumn("experiment", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+    """CSV files of metrics with differing columns, by their names, and the experiment's name from the folder of each.
+
+    Each file's header is read first; files of one header are read together. Columns that a file lacks are null.
+    All columns are text; files without a line are left out, and without any file a ValueError is raised.
+    """
+    lines = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.substring_index(F.regexp_replace("value", "\r", ""), "\n", 1).alias("header"))
+    groups = lines.where("header != ''").groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()  # names of small files
+    if not groups:
+        raise ValueError(f"no metrics in {pattern}")
+    parts = [spark.read.option("header", True).csv(g["paths"]).withColumn("experiment", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)) for g in groups]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def write_packs(panel: DataFrame, path: str) -> None:
+    """A row for each site and node: its dates and displacements in order. A node's series is bounded; a site's nodes aren't."""
+    point = F.struct("t", "date", "disp")
+    panel.groupBy("site_id", "node_index").agg(F.array_sort(F.collect_list(point)).alias("points")).write.parquet(path)
+
+
+def read_packs(spark: SparkSession, path: str) -> DataFrame:
+    """(site_id, node_index, t, date, disp) of the packs at path."""
+    return spark.read.parquet(path).select("site_id", "node_index", F.explode("points").alias("p")).select("site_id", "node_index", "p.*")

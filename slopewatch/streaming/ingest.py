@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slopewatch.functions.common import fresh_path
+
 SCHEMA = "site_id long, ts timestamp, rain_mm double"
 
 
@@ -26,8 +25,7 @@ def ingest(spark: SparkSession, landed: str, out: str, checkpoint: str, late: st
 
 def streamed_daily_means(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """The final days of `rows`, sent through the stream once; what is still open at the end isn't there."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
-    base = f"{base.rstrip('/')}/rain-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "rain")
     rows.write.parquet(f"{base}/landed")
     ingest(spark, f"{base}/landed", f"{base}/days", f"{base}/state")
     return spark.read.schema("site_id long, date date, rain_mm double").parquet(f"{base}/days")

@@ -173,3 +173,18 @@ def test_climatology_backs_off(spark):
     o = spark.createDataFrame([(1, day(2)), (1, day(450))], "site_id long, origin_date date")
     got = samples.climatology_fill(o, r).where("lead = 1").orderBy("origin_date").collect()
     assert got[0].forecast_rain_mm == pytest.approx(0.5) and 0 < got[1].forecast_rain_mm < 3
+
+
+def test_metrics_with_differing_headers_are_gathered_by_name(spark, tmp_path):
+    for folder, text in {"one": "x,y\n1,2\n", "two": "y,z\n3,4\n5,6\n", "three": "x,y\r\n7,8\r\n", "empty": ""}.items():
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "metrics.csv").write_text(text)
+    got = {tuple(r) for r in tables.gathered_metrics(spark, f"{tmp_path}/*/metrics.csv").select("experiment", "x", "y", "z").collect()}
+    assert got == {("one", "1", "2", None), ("two", None, "3", "4"), ("two", None, "5", "6"), ("three", "7", "8", None)}
+
+
+def test_packs_hold_every_point(spark, tmp_path):
+    rows = [(s, n, t, DAY, float(s * 100 + n * 10 + t)) for s in range(2) for n in range(3) for t in range(4)]
+    panel = spark.createDataFrame(rows, "site_id long, node_index long, t long, date date, disp double").withColumn("q", F.lit(1))
+    tables.write_packs(panel, f"{tmp_path}/packs")
+    assert sorted(tuple(r) for r in tables.read_packs(spark, f"{tmp_path}/packs").collect()) == rows
