@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -148,8 +149,37 @@ def quantile_fallback(change_points: DataFrame, series: DataFrame, by: Sequence[
 
 def exact_breaks(x: np.ndarray, breaks: int, least: int) -> list[int]:
     """The cuts of one series with the least squared error, by dynamic programming."""
-    n, s, ss = len(x), np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
+    s, ss = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
+    return least_cost_breaks(len(x), lambda a, b: ss[b] - ss[a] - (s[b] - s[a]) ** 2 / (b - a), breaks, least)
+
+
+def kernel_breaks(x: np.ndarray, breaks: int, least: int) -> list[int]:
+    """The cuts of one series with the least spread in the space of a Gaussian kernel, whose width is the median distance."""
+    far = (x[:, None] - x[None, :]) ** 2
+    usual = np.median(far[far > 0]) if (far > 0).any() else 1.0
+    upto = np.zeros((len(x) + 1, len(x) + 1))
+    upto[1:, 1:] = np.exp(-far / usual).cumsum(axis=0).cumsum(axis=1)
+    return least_cost_breaks(len(x), lambda a, b: (b - a) - (upto[b, b] - upto[a, b] - upto[b, a] + upto[a, a]) / (b - a), breaks, least)
+
+
+def window_breaks(x: np.ndarray, breaks: int, least: int) -> list[int]:
+    """Where the two halves of a sliding window differ most: the highest peaks that are `least` apart, the earlier one of equal ones."""
+    half = max(2 * least, min(40, len(x) // 4)) // 2
+    s, ss = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
     cost = lambda a, b: ss[b] - ss[a] - (s[b] - s[a]) ** 2 / (b - a)
+    at = np.arange(half, len(x) - half + 1)
+    gain = cost(at - half, at + half) - cost(at - half, at) - cost(at, at + half) if len(at) else np.zeros(0)
+    out: list[int] = []
+    for i in np.argsort(-gain, kind="stable").tolist():
+        if len(out) == breaks:
+            break
+        if all(abs(int(at[i]) - b) >= least for b in out):
+            out.append(int(at[i]))
+    return sorted(out)
+
+
+def least_cost_breaks(n: int, cost, breaks: int, least: int) -> list[int]:
+    """The cuts of a series of n values with the least sum of cost(a, b) over its pieces [a, b); a may be an array."""
     best = np.full((breaks + 1, n + 1), np.inf)
     back = np.zeros((breaks + 1, n + 1), np.int64)
     for e in range(least, n + 1):
@@ -157,7 +187,7 @@ def exact_breaks(x: np.ndarray, breaks: int, least: int) -> list[int]:
     for k in range(1, breaks + 1):
         for e in range((k + 1) * least, n + 1):
             a = np.arange(k * least, e - least + 1)
-            v = best[k - 1, a] + np.array([cost(i, e) for i in a])
+            v = best[k - 1, a] + cost(a, e)
             back[k, e], best[k, e] = a[v.argmin()], v.min()
     out, e = [], n
     for k in range(breaks, 0, -1):
@@ -200,11 +230,12 @@ def bottom_up_breaks(x: np.ndarray, breaks: int, least: int) -> list[int]:
 
 
 def solve_series(d: DataFrame, by: Sequence[str], value: str, method: str, breaks: int = 3, least: int = 5, penalty: float = 10.0) -> DataFrame:
-    """(by, method, t): change points of each series by exact, penalised or bottom_up; a task for each series, in order of t."""
+    """(by, method, t): change points of each series by exact, penalised, bottom_up, window or kernel; a task for each series, in order of t."""
     keys = list(by)
     types = dict(d.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", method string, t long"
-    solver = {"exact": lambda x: exact_breaks(x, breaks, least), "penalised": lambda x: penalised_breaks(x, penalty, least), "bottom_up": lambda x: bottom_up_breaks(x, breaks, least)}[method]
+    cuts = {"exact": exact_breaks, "bottom_up": bottom_up_breaks, "window": window_breaks, "kernel": kernel_breaks}
+    solver = (lambda x: penalised_breaks(x, penalty, least)) if method == "penalised" else lambda x: cuts[method](x, breaks, least)
 
     def task(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -300,6 +331,80 @@ def normalised_laplacian(edges: DataFrame) -> DataFrame:
 
 
 
+def symmetric_scaled(edges: DataFrame) -> DataFrame:
+    """(site_id, src, dst, weight): the mean of both directions' weights, divided by the site's largest; bad weights count as 0."""
+    w = F.when(~F.isnan("weight"), F.col("weight")).otherwise(0.0) / 2
+    both = edges.select("site_id", "src", "dst", w.alias("w")).union(edges.select("site_id", "dst", "src", w))
+    s = both.groupBy("site_id", "src", "dst").agg(F.sum("w").alias("w"))
+    top = s.groupBy("site_id").agg(F.max("w").alias("top"))
+    return s.join(top, "site_id").select("site_id", "src", "dst", F.when(F.col("top") > 0, F.col("w") / F.col("top")).otherwise(F.col("w")).alias("weight"))
+
+
+def renormalised_adjacency(weights: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(site_id, src, dst, value) of I + D^-1/2 (W + I) D^-1/2, with D the row sums of W + I. weights: symmetric; nodes: all, linked or not."""
+    own = nodes.select("site_id", F.col("node_index").alias("src"), F.col("node_index").alias("dst"), F.lit(1.0).alias("weight"))
+    a = weights.select("site_id", "src", "dst", "weight").union(own).groupBy("site_id", "src", "dst").agg(F.sum("weight").alias("a"))
+    d = a.groupBy("site_id", "src").agg(F.sum("a").alias("d"))
+    e = a.join(d, ["site_id", "src"]).join(d.select("site_id", F.col("src").alias("dst"), F.col("d").alias("d1")), ["site_id", "dst"])
+    return e.select("site_id", "src", "dst", (F.when(F.col("src") == F.col("dst"), 1.0).otherwise(0.0) + F.col("a") / F.sqrt(F.col("d") * F.col("d1"))).alias("value"))
+
+
+def applied(matrix: DataFrame, signal: DataFrame) -> DataFrame:
+    """(site_id, node_index, x): the matrix (site_id, src, dst, value) times the signal."""
+    d = matrix.join(signal.withColumnRenamed("node_index", "dst"), ["site_id", "dst"])
+    return d.groupBy("site_id", F.col("src").alias("node_index")).agg(F.sum(F.col("value") * F.col("x")).alias("x"))
+
+
+def scaled_laplacian(weights: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFrame:
+    """(site_id, src, dst, value) of 2 L / lambda - I, with L = I - D^-1/2 W D^-1/2 (0 for nodes without links) and lambda its largest eigenvalue.
+
+    lambda comes by Lanczos' recurrence, whose rounds are one join and two sums each, and are written: it is exact for
+    sites of at most `rounds` nodes, and close to it for others, where plain powers would take hundreds of rounds.
+    """
+    d = weights.groupBy("site_id", "src").agg(F.sum("weight").alias("d"))
+    e = weights.where("src != dst").join(d, ["site_id", "src"]).join(d.select("site_id", F.col("src").alias("dst"), F.col("d").alias("d1")), ["site_id", "dst"])
+    diagonal = nodes.select("site_id", F.col("node_index").alias("src")).join(d, ["site_id", "src"], "left").select("site_id", "src", F.col("src").alias("dst"), F.when(F.col("d") > 0, 1.0).otherwise(0.0).alias("value"))
+    matrix = cut(e.where("d > 0 and d1 > 0").select("site_id", "src", "dst", (-F.col("weight") / F.sqrt(F.col("d") * F.col("d1"))).alias("value")).union(diagonal))
+    start = F.pmod(F.col("node_index") * 7919 + F.col("node_index") * F.col("node_index") * 31, F.lit(101)) / 101.0 - 0.503
+    x = nodes.select("site_id", "node_index", start.alias("x"))
+    norm = x.groupBy("site_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
+    state = cut(x.join(norm, "site_id").select("site_id", "node_index", (F.col("x") / F.col("n")).alias("x"), F.lit(0.0).alias("before"), F.lit(0.0).alias("b")))
+    keys, steps = ["site_id", "node_index"], []
+    for k in range(rounds):
+        y = applied(matrix, state.select(*keys, "x")).withColumnRenamed("x", "y").join(state, keys).withColumn("y", F.col("y") - F.col("b") * F.col("before"))
+        y = cut(y)
+        a = y.groupBy("site_id").agg(F.sum(F.col("x") * F.col("y")).alias("a"))
+        y = y.join(a, "site_id").withColumn("y", F.col("y") - F.col("a") * F.col("x"))
+        c = cut(y.groupBy("site_id", "a").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("c")))
+        steps.append(c.select("site_id", F.lit(k).alias("k"), "a", "c"))
+        left = F.when(F.col("c") > 1e-9, F.col("y") / F.col("c")).otherwise(0.0)
+        state = cut(y.drop("b").join(c.drop("a"), "site_id").select(*keys, left.alias("x"), F.col("x").alias("before"), F.col("c").alias("b")))
+
+    def largest(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("k")
+        off = np.where(p["c"] > 1e-9, p["c"], 0.0)[:-1]
+        return pd.DataFrame({"site_id": [p["site_id"].iloc[0]], "lambda": [float(np.linalg.eigvalsh(np.diag(p["a"]) + np.diag(off, 1) + np.diag(off, -1)).max())]})
+
+    site = dict(nodes.dtypes)["site_id"]
+    top = reduce(DataFrame.union, steps).groupBy("site_id").applyInPandas(largest, f"site_id {site}, lambda double")
+    return matrix.join(top, "site_id").select("site_id", "src", "dst", (2 * F.col("value") / F.greatest("lambda", F.lit(1e-12)) - F.when(F.col("src") == F.col("dst"), 1.0).otherwise(0.0)).alias("value"))
+
+
+def chebyshev(matrix: DataFrame, signal: DataFrame, order: int) -> DataFrame:
+    """(site_id, node_index, k, x): the first `order` Chebyshev polynomials of the matrix, applied to the signal: k joins, not matrix products."""
+    if order < 1:
+        raise ValueError(f"the order must be 1 at least, not {order}")
+    before, now = None, signal.select("site_id", "node_index", "x")
+    out = now.withColumn("k", F.lit(0))
+    for k in range(1, order):
+        y = applied(matrix, now)
+        if before is not None:
+            y = y.withColumnRenamed("x", "y").join(before.withColumnRenamed("x", "b"), ["site_id", "node_index"]).select("site_id", "node_index", (2 * F.col("y") - F.col("b")).alias("x"))
+        before, now = now, cut(y)
+        out = out.union(now.withColumn("k", F.lit(k)))
+    return out.select("site_id", "node_index", "k", "x")
+
+
 def mdl_segmentation(d: DataFrame, by: Sequence[str], values: Sequence[str], penalty: float = 10.0, least: int = 5, rounds: int = 8) -> DataFrame:
     """(by, t): greedy splits of a many-valued series while the best split's gain exceeds max(0.5, penalty / 10) * values * ln T.
 

@@ -154,9 +154,9 @@ def _(t):
 
 @query("c8_method_sensitivity")
 def _(t):
-    """Change points of each site's mean signal by four methods, with their number and places."""
+    """Change points of each site's mean signal by six methods, with their number and places."""
     s = c.cut(p.cpd_signal(t.panel).select("site_id", "t", "mean"))
-    found = p.solve_series(s, ["site_id"], "mean", "exact").union(p.solve_series(s, ["site_id"], "mean", "penalised", penalty=2.0)).union(p.solve_series(s, ["site_id"], "mean", "bottom_up"))
+    found = p.solve_series(s, ["site_id"], "mean", "exact").union(p.solve_series(s, ["site_id"], "mean", "window")).union(p.solve_series(s, ["site_id"], "mean", "kernel")).union(p.solve_series(s, ["site_id"], "mean", "penalised", penalty=2.0)).union(p.solve_series(s, ["site_id"], "mean", "bottom_up"))
     found = found.union(p.binary_segmentation(s, ["site_id"], "mean", 3).select("site_id", F.lit("binary"), "t"))
     return found.groupBy("site_id", "method").agg(F.count("*").alias("n"), F.concat_ws(",", F.transform(F.sort_array(F.collect_list("t")), lambda x: x.cast("string"))).alias("places"))
 
@@ -221,6 +221,22 @@ def _(t):
     return p.normalised_laplacian(c.cut(p.terrain_edges(t.nodes)))
 
 
+_SYM = "sy0 AS (SELECT site_id, src, dst, sum(weight / 2) AS w FROM (SELECT site_id, src, dst, weight FROM edges UNION ALL SELECT site_id, dst, src, weight FROM edges) GROUP BY 1, 2, 3), sy AS (SELECT site_id, src, dst, CASE WHEN max(w) OVER (PARTITION BY site_id) > 0 THEN w / max(w) OVER (PARTITION BY site_id) ELSE w END AS w FROM sy0)"
+
+
+@query("g4_renormalised_adjacency", f"WITH {_EDGES}, {_SYM}, a AS (SELECT site_id, src, dst, sum(w) AS a FROM (SELECT site_id, src, dst, w FROM sy UNION ALL SELECT site_id, node_index, node_index, 1.0 FROM nodes) GROUP BY 1, 2, 3), d AS (SELECT site_id, src, sum(a) AS d FROM a GROUP BY 1, 2) SELECT a.site_id, a.src, a.dst, round(CASE WHEN a.src = a.dst THEN 1 ELSE 0 END + a / sqrt(d.d * e.d), 6) AS value FROM a JOIN d ON d.site_id = a.site_id AND d.src = a.src JOIN d e ON e.site_id = a.site_id AND e.src = a.dst")
+def _(t):
+    return p.renormalised_adjacency(c.cut(p.symmetric_scaled(c.cut(p.terrain_edges(t.nodes)))), t.nodes)
+
+
+@query("g4_chebyshev")
+def _(t):
+    """Three Chebyshev polynomials of the scaled Laplacian, applied to the last displacements."""
+    w = c.cut(p.symmetric_scaled(c.cut(p.terrain_edges(t.nodes))))
+    last = t.panel.groupBy("site_id", "node_index").agg(F.max_by("disp", "t").alias("x"))
+    return p.chebyshev(c.cut(p.scaled_laplacian(w, t.nodes)), c.cut(last), 3)
+
+
 @query("p1_bounding_box", "SELECT site_id, round(min(lon) - 0.01, 6) AS west, round(max(lon) + 0.01, 6) AS east, round(min(lat) - 0.01, 6) AS south, round(max(lat) + 0.01, 6) AS north FROM nodes GROUP BY 1")
 def _(t):
     return t.nodes.groupBy("site_id").agg((F.min("lon") - 0.01).alias("west"), (F.max("lon") + 0.01).alias("east"), (F.min("lat") - 0.01).alias("south"), (F.max("lat") + 0.01).alias("north"))

@@ -188,3 +188,54 @@ def test_packs_hold_every_point(spark, tmp_path):
     panel = spark.createDataFrame(rows, "site_id long, node_index long, t long, date date, disp double").withColumn("q", F.lit(1))
     tables.write_packs(panel, f"{tmp_path}/packs")
     assert sorted(tuple(r) for r in tables.read_packs(spark, f"{tmp_path}/packs").collect()) == rows
+
+
+def test_graph_forms_equal_dense_matrices(spark):
+    rng = np.random.default_rng(3)
+    n, edges, signal, nodes = 9, [], [], []
+    dense = {}
+    for site in (1, 2):
+        w = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.4), 1)
+        w[:, n - 1] = 0  # a node without links
+        edges += [(site, i, j, float(w[i, j])) for i in range(n) for j in range(n) if w[i, j]]
+        nodes += [(site, i) for i in range(n)]
+        x = rng.normal(size=n)
+        signal += [(site, i, float(v)) for i, v in enumerate(x)]
+        s = (w + w.T) / 2
+        s /= s.max()
+        a, d = s + np.eye(n), s.sum(axis=1)
+        r = np.where(d > 0, d, np.inf) ** -0.5
+        lap = np.diag((d > 0).astype(float)) - r[:, None] * s * r[None, :]
+        scaled = 2 * lap / np.linalg.eigvalsh(lap).max() - np.eye(n)
+        t = [x, scaled @ x]
+        t.append(2 * scaled @ t[1] - t[0])
+        dense[site] = np.eye(n) + a / np.sqrt(np.outer(a.sum(axis=1), a.sum(axis=1))), scaled, t
+    w = panel.symmetric_scaled(spark.createDataFrame(edges, "site_id long, src long, dst long, weight double"))
+    nodes = spark.createDataFrame(nodes, "site_id long, node_index long")
+
+    def matrix(df):
+        out = {s: np.zeros((n, n)) for s in dense}
+        for r in df.collect():
+            out[r.site_id][r.src, r.dst] = r.value
+        return out
+
+    adjacency, laplacian = matrix(panel.renormalised_adjacency(w, nodes)), panel.scaled_laplacian(w, nodes, 10)
+    found = matrix(laplacian)
+    got = {(r.site_id, r.node_index, r.k): r.x for r in panel.chebyshev(laplacian, spark.createDataFrame(signal, "site_id long, node_index long, x double"), 3).collect()}
+    for site, (a, scaled, t) in dense.items():
+        assert np.allclose(adjacency[site], a) and np.allclose(found[site], scaled, atol=1e-9)
+        assert all(got[site, i, k] == pytest.approx(t[k][i], abs=1e-7) for i in range(n) for k in range(3))
+
+
+def test_window_and_kernel_solvers_find_steps():
+    from itertools import combinations
+
+    x = np.concatenate([np.zeros(20), np.full(20, 5.0), np.full(20, 1.0)]) + np.random.default_rng(1).normal(size=60) * 0.1
+    assert panel.window_breaks(x, 2, 5) == [20, 40] == panel.kernel_breaks(x, 2, 5) == panel.exact_breaks(x, 2, 5)
+    y = np.random.default_rng(2).normal(size=24)
+    k = np.exp(-((y[:, None] - y[None, :]) ** 2) / np.median([(a - b) ** 2 for a in y for b in y if a != b]))
+    cost = lambda e: sum((b - a) - k[a:b, a:b].sum() / (b - a) for a, b in zip(e[:-1], e[1:], strict=True))
+    edges = [(0, *c, 24) for c in combinations(range(1, 24), 2)]
+    best = min((e for e in edges if min(np.diff(e)) >= 4), key=cost)
+    assert panel.kernel_breaks(y, 2, 4) == list(best[1:-1])
+    assert panel.window_breaks(np.zeros(3), 2, 5) == [] == panel.kernel_breaks(np.ones(6), 2, 5)
