@@ -27,10 +27,10 @@ from slopewatch.llm.shared import WordHashes, aside, small_or_shuffled, written
 BITS = 18
 #: Chi-square with the label from which on a column is used (a chance of 0.01), and that of a pair of near terms (1e-6).
 SINGLE_CHI, PAIR_CHI = 6.63, 23.93
-#: Words that near terms are apart, at most; training rows that a term and a toxic pair are in, at least.
-NEAR, LEAST_ROWS = 4, 3
+#: Words that near terms are apart, at most; training rows that a term is in, at least, and share of the rows of label 1 that a pair is in.
+NEAR, LEAST_ROWS, PAIR_SHARE = 4, 3, 0.01
 #: Pairs that may be broadcast; beyond it they are joined.
-BROADCAST_PAIRS = 1_000_000
+BROADCAST_PAIRS = 200_000
 #: Training rows that the machine is fitted on, at most; the counts for choosing columns cover all training rows.
 FIT_ROWS = 60_000
 THRESHOLD = 0.3
@@ -111,9 +111,10 @@ def _telling(counts: DataFrame, n: int, positive: int, least: float) -> DataFram
 def telling_pairs(train: DataFrame, n: int, positive: int) -> DataFrame:
     """(term) of the columns of near pairs that tell the label; pairs are looked for in rows of label 1 and counted in all."""
     counted = lambda d: d.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    seen = written(counted(_lists(train.where("label = 1"), near_pairs)).where(F.col("n") >= LEAST_ROWS).select("term"), "toxic-pairs")
+    least = max(LEAST_ROWS, int(PAIR_SHARE * positive))
+    seen = written(counted(_lists(train.where("label = 1"), near_pairs)).where(F.col("n") >= least).select("term"), "toxic-pairs")
     if seen.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
-        wanted = train.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in seen.collect()], np.int64)))
+        wanted = train.sparkSession.sparkContext.broadcast(np.sort(seen.toPandas()["term"].to_numpy(np.int64)))
         counts = counted(_lists(train, near_pairs, wanted))
     else:
         counts = counted(_lists(train, near_pairs)).join(seen, "term", "left_semi")
