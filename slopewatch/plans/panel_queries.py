@@ -126,7 +126,21 @@ def _(t):
     return p.best_split(t.panel, ["site_id", "node_index"], "q", 5)
 
 
-@query("c2_binary_segmentation")
+def _binary_sql(breaks: int = 4, least: int = 5, jump: int = 5) -> str:
+    """One round after the other: the best cut of each series' segments."""
+    key, ctes = "site_id, node_index", ["g0 AS (SELECT site_id, node_index, t, q, CAST(0 AS BIGINT) AS seg FROM panel)"]
+    for k in range(breaks):
+        ctes += [
+            f"s{k} AS (SELECT {key}, seg, t, sum(q) OVER w AS s, row_number() OVER w AS i, sum(q) OVER (PARTITION BY {key}, seg) AS ss, count(*) OVER (PARTITION BY {key}, seg) AS n FROM g{k} WINDOW w AS (PARTITION BY {key}, seg ORDER BY t))",
+            f"c{k} AS (SELECT {key}, seg, t + 1 AS t, s * s / i + (ss - s) * (ss - s) / (n - i) - ss * ss / n AS gain FROM s{k} WHERE i >= {least} AND n - i >= {least} AND (t + 1) % {jump} = 0)",
+            f"b{k} AS (SELECT {key}, seg, arg_max(t, struct_pack(a := round(gain, 6), b := t)) AS t, max(gain) AS gain FROM c{k} GROUP BY {key}, seg HAVING round(max(gain), 9) > 0)",
+            f"o{k} AS MATERIALIZED (SELECT {key}, arg_max(struct_pack(seg := seg, t := t), struct_pack(a := round(gain, 6), b := t)) AS x FROM b{k} GROUP BY {key})",
+            f"g{k + 1} AS MATERIALIZED (SELECT g.site_id, g.node_index, g.t, q, CASE WHEN g.seg = x.seg AND g.t >= x.t THEN x.t ELSE g.seg END AS seg FROM g{k} g LEFT JOIN o{k} o ON o.site_id = g.site_id AND o.node_index = g.node_index)",
+        ]
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT {key}, x.t AS t FROM o{k}" for k in range(breaks))
+
+
+@query("c2_binary_segmentation", _binary_sql())
 def _(t):
     """Four breaks of each node's monthly change, all series at once."""
     return p.binary_segmentation(t.panel, ["site_id", "node_index"], "q", 4)
