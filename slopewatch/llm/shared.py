@@ -67,7 +67,7 @@ def aside(df: DataFrame, taken: list[str]) -> tuple[DataFrame, list[Column]]:
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen last; bounded."""
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

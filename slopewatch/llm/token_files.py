@@ -25,7 +25,7 @@ from slopewatch.llm.shared import small_or_shuffled, written
 #: Ids of a segment, at least (the last of a part has what is left); a document is never divided.
 SEGMENT = 4_000_000
 #: Bytes of texts that are encoded together, about.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 #: The end id that follows each document.
 END = 2
 
@@ -56,7 +56,7 @@ class Encoder:
     to a special token: such pieces aren't plain.
     """
 
-    LIMIT = 250_000
+    LIMIT = 120_000
     CLASS, PLAIN = _classes(), re.compile(rb"(?:[!-&(-{}~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
     SIGNS = dict(enumerate(_byte_signs()))
 
