@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slopewatch.llm import ann, chat_format, decontaminate, histogram_shards, html_text, packing, token_files, toxicity, url_filter
+from slopewatch.llm import ann, byte_bpe, chat_format, decontaminate, fill_in_middle, histogram_shards, html_text, packing, token_files, toxicity, url_filter
 from slopewatch.llm.jaccard_join import jaccard_components
 
 
@@ -66,6 +66,16 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -77,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_approximate_neighbours": op9_approximate_neighbours,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 #: Words as the decontamination takes them: A-Z lower-cased, runs of digits, letters and characters beyond ASCII.
@@ -143,6 +155,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM repeated GROUP BY conv_id
 """
 
+#: The number that the k-th group of eight hexadecimal digits of h stands for.
+_DRAW = "CAST('0x' || substr(h, {0}, 8) AS BIGINT)"
+
+_OP11 = f"""
+WITH units AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT *, len(u) AS n, {_DRAW.format(1)} % (len(u) + 1) AS x, {_DRAW.format(9)} % (len(u) + 1) AS y, {_DRAW.format(17)} AS h3, {_DRAW.format(25)} AS h4 FROM units),
+cut AS (
+  SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1:least(x, y)], '') AS p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:n], '') AS s
+  FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM cut
+"""
+
 
 def _op3_sql(rounds: int = url_filter.ROUNDS) -> str:
     """The spread of trust and distrust, one common table for each round."""
@@ -174,4 +201,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_formatting": _OP5,
     "op1_benchmark_decontamination": _OP1,
     "op10_ngram_jaccard_join": _OP10,
+    "op11_fill_in_middle": _OP11,
 }
