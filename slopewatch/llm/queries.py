@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from slopewatch.llm import ann, byte_bpe, chat_format, decontaminate, fill_in_middle, histogram_shards, html_text, packing, token_files, toxicity, url_filter
+from slopewatch.llm import ann, byte_bpe, chat_format, decontaminate, fill_in_middle, histogram_shards, html_text, lexical_search, packing, token_files, toxicity, url_filter
 from slopewatch.llm.jaccard_join import jaccard_components
 
 
@@ -76,6 +76,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: Words as the decontamination takes them: A-Z lower-cased, runs of digits, letters and characters beyond ASCII.
@@ -170,6 +175,21 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
 FROM cut
 """
 
+_OP13 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sized),
+tfs AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM sized) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tfs, total GROUP BY term, docs),
+items AS (SELECT row_number() OVER () AS q, item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+asked AS (SELECT q, item_id, term, count(*) AS c FROM (SELECT q, item_id, unnest(w) AS term FROM items) GROUP BY ALL),
+scored AS (
+  SELECT q, item_id, doc_id, r, CAST(sum(c * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN sized USING (r), total GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+"""
+
 
 def _op3_sql(rounds: int = url_filter.ROUNDS) -> str:
     """The spread of trust and distrust, one common table for each round."""
@@ -202,4 +222,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": _OP1,
     "op10_ngram_jaccard_join": _OP10,
     "op11_fill_in_middle": _OP11,
+    "op13_lexical_search": _OP13,
 }
