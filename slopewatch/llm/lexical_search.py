@@ -2,9 +2,11 @@
 
 A document is a vector of the saturated frequencies of its terms, a query one of its terms' weights; the score is
 their inner product, in integers. Documents are dealt into blocks, and each block becomes a tree of balls (a centroid
-and a radius). No document of a ball scores more than the query's product with the centroid plus its length times
-the radius, so subtrees are opened best first until no ball can hold a better document than those found; only then
-are the documents of a leaf scored, exactly.
+and radii). No document of a ball scores more than the query's product with the centroid plus its length times the
+radius, nor, as weights aren't negative, more than its product with the centroid plus the radius for each term. By
+the lesser of both, subtrees are opened best first until no ball can hold a better document than those found, and the
+documents of a leaf are scored exactly. In sparse texts of many terms the radius of the whole ball is much longer than
+any query's share of it, and it's the radii for each term that close balls.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ TOP = 20
 LENGTH_SHARE, SATURATION, UNIT = 25, 12, 1000
 #: Documents and terms of documents in a block, at most (one document more is taken whole); documents in a leaf, at least.
 BLOCK_DOCS, BLOCK_TERMS, LEAF = 8192, 1_500_000, 32
-#: Numbers in the centroids of a block, about; leaves grow where the vocabulary is large.
-CENTROID_NUMBERS = 8_000_000
+#: Numbers in the centroids of a block, about, and in the radii; leaves grow where the vocabulary is large.
+CENTROID_NUMBERS = 4_000_000
 #: Documents whose scores give every query a score to beat before the search, about (chosen by a hash of the id).
 SEED_DOCS = 20_000
 
@@ -78,7 +80,7 @@ class BallTree:
         leaf = max(LEAF, -(-2 * n * width // CENTROID_NUMBERS))
         self.depth = max(0, math.ceil(math.log2(n / leaf)))
         nodes = (2 << self.depth) - 1
-        self.centroid, self.radius = np.zeros((nodes, width)), np.zeros(nodes)
+        self.centroid, self.radius, self.above = np.zeros((nodes, width)), np.zeros(nodes), np.zeros((nodes, width))
         self.low, self.high = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
         self.high[0] = n
         order = np.arange(n)
@@ -93,6 +95,8 @@ class BallTree:
             # rounding can't make the radius too small: what was subtracted counts with 1e-9 of its size
             self.centroid[node] = center
             self.radius[node] = math.sqrt(max(0.0, float(far.max())) + 1e-9 * float(square.max() + middle)) * (1 + 1e-9)
+            np.maximum.at(self.above[node], part.term, real.value)
+            self.above[node] -= center
             if 2 * node + 2 < nodes:
                 one = int(far.argmax())
                 pole = np.zeros(width)
@@ -109,8 +113,8 @@ class BallTree:
     def bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """For each node, a number that no score of its rows exceeds."""
         w = weights.astype(float)
-        exact = self.centroid[:, terms] @ w + math.sqrt(float(w @ w)) * self.radius
-        return exact * (1 + 1e-9) + 1
+        center = self.centroid[:, terms] @ w
+        return (center + np.minimum(math.sqrt(float(w @ w)) * self.radius, self.above[:, terms] @ w)) * (1 + 1e-9) + 1
 
     def search(self, terms: np.ndarray, weights: np.ndarray, dense: np.ndarray, best: Best) -> int:
         """Adds to `best` all rows that belong to it; returns the number of rows scored. dense: the query, zeros elsewhere."""
