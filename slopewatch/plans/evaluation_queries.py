@@ -174,14 +174,6 @@ def _lagged(t):
 _RANK = lambda v: f"rank() OVER (PARTITION BY site_id, lag ORDER BY {v}) + (count(*) OVER (PARTITION BY site_id, lag, {v}) - 1) / 2.0"
 
 
-@query("e14_lag_screen", f"WITH {_LAG}, k AS (SELECT *, {_RANK('x')} AS rx, {_RANK('y')} AS ry FROM cl), hq AS (SELECT site_id, lag, quantile_cont(x, 0.9) AS hi, quantile_cont(x, 0.5) AS lo FROM cl GROUP BY 1, 2) SELECT k.site_id, k.lag, count(*) AS n, round(corr(rx, ry), 6) AS rho, round(avg(y) FILTER (WHERE x >= hi) - avg(y) FILTER (WHERE x <= lo), 6) AS delta FROM k JOIN hq ON hq.site_id = k.site_id AND hq.lag = k.lag GROUP BY 1, 2 HAVING count(*) >= 8")
-def _(t):
-    """Lagged rank correlation and high against low contrast."""
-    d = _lagged(t)
-    s = ev.spearman(d, ["site_id", "lag"], "x", "y")
-    return s.join(ev.high_low_contrast(d, ["site_id", "lag"], "x", "y"), ["site_id", "lag"]).select("site_id", "lag", "n", "rho", "delta")
-
-
 @query("a16_permutation_p", f"""WITH {_LAG}, k AS (SELECT *, {_RANK('x')} AS rx, {_RANK('y')} AS ry FROM cl WHERE lag = 1), i AS MATERIALIZED (SELECT site_id, rx, ry, row_number() OVER (PARTITION BY site_id ORDER BY t) AS i FROM k),
 pe AS (SELECT site_id, p.range AS p, i, rx, ry, row_number() OVER (PARTITION BY site_id, p.range ORDER BY {_DRAW('p.range', 'i', '65521')}, i) AS j FROM i, range(1, 51) p), rr AS (SELECT a.site_id, a.p, round(corr(a.rx, b.ry), 9) AS r FROM pe a JOIN pe b ON b.site_id = a.site_id AND b.p = a.p AND b.j = a.i GROUP BY 1, 2), ow AS (SELECT site_id, round(corr(rx, ry), 9) AS rho FROM i GROUP BY 1)
 SELECT rr.site_id, round(rho, 6) AS rho, round((count(*) FILTER (WHERE abs(r) >= abs(rho)) + 1) / 51.0, 6) AS p FROM rr JOIN ow ON ow.site_id = rr.site_id GROUP BY 1, rho""")
