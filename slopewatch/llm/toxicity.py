@@ -4,7 +4,7 @@ The machine adds to a linear model a weight for each pair of terms, the product
 insult counts for more beside the mention of a group than either counts alone. It is trained by Spark's
 FMClassifier. Terms are hashed; which of the hashed columns carry a sign of the label is counted over all training
 rows first: columns that tell by themselves, and columns of two terms that tell when they stand near each other, even
-if neither does alone. Their number isn't limited; it grows with what the rows can prove.
+if neither does alone. Significance alone decides; the number of columns grows with what the rows can prove.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ from slopewatch.llm.shared import WordHashes, aside, small_or_shuffled, written
 BITS = 18
 #: Chi-square with the label from which on a column is used (a chance of 0.01), and that of a pair of near terms (1e-6).
 SINGLE_CHI, PAIR_CHI = 6.63, 23.93
-#: Words that near terms are apart, at most; training rows that a term is in, at least, and share of the rows of label 1 that a pair is in.
-NEAR, LEAST_ROWS, PAIR_SHARE = 4, 3, 0.01
-#: Pairs that may be broadcast; beyond it they are joined.
-BROADCAST_PAIRS = 200_000
+#: Words that near terms are apart, at most; training rows that a term is in, at least (of a pair: rows of label 1).
+NEAR, LEAST_ROWS = 4, 3
+#: Size of the filter that pairs pass before they are counted, as a power of two of bits: 8 MB, whatever the corpus. Pairs that
+#: pass it by chance are counted in vain and dropped by the join after it.
+FILTER_BITS = 26
 #: Training rows that the machine is fitted on, at most; the counts for choosing columns cover all training rows.
 FIT_ROWS = 60_000
 THRESHOLD = 0.3
@@ -87,15 +88,37 @@ def near_pairs(text: str | None, columns: _Columns) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
+def _bit(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """The bit that a pair sets in a filter of 1 << bits."""
+    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _pair_filter(pairs: DataFrame) -> np.ndarray:
+    """The filter of (term), in bytes: its words of 32 bits are made on the executors, at most 1 << (FILTER_BITS - 5) rows."""
+
+    bits = FILTER_BITS
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bit = _bit(b.column(0).to_numpy(zero_copy_only=False), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(bit >> 5), pa.array(np.left_shift(1, bit & 31))], names=["word", "mask"])
+
+    words = pairs.mapInArrow(task, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(1 << bits - 5, np.uint32)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().astype(np.uint32)
+    return out
+
+
 def _lists(df: DataFrame, of, wanted=None) -> DataFrame:
-    """(doc_id, label, terms) of rows (doc_id, text, label); of: what makes the numbers of a text; wanted: broadcast sorted numbers that stay."""
+    """(doc_id, label, terms) of rows (doc_id, text, label); of: what makes the numbers of a text; wanted: broadcast filter of the pairs that stay."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = _Columns()
         for b in batches:
             terms = [of(x.as_py(), columns) for x in b.column(1)]
             if wanted is not None:
-                terms = [t[np.isin(t, wanted.value, assume_unique=True)] for t in terms]
+                bits = len(wanted.value).bit_length() + 4
+                terms = [t[wanted.value[(bit := _bit(t, bits)) >> 5] >> (bit & 31).astype(np.uint32) & 1 == 1] for t in terms]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(terms, pa.list_(pa.int64()))], names=["doc_id", "label", "terms"])
 
     return df.mapInArrow(task, "doc_id long, label int, terms array<bigint>")
@@ -111,13 +134,9 @@ def _telling(counts: DataFrame, n: int, positive: int, least: float) -> DataFram
 def telling_pairs(train: DataFrame, n: int, positive: int) -> DataFrame:
     """(term) of the columns of near pairs that tell the label; pairs are looked for in rows of label 1 and counted in all."""
     counted = lambda d: d.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    least = max(LEAST_ROWS, int(PAIR_SHARE * positive))
-    seen = written(counted(_lists(train.where("label = 1"), near_pairs)).where(F.col("n") >= least).select("term"), "toxic-pairs")
-    if seen.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
-        wanted = train.sparkSession.sparkContext.broadcast(np.sort(seen.toPandas()["term"].to_numpy(np.int64)))
-        counts = counted(_lists(train, near_pairs, wanted))
-    else:
-        counts = counted(_lists(train, near_pairs)).join(seen, "term", "left_semi")
+    seen = written(counted(_lists(train.where("label = 1"), near_pairs)).where(F.col("n") >= LEAST_ROWS).select("term"), "toxic-pairs")
+    wanted = train.sparkSession.sparkContext.broadcast(_pair_filter(seen))
+    counts = counted(_lists(train, near_pairs, wanted)).join(seen, "term", "left_semi")
     pair = F.col("term")
     return _telling(counts, n, positive, PAIR_CHI).select(F.explode(F.array(F.shiftright(pair, BITS), pair.bitwiseAND(F.lit((1 << BITS) - 1)))).alias("term"))
 
