@@ -56,6 +56,8 @@ NO_WORD = frozenset(
     "ad ads advert advertisement adsbygoogle sponsored promo comments comment-list commentlist disqus_thread respond cookie-notice cookie-banner cookies consent newsletter newsletter-signup"
     " popup modal sidebar breadcrumb breadcrumbs pagination pager navbar nav menu site-header site-footer masthead share sharing share-buttons social social-share related related-posts recommended widget notice skip-link".split()
 )
+#: The words that count within an article, and only on elements that hold others: adverts, reader comments, consent and sharing.
+INNER_WORD = frozenset("ad ads advert advertisement adsbygoogle sponsored comments comment-list commentlist disqus_thread respond cookie-notice cookie-banner cookies consent share sharing share-buttons social-share".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that hold text themselves; the content isn't followed into them.
 TEXT = HEADINGS | frozenset("p li ul ol dl dt dd blockquote pre figure figcaption caption address".split())
@@ -65,7 +67,8 @@ LAYOUT = r"(?i)<(header|nav|main|article|aside|footer)[\s>]"
 #: Comments, declarations and tags. Each alternative takes a place of the text once, so no page takes longer than in proportion to its size.
 _TAG = r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>"
 _TOKEN, _TOKEN_OR_CDATA = re.compile(_TAG, re.S), re.compile(r"<!\[CDATA\[(?P<cdata>.*?)\]\]>|" + _TAG, re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: An attribute's name and value. Values are consumed whole, so that names inside them aren't seen.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+))?""")
 _SPACE = re.compile(r"[\s ]+")
 
 
@@ -227,7 +230,9 @@ def aligned(page: Node, wrapper: Node) -> list[tuple[Node, Node]]:
         x, y = a.elements(), b.elements()
         if len(x) * len(y) > MOST_PAIRS:
             chosen = in_order(x, y)
-            size = 1 + sum(match(x[i], y[j]) if x[i].kids and y[j].kids else 1 for i, j in chosen)
+            size = 1
+            for i, j in chosen:  # no generator: its calls would take machine stack in deep trees
+                size += match(x[i], y[j]) if x[i].kids and y[j].kids else 1
             sizes[a.number, b.number] = size, [(x[i], y[j]) for i, j in chosen]
             return size
         # equal elements without children at the beginning count one whatever they are matched with: so they are a pair
@@ -336,11 +341,18 @@ class Wrapper:
 
 
 def attribute(node: Node) -> dict[str, str]:
-    return {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(node.attributes)} if node.attributes else {}
+    """The node's attributes by their lower-cased names; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for k, v in _ATTRIBUTE.findall(node.attributes) if node.attributes else ():
+        found.setdefault(k.lower(), v.strip("\"'"))
+    return found
 
 
 def no_article(node: Node, inside: bool) -> bool:
-    """Whether a node's role says that it is no part of the article; `inside`: it is within an article."""
+    """Whether a node's tag, role or words say that it is no part of the article; `inside`: it is within an article.
+
+    There, few words count, and not those of paragraphs and other elements of text.
+    """
     if node.tag in NO_ARTICLE or node.tag == "header" and not inside:
         return True
     if not node.attributes or node.tag in ("body", "html", "article", "main", "#root") and not inside:
@@ -348,7 +360,9 @@ def no_article(node: Node, inside: bool) -> bool:
     a = attribute(node)
     if a.get("role", "").lower() in NO_ROLE or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
-    return not NO_WORD.isdisjoint(f"{a.get('class', '')} {a.get('id', '')}".lower().split())
+    if inside and node.tag in TEXT:
+        return False
+    return not (INNER_WORD if inside else NO_WORD).isdisjoint(f"{a.get('class', '')} {a.get('id', '')}".lower().split())
 
 
 def blocks(node: Node, dropped: set[int], inside: bool) -> list[str]:
