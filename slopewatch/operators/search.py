@@ -149,11 +149,12 @@ def hard_switches(w: DataFrame, by: Sequence[str], experts: Sequence[str], risk:
     """(by, scope, official, event, calm, threshold, mae): every triple of experts at every threshold.
 
     w: is_fallback, y_true, the experts, `risk` and `scope`. Official rows take their expert, fallback rows the event
-    expert from the threshold on and the calm one below (a null risk is below all). Rows are added up once by the bin
+    expert from the threshold on and the calm one below (a null or NaN risk is below all). Rows are added up once by the bin
     of their risk; running sums over the bins (one more than thresholds) give both sides of every threshold.
     """
     cuts = sorted(float(x) for x in thresholds)
-    bin_ = F.when(~F.col("is_fallback"), -1).otherwise(sum((F.coalesce(F.col(risk) >= c, F.lit(False)).cast("int") for c in cuts[1:]), F.coalesce(F.col(risk) >= cuts[0], F.lit(False)).cast("int")))
+    known = F.when(~F.isnan(F.col(risk).cast("double")), F.col(risk).cast("double"))
+    bin_ = F.when(~F.col("is_fallback"), -1).otherwise(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.coalesce(known >= c, F.lit(False)))))
     errors = [F.sum(F.abs(F.col(m) - F.col("y_true"))).alias(f"e_{m}") for m in experts]
     bins = w.groupBy(*by, scope, bin_.alias("_b")).agg(F.count("*").alias("n"), *errors)
     key = [*by, scope]

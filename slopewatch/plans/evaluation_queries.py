@@ -213,12 +213,6 @@ def _(t):
     return _response(t).groupBy("lag_days").pivot("profile", ["strict", "medium"]).agg(F.count(F.when(F.col("p_value") < 0.1, 1)))
 
 
-@query("c7_region_clusters")
-def _(t):
-    """Nodes of each site in regions by k-means of position and motion, with the regions' first change point."""
-    return learned.region_changes(t.nodes, t.panel)
-
-
 @query("r14_calibrator_fit")
 def _(t):
     """A logistic model of the response to events; its JSON and errors."""
