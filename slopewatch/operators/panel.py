@@ -272,23 +272,32 @@ def group_summary(nodes: DataFrame, panel: DataFrame, susceptibility: DataFrame,
 def nearest_nodes(nodes: DataFrame, k: int = 4, cell: float = 0.005) -> DataFrame:
     """(site_id, src, dst, d2, rank): the k nearest other nodes of the site, ties to the smaller index.
 
-    Nodes meet within rings of grid cells; a ring is final once k neighbours lie within its safe radius. Nodes that
-    are still short after three rings (sparse sites) are compared with all nodes of their own site.
+    Nodes meet those within two rings of grid cells, and are done once k of them lie within two cells' length. The
+    others go on in cells of twice the size, level by level, until all are done or two cells' length spans every site;
+    so a node meets as many others as its surroundings ask for, never all of its site at once.
     """
-    n = nodes.select("site_id", "node_index", "lon", "lat", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
+    n = cut(nodes.select("site_id", "node_index", "lon", "lat"))
+    span = n.groupBy("site_id").agg(F.greatest(F.max("lon") - F.min("lon"), F.max("lat") - F.min("lat")).alias("s")).agg(F.max("s")).first()[0] or 0.0
     w = Window.partitionBy("site_id", "src").orderBy(F.round("d2", 12), "dst")
-    right = n.select("site_id", F.col("node_index").alias("dst"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "cx", "cy")
     d2 = ((F.col("lon") - F.col("lon2")) ** 2 + (F.col("lat") - F.col("lat2")) ** 2).alias("d2")
-    ring = F.sequence(F.lit(-2), F.lit(2))
-    left = n.withColumn("dx", F.explode(ring)).withColumn("dy", F.explode(ring))
-    left = left.select("site_id", F.col("node_index").alias("src"), "lon", "lat", (F.col("cx") + F.col("dx")).alias("cx"), (F.col("cy") + F.col("dy")).alias("cy"))
-    near = left.join(right, ["site_id", "cx", "cy"]).where("src != dst").select("site_id", "src", "dst", d2)
-    near = cut(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-    good = near.groupBy("site_id", "src").agg(F.count("*").alias("c"), F.max("d2").alias("m")).where((F.col("c") == k) & (F.col("m") <= (2 * cell) ** 2)).select("site_id", "src")
-    rest = n.select("site_id", F.col("node_index").alias("src"), "lon", "lat").join(good, ["site_id", "src"], "left_anti")
-    far = rest.join(right.drop("cx", "cy"), "site_id").where("src != dst").select("site_id", "src", "dst", d2)
-    far = far.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return near.join(good, ["site_id", "src"], "left_semi").unionByName(far)
+    todo, found, size = n.withColumnRenamed("node_index", "src"), None, cell
+    while True:
+        place = lambda c, size=size: F.floor(F.col(c) / size)
+        right = n.select("site_id", F.col("node_index").alias("dst"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), place("lon").alias("cx"), place("lat").alias("cy"))
+        ring = F.sequence(F.lit(-2), F.lit(2))
+        left = todo.withColumn("dx", F.explode(ring)).withColumn("dy", F.explode(ring))
+        left = left.select("site_id", "src", "lon", "lat", (place("lon") + F.col("dx")).alias("cx"), (place("lat") + F.col("dy")).alias("cy"))
+        near = left.join(right, ["site_id", "cx", "cy"]).where("src != dst").select("site_id", "src", "dst", d2)
+        near = cut(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+        if 2 * size >= span:
+            return near if found is None else found.unionByName(near)
+        good = near.groupBy("site_id", "src").agg(F.count("*").alias("c"), F.max("d2").alias("m")).where((F.col("c") == k) & (F.col("m") <= (2 * size) ** 2)).select("site_id", "src")
+        done = near.join(good, ["site_id", "src"], "left_semi")
+        found = done if found is None else found.unionByName(done)
+        todo = cut(todo.join(good, ["site_id", "src"], "left_anti"))
+        if todo.isEmpty():
+            return found
+        size *= 2
 
 
 def terrain_edges(nodes: DataFrame, k: int = 4, least: float = 0.23) -> DataFrame:

@@ -130,26 +130,43 @@ def normalised_context(d: DataFrame, flags: Sequence[str], ages: dict[str, float
     return d.withColumns({c: F.least(F.greatest(z(c), F.lit(-5.0)), F.lit(5.0)) for c in others}).drop(*[f"_{k}{c}" for c in others for k in "ms"])
 
 
+def seasonal_sums(rain: DataFrame, origins: DataFrame) -> DataFrame:
+    """(site_id, year, doy, own_s, own_n, prev_s, prev_n): running sums and counts of rain over the days of a year up to
+    doy (0 to 366), and the same summed up over all earlier years. Years reach from a site's first rain to its last origin."""
+    days = rain.groupBy("site_id", F.year("date").alias("year"), F.dayofyear("date").alias("doy")).agg(F.coalesce(F.sum("rain_mm"), F.lit(0.0)).alias("s"), F.count("*").alias("n"))
+    years = days.select("site_id", "year").union(origins.select("site_id", F.year("origin_date").alias("year"))).groupBy("site_id").agg(F.min("year").alias("a"), F.max("year").alias("b"))
+    grid = years.select("site_id", F.explode(F.sequence("a", "b")).alias("year")).withColumn("doy", F.explode(F.sequence(F.lit(0), F.lit(366))))
+    d = grid.join(days, ["site_id", "year", "doy"], "left").fillna(0, ["s", "n"])
+    within = Window.partitionBy("site_id", "year").orderBy("doy").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.select("site_id", "year", "doy", *[F.sum(c).over(within).alias(f"own_{c}") for c in "sn"])
+    earlier = Window.partitionBy("site_id", "doy").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
+    return d.select("*", *[F.coalesce(F.sum(f"own_{c}").over(earlier), F.lit(0)).alias(f"prev_{c}") for c in "sn"])
+
+
 def climatology_fill(origins: DataFrame, rain: DataFrame, leads: int = 15, half: int = 30, least: int = 5) -> DataFrame:
     """(site_id, origin_date, lead, valid_date, forecast_rain_mm): mean of earlier rain within `half` days of the year of
     each lead day; where fewer than `least` days are known, the mean of the last 90 days, else of all earlier days.
 
-    Rain is summed up by site, year and day of year first; an origin meets the days of earlier years, and those of
-    its own year before it, by the day of the year, never all of the rain.
+    Sums and counts come from running sums over (day of the year, year): the days near a lead day are one stretch of
+    the year, or two around its end, and each end of a stretch is two lookups, one for all earlier years and one for
+    the origin's own year, which ends before the origin.
     """
     lead = origins.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(leads)))).withColumn("valid_date", F.expr("date_add(origin_date, lead)"))
-    near = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: F.pmod(F.dayofyear("valid_date") + k - 1, F.lit(366)) + 1)
-    asked = lead.withColumn("doy", F.explode(near))
-    r = rain.select("site_id", F.dayofyear("date").alias("doy"), F.col("date").alias("day"), "rain_mm")
-    sums = r.groupBy("site_id", "doy").agg(F.array_sort(F.collect_list(F.struct("day", "rain_mm"))).alias("days"))
-    m = asked.join(sums, ["site_id", "doy"])
-    past = F.filter("days", lambda x: x["day"] < F.col("origin_date"))
-    m = m.groupBy("site_id", "origin_date", "lead", "valid_date").agg(F.sum(F.aggregate(past, F.lit(0.0), lambda a, x: a + x["rain_mm"])).alias("s"), F.sum(F.size(past)).alias("n"))
+    v, before_origin = F.dayofyear("valid_date"), F.dayofyear("origin_date") - 1
+    end = lambda at, sign, when=F.lit(True): F.when(when, F.struct(at.cast("int").alias("at"), F.lit(sign).alias("sign")))
+    wraps_back, wraps_on = v - half < 1, v + half > 366
+    ends = F.array_compact(F.array(end(F.least(v + half, F.lit(366)), 1), end(F.greatest(v - half, F.lit(1)) - 1, -1), end(F.lit(366), 1, wraps_back), end(v - half + 365, -1, wraps_back), end(v + half - 366, 1, wraps_on), end(F.lit(0), -1, wraps_on)))
+    key = ["site_id", "origin_date", "lead", "valid_date"]
+    asked = lead.select(*key, F.year("origin_date").alias("year"), before_origin.alias("_o"), F.explode(ends).alias("e"))
+    both = F.explode(F.array(F.struct(F.lit("prev").alias("of"), F.col("e.at").alias("doy")), F.struct(F.lit("own").alias("of"), F.least("e.at", "_o").alias("doy"))))
+    asked = asked.select(*key, "year", F.col("e.sign").alias("sign"), both.alias("x")).select(*key, "year", "sign", "x.of", "x.doy")
+    part = lambda c: F.sum(F.col("sign") * F.when(F.col("of") == "prev", F.col(f"prev_{c}")).otherwise(F.col(f"own_{c}"))).alias(c)
+    m = asked.join(seasonal_sums(rain, origins), ["site_id", "year", "doy"]).groupBy(*key).agg(part("s"), part("n"))
     before = lambda k: Window.partitionBy("site_id").orderBy("date").rowsBetween(k, -1)
     back = rain.select("site_id", F.col("date").alias("origin_date"), F.avg("rain_mm").over(before(-90)).alias("m90"))
-    d = lead.join(m, ["site_id", "origin_date", "lead", "valid_date"], "left").join(back, ["site_id", "origin_date"], "left")
+    d = lead.join(m, key, "left").join(back, ["site_id", "origin_date"], "left")
     value = F.when(F.col("n") >= least, F.col("s") / F.col("n")).otherwise(F.coalesce("m90", F.lit(0.0)))
-    return d.select("site_id", "origin_date", "lead", "valid_date", F.greatest(value, F.lit(0.0)).alias("forecast_rain_mm"))
+    return d.select(*key, F.greatest(value, F.lit(0.0)).alias("forecast_rain_mm"))
 
 
 def analog_fill(origins: DataFrame, rain: DataFrame, k: int = 5, leads: int = 15, sums: Sequence[int] = (3, 7, 15, 30), least: int = 20) -> DataFrame:
