@@ -48,7 +48,10 @@ class Model:
 
     def score(self, terms: np.ndarray) -> float:
         """terms: distinct hashed columns of a text."""
-        at = [self.column[t] for t in terms.tolist() if t in self.column]
+        return self.of_places([self.column[t] for t in terms.tolist() if t in self.column])
+
+    def of_places(self, at: list[int]) -> float:
+        """The score of a text that has the columns at these places, each once."""
         z = self.bias
         if at:
             v = self.factors[at]
@@ -65,6 +68,17 @@ class _Columns(WordHashes):
         return found
 
 
+class _Places(WordHashes):
+    """The place of each word's column in a model, or -1."""
+
+    def __init__(self, column: dict[int, int]) -> None:
+        self.column = column
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = self.column.get(super().__missing__(word) & ((1 << BITS) - 1), -1)
+        return found
+
+
 def terms_of(text: str | None, columns: _Columns) -> np.ndarray:
     """Distinct columns of a whole text's words (runs of letters and digits, A-Z lower-cased)."""
     if not text:
@@ -166,9 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, factors: int = 4, iterations: int =
 
     words = CountVectorizerModel.from_vocabulary([str(t) for t in column], inputCol="words", outputCol="features").setBinary(True)
     data = words.transform(rows.where(part).select(F.col("label").cast("double").alias("label"), F.col("terms").cast("array<string>").alias("words")))
-    data = data.select("label", "features").repartition(8).cache()
+    data = data.select("label", "features").repartition(8)  # not cached: the learner keeps its vectors itself, decoded
     fm = FMClassifier(factorSize=factors, maxIter=iterations, stepSize=0.1, regParam=1e-4, initStd=0.05, solver="adamW", seed=7, tol=1e-5).fit(data)
-    data.unpersist()
     return Model(column, float(fm.intercept), fm.linear.toArray(), fm.factors.toArray())
 
 
@@ -177,9 +190,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns, m = _Columns(), shared.value
+        m = shared.value
+        places = _Places(m.column)
         for b in batches:
-            scores = [m.score(terms_of(x.as_py(), columns)) for x in b.column(b.schema.names.index("text"))]
+            texts = (x.as_py() for x in b.column(b.schema.names.index("text")))
+            scores = [m.of_places(sorted({*map(places.__getitem__, set(words_of(t or "")))} - {-1})) for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "_score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
