@@ -126,11 +126,11 @@ def _(t):
     return g.drop("n").orderBy("pos", "model", "horizon").limit(5)
 
 
-@query("u1_union_of_sources", "SELECT site_id, issue_date, source, forecast_rain_mm AS rain, CAST(NULL AS DOUBLE) AS observed FROM forecast UNION ALL SELECT site_id, date, 'gauge', NULL, rain_mm FROM daily_rain WHERE day(date) = 1")
+@query("u1_union_of_sources", "SELECT site_id, issue_date, source, forecast_rain_mm AS rain, CAST(NULL AS DOUBLE) AS observed FROM forecast UNION ALL SELECT site_id, date, 'gauge', NULL, rain_mm FROM daily_rain")
 def _(t):
     """Rows with differing columns, aligned by name."""
     a = t.forecast.select("site_id", "issue_date", "source", F.col("forecast_rain_mm").alias("rain"))
-    b = t.daily_rain.where("day(date) = 1").select("site_id", F.col("date").alias("issue_date"), F.lit("gauge").alias("source"), F.col("rain_mm").alias("observed"))
+    b = t.daily_rain.select("site_id", F.col("date").alias("issue_date"), F.lit("gauge").alias("source"), F.col("rain_mm").alias("observed"))
     return a.unionByName(b, allowMissingColumns=True)
 
 

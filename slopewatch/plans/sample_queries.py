@@ -20,9 +20,9 @@ def folds(t):
     return s.rolling_folds(t.samples, _CPS, 12, val=12, test=12, least=(6, 4, 4))
 
 
-@query("m1_fixed_split", "SELECT site_id, t, CASE WHEN t < 50 THEN 'train' WHEN t < 65 THEN 'val' ELSE 'test' END AS part FROM panel WHERE node_index = 0")
+@query("m1_fixed_split", "SELECT DISTINCT site_id, t, CASE WHEN t < 50 THEN 'train' WHEN t < 65 THEN 'val' ELSE 'test' END AS part FROM panel")
 def _(t):
-    return t.panel.where("node_index = 0").select("site_id", "t", s.fixed_split(F.col("t"), 50, 15).alias("part"))
+    return t.panel.select("site_id", "t").distinct().select("site_id", "t", s.fixed_split(F.col("t"), 50, 15).alias("part"))
 
 
 @query("m2_rolling_folds", f"WITH {_FOLDS} SELECT site_id, fold, start, part FROM folds")
