@@ -79,12 +79,6 @@ def site_daily_mean(grid: DataFrame) -> DataFrame:
     return grid.groupBy("site_id", "date").agg(F.avg("rain_mm").alias("rain_mm"))
 
 
-def write_grid(grid: DataFrame, path: str) -> None:
-    """Cells by date, and the sites' daily means beside them."""
-    grid.write.mode("overwrite").partitionBy("date").parquet(f"{path}/cells")
-    site_daily_mean(grid).write.mode("overwrite").parquet(f"{path}/daily")
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of both; new ones replace old ones with the same keys."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from slopewatch.functions import common as c
 from slopewatch.operators import evaluate as ev
 from slopewatch.operators import experts, panel, rain, samples
-from slopewatch.sources import tables
+from slopewatch.sources import sinks, tables
 
 DAY = dt.date(2000, 1, 1)
 
@@ -143,7 +143,7 @@ def test_readers_coerce_average_and_resolve_aliases(spark, tmp_path):
 def test_grid_is_cropped_and_ingest_skips_known_days(spark, tmp_path):
     g = spark.createDataFrame([(1, day(0), r, k, v) for r, k, v in [(0, 0, 1.0), (0, 1, -9999.0), (5, 5, 3.0)]], "site_id long, date date, row int, col int, rain_mm double")
     assert tables.site_daily_mean(tables.crop_grid(g, (0, 1), (0, 1))).first().rain_mm == 1.0
-    tables.write_grid(g, str(tmp_path / "grid"))
+    sinks.write_grid(g, str(tmp_path / "grid"))
     assert spark.read.parquet(str(tmp_path / "grid/cells")).count() == 3
     d = spark.createDataFrame([(1, day(0), 1.0), (1, day(1), 2.0)], "site_id long, date date, rain_mm double")
     path = str(tmp_path / "days")
