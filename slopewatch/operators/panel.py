@@ -425,13 +425,13 @@ def mdl_segmentation(d: DataFrame, by: Sequence[str], values: Sequence[str], pen
     w, whole = Window.partitionBy(*by, "_segment").orderBy("t"), Window.partitionBy(*by, "_segment")
     length = Window.partitionBy(*by)
     for _ in range(rounds):
-        p = d.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(whole), "T": F.count("*").over(length)})
+        p = d.withColumns({"i": F.row_number().over(w), "n": F.count("*").over(whole), "_length": F.count("*").over(length)})
         total = F.lit(0.0)
         for c in values:
             s, q, ws, wq = F.sum(c).over(w), F.sum(F.col(c) ** 2).over(w), F.sum(c).over(whole), F.sum(F.col(c) ** 2).over(whole)
             code = lambda n, s, q: n / 2 * F.log(F.greatest(q / n - (s / n) ** 2, F.lit(1e-6)))
             total = total + code(F.col("n"), ws, wq) - code(F.col("i"), s, q) - code(F.col("n") - F.col("i"), ws - s, wq - q)
-        p = p.where("n > i").withColumn("gain", total - max(0.5, penalty / 10) * len(values) * F.log("T"))
+        p = p.withColumn("gain", F.when(F.col("n") > F.col("i"), total - max(0.5, penalty / 10) * len(values) * F.log("_length")))  # filtered after the sums, which cover whole segments
         p = p.where((F.col("i") >= least) & (F.col("n") - F.col("i") >= least) & (F.col("gain") > 1e-9))
         one = cut(p.groupBy(*by).agg(F.max_by(F.struct("_segment", (F.col("t") + 1).alias("t")), F.struct(F.round("gain", 6), "t")).alias("x")).select(*by, F.col("x._segment").alias("_cut"), F.col("x.t").alias("_at")))
         if one.isEmpty():
