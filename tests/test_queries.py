@@ -9,6 +9,7 @@ from slopewatch.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 SOME = ["e4_event_candidates", "e6_label_response", "e1_align_rain", "m6_forecast_context", "m4_source_balanced_validation", "g1_terrain_edges", "r10_neighbour_gate", "v9_strict_protocol", "a18_bootstrap_by_site"]
+SOME += ["e14_lag_screen", "r5_rolling_search", "r13_threshold_sweep", "v10_teacher_grid", "c7_region_clusters", "r18_distillation_weights", "v1_event_subsets", "v3_segment_audit", "s9_artifact_round_trip", "s9_completeness", "s12_prediction_csv"]
 
 
 def comparable(rows, names):
