@@ -180,8 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, factors: int = 4, iterations: int =
 
     words = CountVectorizerModel.from_vocabulary([str(t) for t in column], inputCol="words", outputCol="features").setBinary(True)
     data = words.transform(rows.where(part).select(F.col("label").cast("double").alias("label"), F.col("terms").cast("array<string>").alias("words")))
-    data = data.select("label", "features").repartition(8)  # not cached: the learner keeps its vectors itself, decoded
+    data = data.select("label", "features").repartition(8).cache()
     fm = FMClassifier(factorSize=factors, maxIter=iterations, stepSize=0.1, regParam=1e-4, initStd=0.05, solver="adamW", seed=7, tol=1e-5).fit(data)
+    data.unpersist()
     return Model(column, float(fm.intercept), fm.linear.toArray(), fm.factors.toArray())
 
 
