@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopewatch.functions.common import cut, interpolated, positive_quantile, quantile, range_by_day, robust_scales, with_stats
+from slopewatch.functions.common import beside, cut, interpolated, positive_quantile, quantile, range_by_day, robust_scales, with_stats
 
 SITE = ["site_id"]
 
@@ -36,29 +36,46 @@ def thresholds(rain: DataFrame) -> DataFrame:
     return rain.groupBy("site_id").agg(*[positive_quantile("rain_mm", q / 100).alias(f"P{q}") for q in (50, 75, 90, 95)])
 
 
+def with_thresholds(rain: DataFrame) -> DataFrame:
+    """rain with the thresholds() of its site."""
+    d = beside(rain, SITE, _p=F.percentile(F.when(F.col("rain_mm") > 0, F.col("rain_mm")), F.array(*[F.lit(q / 100) for q in (50, 75, 90, 95)])))
+    return d.withColumns({f"P{q}": F.col("_p")[i] for i, q in enumerate((50, 75, 90, 95))}).drop("_p")
+
+
 def rain_background(rain: DataFrame) -> DataFrame:
     """Sums and day counts of the days before each day, and sums of those after it (for diagnosis only).
 
     rain: a dense calendar (site_id, date, rain_mm). Windows are short at a site's start; forward sums are 0 where
-    fewer than d - 1 days follow.
+    fewer than d - 1 days follow. Sums and maxima of long windows are put together from those of shorter ones, and day
+    counts are differences of running ones, so that a day costs some sixty lookups instead of a pass over each window.
     """
-    d = rain.join(thresholds(rain), "site_id")
-    flags = {"rainy_day": F.col("rain_mm") >= 1.0, "p75_day": F.col("rain_mm") >= F.col("P75"), "p90_day": F.col("rain_mm") >= F.col("P90"), "p95_day": F.col("rain_mm") >= F.col("P95")}
-    d = d.withColumns({n: F.coalesce(c, F.lit(False)).cast("int") for n, c in flags.items()})
-    total = lambda c, n: F.coalesce(F.sum(c).over(_rows(-n, -1)), F.lit(0))
-    out = {f"pre{n}_rain_sum": total("rain_mm", n) for n in (3, 7, 15, 30, 45, 60)}
-    out |= {f"pre{n}_rainy_days": total("rainy_day", n) for n in (3, 7, 15, 30, 45, 60)}
-    out |= {f"pre{n}_p{p}_days": total(f"p{p}_day", n) for n in (30, 60) for p in (75, 90, 95)}
-    after = F.count("*").over(Window.partitionBy("site_id")) - F.row_number().over(Window.partitionBy("site_id").orderBy("date"))
-    out |= {f"post{n}_rain_sum": F.when(after >= n - 1, F.coalesce(F.sum("rain_mm").over(_rows(1, n)), F.lit(0.0))).otherwise(0.0) for n in (3, 7, 15, 30)}
+    w = Window.partitionBy("site_id").orderBy("date")
+    back = lambda c, *ns: [F.coalesce(F.lag(c, n).over(w), F.lit(0)) for n in ns]
+    ahead = lambda c, *ns: [F.coalesce(F.lead(c, n).over(w), F.lit(0)) for n in ns]
+    total = lambda first, *more: sum(more, first)
+    d = with_thresholds(rain)
+    flags = {"rainy": F.col("rain_mm") >= 1.0, "p75": F.col("rain_mm") >= F.col("P75"), "p90": F.col("rain_mm") >= F.col("P90"), "p95": F.col("rain_mm") >= F.col("P95")}
+    d = d.withColumns({f"{n}_day": F.coalesce(c, F.lit(False)).cast("int") for n, c in flags.items()})
+    running = {f"_{n}": F.sum(f"{n}_day").over(w.rowsBetween(Window.unboundedPreceding, 0)) for n in flags}
+    d = d.withColumns(running | {"pre3_rain_sum": total(*back("rain_mm", 1, 2, 3)), "_post3": total(*ahead("rain_mm", 1, 2, 3))})
+    between = lambda n, days: back(f"_{n}", 1)[0] - back(f"_{n}", days + 1)[0]
+    out = {f"pre{n}_rainy_days": between("rainy", n) for n in (3, 7, 15, 30, 45, 60)}
+    out |= {f"pre{n}_p{p}_days": between(f"p{p}", n) for n in (30, 60) for p in (75, 90, 95)}
+    out |= {"pre7_rain_sum": total(F.col("pre3_rain_sum"), *back("pre3_rain_sum", 3), *back("rain_mm", 7)), "_post7": total(F.col("_post3"), *ahead("_post3", 3), *ahead("rain_mm", 7))}
+    out |= {"pre15_rain_sum": total(F.col("pre3_rain_sum"), *back("pre3_rain_sum", 3, 6, 9, 12)), "_post15": total(F.col("_post3"), *ahead("_post3", 3, 6, 9, 12))}
     d = d.withColumns(out)
-    return d.withColumns({f"max_roll{n}_before": F.max(f"pre{n}_rain_sum").over(_rows(-29, 0)) for n in (7, 15, 30)})
+    longer = {f"pre{n}_rain_sum": total(F.col("pre15_rain_sum"), *back("pre15_rain_sum", *range(15, n, 15))) for n in (30, 45, 60)}
+    d = d.withColumns(longer | {"_post30": total(F.col("_post15"), *ahead("_post15", 15))})
+    d = d.withColumns({f"post{n}_rain_sum": F.when(F.lead(F.lit(1), n - 1).over(w).isNotNull(), F.col(f"_post{n}")).otherwise(0.0) for n in (3, 7, 15, 30)})
+    most = lambda c, *ns: F.greatest(c, *[F.lag(c, n).over(w) for n in ns])
+    d = d.withColumns({f"_most{n}": most(f"pre{n}_rain_sum", 1, 2, 3, 4, 5) for n in (7, 15, 30)})
+    d = d.withColumns({f"max_roll{n}_before": most(f"_most{n}", 6, 12, 18, 24) for n in (7, 15, 30)})
+    return d.drop(*[f"_{n}" for n in flags], *[f"_post{n}" for n in (3, 7, 15, 30)], *[f"_most{n}" for n in (7, 15, 30)])
 
 
 def event_candidates(background: DataFrame) -> DataFrame:
     """Days of much rain, or of some rain on wet ground, with their event_selection_score."""
-    background = cut(background)  # read three times: for its quantiles, for those of the candidates, and for the candidates
-    d = with_stats(background, SITE, wet60_q80=quantile("pre60_rain_sum", 0.8), wet30_q80=quantile("pre30_rain_sum", 0.8))
+    d = beside(background, SITE, wet60_q80=quantile("pre60_rain_sum", 0.8), wet30_q80=quantile("pre30_rain_sum", 0.8))
     wet = (F.col("pre60_rain_sum") >= F.col("wet60_q80")) | (F.col("pre30_rain_sum") >= F.col("wet30_q80"))
     d = d.where((F.col("rain_mm") >= F.col("P75")) | (F.col("rain_mm") >= F.col("P50")) & wet).drop("wet60_q80", "wet30_q80")
     d = robust_scales(d, SITE, ["pre30_rain_sum", "pre60_rain_sum"])
@@ -136,9 +153,8 @@ def rain_level(rain: Column) -> Column:
 
 def assign_levels(events: DataFrame, least: int = 3, active_count: int = 1) -> DataFrame:
     """Wetness, response and rain levels, and the class of each event. Events without a response of enough nodes are R0."""
-    d = cut(wetness_index(cut(events)))  # each is joined to its own quantiles
     w = F.col("antecedent_wetness_index")
-    d = with_stats(d, SITE, _q33=quantile(w, 0.33), _q66=quantile(w, 0.66), _q85=quantile(w, 0.85))
+    d = beside(wetness_index(events), SITE, _q33=quantile(w, 0.33), _q66=quantile(w, 0.66), _q85=quantile(w, 0.85))
     wet = F.when(w >= F.col("_q85"), "W3_very_wet").when(w >= F.col("_q66"), "W2_wet").when(w >= F.col("_q33"), "W1_moderate").otherwise("W0_dry")
     p, none = F.col("trigger_probability"), "R0_below_event_threshold"
     response = F.when(F.col("response_nodes_max") < least, none).when(p >= 0.3, "R3_strong").when(p >= 0.1, "R2_moderate").when(p >= least / max(active_count, 1), "R1_weak").otherwise(none)
@@ -161,7 +177,7 @@ def assign_levels(events: DataFrame, least: int = 3, active_count: int = 1) -> D
 
 def threshold_events(rain: DataFrame, lags: Sequence[int] = (3, 7, 15, 30)) -> DataFrame:
     """(site_id, threshold_level, date, lag_days, window_end): each day at each level that it passes, with each lag window."""
-    d = rain.join(thresholds(rain), "site_id").where("rain_mm > 0")
+    d = with_thresholds(rain).where("rain_mm > 0")
     levels = F.array(*[F.when(F.col("rain_mm") >= F.col(p), F.lit(p)) for p in ("P50", "P75", "P90", "P95")])
     d = d.select("site_id", "date", F.explode(F.array_compact(levels)).alias("threshold_level")).withColumn("lag_days", F.explode(F.array(*map(F.lit, lags))))
     return d.withColumn("window_end", F.date_add("date", F.col("lag_days")))

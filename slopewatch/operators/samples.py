@@ -151,7 +151,8 @@ def climatology_fill(origins: DataFrame, rain: DataFrame, leads: int = 15, half:
     the year, or two around its end, and each end of a stretch is two lookups, one for all earlier years and one for
     the origin's own year, which ends before the origin.
     """
-    lead = origins.withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(leads)))).withColumn("valid_date", F.expr("date_add(origin_date, lead)"))
+    # the leads and their lookups look as small as the origins to the planner, which would broadcast them
+    lead = origins.hint("merge").withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(leads)))).withColumn("valid_date", F.expr("date_add(origin_date, lead)"))
     v, before_origin = F.dayofyear("valid_date"), F.dayofyear("origin_date") - 1
     end = lambda at, sign, when=F.lit(True): F.when(when, F.struct(at.cast("int").alias("at"), F.lit(sign).alias("sign")))
     wraps_back, wraps_on = v - half < 1, v + half > 366
