@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,10 +49,19 @@ def write_prediction_rows(d: DataFrame, path: str, mean: Column, std: Column, tr
     d.select(*keys, *[v.alias(c) for c, v in back.items()], F.abs(back[predicted] - back[true]).alias("abs_error")).write.option("header", True).csv(path)
 
 
+def fixed_places(c: Column, places: int) -> Column:
+    """Text with `places` decimals of a double's exact value, as printf gives it; Spark's format_string rounds its shortest
+    decimals, so that 3.6245, which is a little less as a double, would go up."""
+    def text(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: f"{x:.{places}f}", na_action="ignore")
+
+    return F.pandas_udf(text, "string")(c)
+
+
 def result_table(d: DataFrame, order: Sequence[Column], numbers: Sequence[str], places: int = 3, top: int | None = None) -> DataFrame:
     """(rank, the columns as text): numbers with `places` decimals, nan where null. A table of results, so its rows are ranked in one task."""
     ranked = d.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    text = lambda c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{places}f", F.col(c).cast("double"))).otherwise("nan") if c in numbers else F.coalesce(F.col(c).cast("string"), F.lit(""))
+    text = lambda c: F.when(F.col(c).isNotNull(), fixed_places(F.col(c).cast("double"), places)).otherwise("nan") if c in numbers else F.coalesce(F.col(c).cast("string"), F.lit(""))
     out = ranked.select("rank", *[text(c).alias(c) for c in d.columns])
     return out if top is None else out.where(F.col("rank") <= top)
 
