@@ -76,7 +76,8 @@ def bootstrap_mean(d: DataFrame, by: Sequence[str], value: str, order: Sequence[
     n = numbered.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_v").alias("mean"))
     picks = n.where("_n >= 5").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long")))).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     picks = picks.select(*by, "_b", draw(F.col("_b"), F.col("_k"), seed, F.col("_n")).cast("int").alias("_i"))
-    means = picks.join(numbered, [*by, "_i"]).groupBy(*by, "_b").agg(F.avg("_v").alias("_m"))
+    # a hundred draws of every value look as small as a row for each group to the planner, which would broadcast them
+    means = picks.hint("merge").join(numbered, [*by, "_i"]).groupBy(*by, "_b").agg(F.avg("_v").alias("_m"))
     spread = means.groupBy(*by).agg(F.percentile("_m", F.lit(0.05)).alias("lo"), F.percentile("_m", F.lit(0.95)).alias("hi"))
     return n.join(spread, list(by), "left").select(*by, F.col("_n").alias("n"), "mean", F.coalesce("lo", "mean").alias("lo"), F.coalesce("hi", "mean").alias("hi"))
 

@@ -50,3 +50,18 @@ def test_background_equals_plain_windows(spark):
     plain |= {f"max_roll{n}_before": F.max(f"pre{n}_rain_sum").over(w(-29, 0)) for n in (7, 15, 30)}
     wrong = d.select(*[F.sum((F.abs(c - F.col(n)) > 1e-9).cast("int")).over(w(0, 0)).alias(n) for n, c in plain.items()])
     assert wrong.agg(*[F.sum(n) for n in plain]).first() == (0,) * len(plain)
+
+
+def test_table_rounds_as_printf(spark):
+    from slopewatch.sources.sinks import result_table
+
+    values = [3.6245, 0.1235, 0.0025, 2.0, 7.00049]
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(9, None)], "k int, mae double")
+    got = [r["mae"] for r in result_table(d, [F.asc("k")], ["mae"]).orderBy("rank").collect()]
+    assert got == ["%.3f" % v for v in values] + ["nan"]
+
+
+def test_weights_of_seeds_do_not_gather_a_seed_in_a_task(spark):
+    p = plan(catalog.queries()["r16_teacher_weights"](spark, SF))
+    assert not [x for x in p.splitlines() if "Exchange hashpartitioning(seed#" in x and "keys=[seed" not in p.splitlines()[p.splitlines().index(x) + 1]]
+    assert p.count("BroadcastHashJoin [seed") >= 2
