@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ def scopes(susceptibility: DataFrame, q: float = 0.6) -> DataFrame:
 
 def with_scopes(predictions: DataFrame, susceptibility: DataFrame) -> DataFrame:
     """Predictions once for each scope of their node. The node table is joined by site and node."""
-    return predictions.join(scopes(susceptibility), ["site_id", "node_index"])
+    return predictions.join(scopes(susceptibility).hint("merge"), ["site_id", "node_index"])
 
 
 def error_table(d: DataFrame, by: Sequence[str], true: str = "y_true", predicted: str = "y_pred") -> DataFrame:
@@ -119,35 +120,49 @@ def node_response(events: DataFrame, change_points: DataFrame, nodes: DataFrame,
 
     events: site_id, threshold_level, lag_days, date (windows of lag_days from date on; one change point counts once).
     Returns site_id, threshold_level, lag_days, profile, node_index, observed, baseline, lift, p_value, for all nodes:
-    zero counts count. A site's windows of one level and lag meet its change points in one group, whose drawn windows
-    are never rows: a change point is hit if a window begins on one of the lag_days days before it, or on its own.
+    zero counts count. A site's windows meet its change points in one group, whose drawn windows are never rows: a change
+    point is hit if a window begins on one of the lag_days days before it, or on its own.
     """
     keys = ["site_id", "threshold_level", "lag_days"]
     day = F.datediff("date", F.lit(first_day).cast("date")).alias("day")
     kinds = dict(events.dtypes) | {f"node_{k}": v for k, v in nodes.dtypes}
-    c = events.select(*keys).distinct().join(change_points.select("site_id", "node_index", "profile", day), "site_id")
-    c = c.select(*[F.col(k).alias(f"_{k}") for k in keys], "node_index", "profile", "day")  # the groups' columns under names of their own
+    c = change_points.select(F.col("site_id").alias("_site"), "node_index", "profile", day)
+    columns = [*keys, "profile", "node_index", "observed", "_sum", "_reached"]
 
     def task(key, e, c):
-        return pd.DataFrame(drawn_hits(e["day"].to_numpy(), c, int(key[2]), days, permutations, seed)).assign(**dict(zip(keys, key, strict=True)))[[*keys, "profile", "node_index", "observed", "_sum", "_reached"]]
+        c = c.sort_values(["profile", "node_index"], kind="stable")
+        if not len(c):
+            return pd.DataFrame(columns=columns)
+        found = [pd.DataFrame(drawn_hits(g["day"].to_numpy(), c, int(k[1]), days, permutations, seed)).assign(site_id=key[0], threshold_level=k[0], lag_days=k[1]) for k, g in e.groupby(keys[1:], sort=False)]
+        return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", profile string, node_index {kinds['node_node_index']}, observed long, _sum long, _reached long"
-    g = events.select(*keys, day).groupBy(*keys).cogroup(c.groupBy(*[f"_{k}" for k in keys])).applyInPandas(task, schema)
+    g = events.select(*keys, day).groupBy("site_id").cogroup(c.groupBy("_site")).applyInPandas(task, schema)
     grid = events.select(*keys).distinct().join(nodes.select("site_id", "node_index"), "site_id").join(F.broadcast(change_points.sparkSession.range(1).select(F.explode(F.array(F.lit("strict"), F.lit("medium"))).alias("profile"))))
     d = grid.join(g, [*keys, "profile", "node_index"], "left").fillna({"observed": 0, "_sum": 0, "_reached": permutations})
     base = F.col("_sum") / permutations
     return d.select(*keys, "profile", "node_index", "observed", base.alias("baseline"), (F.col("observed") / F.greatest(base, F.lit(1e-6))).alias("lift"), ((F.col("_reached") + 1) / (permutations + 1)).alias("p_value"))
 
 
+@lru_cache(maxsize=512)
+def drawn_days(n: int, lag: int, days: int, permutations: int, seed: int) -> np.ndarray:
+    """For each day and, in bits, each permutation whether one of its n drawn windows holds that day. They are the same for
+    all groups of n windows, and take some 100 KB for 300 permutations of seven years."""
+    span = days - lag
+    perm, item = np.arange(1, permutations + 1)[:, None], np.arange(1, n + 1)[None, :]
+    at = drawn(perm, item, seed, span) + (perm - 1) * span
+    upto = np.zeros((permutations, span + 1), np.int32)
+    np.cumsum(np.bincount(at.ravel(), minlength=permutations * span).reshape(permutations, span), axis=1, out=upto[:, 1:])
+    day = np.arange(days)
+    return np.packbits((upto[:, np.clip(day + 1, 0, span)] > upto[:, np.clip(day - lag, 0, span)]).T, axis=1)
+
+
 def drawn_hits(begins: np.ndarray, c: pd.DataFrame, lag: int, days: int, permutations: int, seed: int, block: int = 20_000) -> dict[str, np.ndarray]:
     """Of each profile and node of c (day, profile, node_index): change points hit by the windows that begin on the days
     `begins`, hits by as many drawn windows over all permutations, and in how many permutations these are as many."""
     c = c.sort_values(["profile", "node_index"], kind="stable")
-    begins, span = np.sort(begins), days - lag
-    perm, item = np.arange(1, permutations + 1)[:, None], np.arange(1, len(begins) + 1)[None, :]
-    at = drawn(perm, item, seed, span) + (perm - 1) * span
-    upto = np.zeros((permutations, span + 1), np.int32)
-    np.cumsum(np.bincount(at.ravel(), minlength=permutations * span).reshape(permutations, span), axis=1, out=upto[:, 1:])
+    begins = np.sort(begins)
+    drawn_on = drawn_days(len(begins), lag, days, permutations, seed)
     day = c["day"].to_numpy()
     own = np.searchsorted(begins, day, "right") > np.searchsorted(begins, day - lag, "left")
     first = np.flatnonzero(~c.duplicated(["profile", "node_index"]).to_numpy())
@@ -157,10 +172,11 @@ def drawn_hits(begins: np.ndarray, c: pd.DataFrame, lag: int, days: int, permuta
     while i < len(first):  # whole nodes, about `block` change points at once
         j = max(i + 1, int(np.searchsorted(ends, first[i] + block, "right")))
         part = slice(first[i], ends[j - 1])
-        hit = upto[:, np.clip(day[part] + 1, 0, span)] > upto[:, np.clip(day[part] - lag, 0, span)]
-        hits = np.add.reduceat(hit, first[i:j] - first[i], axis=1, dtype=np.int64)
+        inside = (day[part] >= 0) & (day[part] < days)  # no drawn window holds other days
+        hit = np.unpackbits(drawn_on[np.where(inside, day[part], 0)], axis=1, count=permutations) * inside[:, None].astype(np.uint8)
+        hits = np.add.reduceat(hit, first[i:j] - first[i], axis=0, dtype=np.int64)
         out["observed"][i:j] = np.add.reduceat(own[part], first[i:j] - first[i], dtype=np.int64)
-        out["_sum"][i:j], out["_reached"][i:j] = hits.sum(axis=0), (hits >= out["observed"][i:j]).sum(axis=0)
+        out["_sum"][i:j], out["_reached"][i:j] = hits.sum(axis=1), (hits >= out["observed"][i:j, None]).sum(axis=1)
         i = j
     return out
 
@@ -192,11 +208,11 @@ def neighbours(queries: DataFrame, pool: DataFrame, by: Sequence[str], features:
     column. Groups are sites: a query meets the rows of its own site only.
     """
     stats = pool.groupBy(*by).agg(*[F.avg(f).alias(f"_m{f}") for f in features], *[F.stddev_pop(f).alias(f"_s{f}") for f in features])
-    unit = lambda d: d.join(stats, list(by)).withColumns({f: (F.col(f) - F.col(f"_m{f}")) / F.when(F.col(f"_s{f}") >= 1e-6, F.col(f"_s{f}")).otherwise(1.0) for f in features}).drop(*[f"_{c}{f}" for f in features for c in "ms"])
+    unit = lambda d: d.join(stats.hint("merge"), list(by)).withColumns({f: (F.col(f) - F.col(f"_m{f}")) / F.when(F.col(f"_s{f}") >= 1e-6, F.col(f"_s{f}")).otherwise(1.0) for f in features}).drop(*[f"_{c}{f}" for f in features for c in "ms"])
     more = [causal] if causal else []
     q = unit(queries).select(*by, F.col("key").alias("query"), *[F.col(f).alias(f"q_{f}") for f in [*features, *more]])
     p = unit(pool).select(*by, F.col("key").alias("neighbour"), *[F.col(f).alias(f"p_{f}") for f in [*features, *more]])
-    d = q.join(p, list(by)).where("query != neighbour")
+    d = q.join(p.hint("merge"), list(by)).where("query != neighbour")
     if causal:
         d = d.where(F.col(f"p_{causal}") < F.col(f"q_{causal}"))
     dist = F.sqrt(sum(((F.col(f"q_{f}") - F.col(f"p_{f}")) ** 2 for f in features[1:]), (F.col(f"q_{features[0]}") - F.col(f"p_{features[0]}")) ** 2))
