@@ -8,6 +8,7 @@ numbers and thus exact.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,8 +47,9 @@ def centred_ranks(x: np.ndarray) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=16)
 def drawn_orders(n: int, permutations: range, seed: int) -> np.ndarray:
-    """For each permutation the items 0 to n - 1 by their drawn number, then by themselves."""
+    """The same for all responses of n rows, and at most BLOCK numbers: for each permutation the items 0 to n - 1 by their drawn number, then by themselves."""
     item = np.arange(1, n + 1, dtype=np.int64)
     return np.argsort(drawn(np.array(permutations, np.int64)[:, None], item[None, :], seed, 65521), axis=1, kind="stable")
 
@@ -65,12 +67,18 @@ def rank_screen(x: np.ndarray, y: np.ndarray, permutations: int, seed: int, rank
     return np.where(known, own / np.where(size > 0, size, 1), np.nan), np.where(known, (reached + 1) / (permutations + 1), np.nan)
 
 
-def contrasts(x: np.ndarray, y: np.ndarray, high: float = 0.9, low: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """The means of y where each column of x is at least its high quantile, and where it is at most its low one."""
-    above, below = x >= np.quantile(x, high, axis=0), x <= np.quantile(x, low, axis=0)
+def contrasts(x: np.ndarray, y: np.ndarray, high: float = 0.9, low: float = 0.5, parts: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The means of y where each column of x is at least its high quantile, and where it is at most its low one. parts: high_low(x), if known."""
+    above, below = high_low(x, high, low) if parts is None else parts
     return (above * y[:, None]).sum(0) / above.sum(0), (below * y[:, None]).sum(0) / below.sum(0)
 
 
+def high_low(x: np.ndarray, high: float = 0.9, low: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+    """Where each column of x is at least its high quantile, and where it is at most its low one."""
+    q = np.quantile(x, (high, low), axis=0)
+    return x >= q[0], x <= q[1]
+
+
 def lag_screen(features: DataFrame, names: Sequence[str], responses: DataFrame, lags: Sequence[int] = range(7), permutations: int = 100, seed: int = 7, least: int = 8) -> DataFrame:
     """Every feature at every lag against every response of a site's scopes.
 
@@ -98,11 +106,15 @@ def lag_screen(features: DataFrame, names: Sequence[str], responses: DataFrame,
                 x, z = values[where[met]], y[met]
                 same = lag, at[met].tobytes()
                 if same not in ranks:
-                    ranks[same] = centred_ranks(x)
-                rho, p = rank_screen(x, z, permutations, seed, ranks[same])
-                high, low = contrasts(x, z)
-                out.append(pd.DataFrame({"site_id": key[0], "scope": scope, "response": response, "lag": lag, "feature": names, "n": int(met.sum()), "rho": rho, "p": p, "high": high, "low": low}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["site_id", "scope", "response", "lag", "feature", "n", "rho", "p", "high", "low"])
+                    ranks[same] = centred_ranks(x), high_low(x)
+                rho, p = rank_screen(x, z, permutations, seed, ranks[same][0])
+                high, low = contrasts(x, z, parts=ranks[same][1])
+                out.append(((scope, response, lag, int(met.sum())), (rho, p, high, low)))
+        if not out:
+            return pd.DataFrame(columns=["site_id", "scope", "response", "lag", "feature", "n", "rho", "p", "high", "low"])
+        labels = {c: np.repeat(np.array(v, object if isinstance(v[0], str) else np.int64), len(names)) for c, v in zip(("scope", "response", "lag", "n"), zip(*[a for a, _ in out], strict=True), strict=True)}
+        numbers = {c: np.concatenate(v) for c, v in zip(("rho", "p", "high", "low"), zip(*[b for _, b in out], strict=True), strict=True)}
+        return pd.DataFrame({"site_id": key[0], "scope": labels["scope"], "response": labels["response"], "lag": labels["lag"], "feature": names * len(out), "n": labels["n"], **numbers})
 
     known = responses.select(F.col("site_id").alias("_site"), "scope", "response", "t", F.col("y").cast("double").alias("y"))
     table = features.select("site_id", "t", *[F.col(n).cast("double").alias(n) for n in names])

@@ -27,3 +27,15 @@ def test_change_points_are_not_repeated_for_levels_and_lags(spark):
     p = plan(catalog.queries()["e10_node_response"](spark, SF)).splitlines()
     at = next(i for i, x in enumerate(p) if "FlatMapCoGroupsInPandas" in x)
     assert "threshold_level" not in p[at].split("[", 1)[1].split("]")[0]
+
+
+def test_orders_are_drawn_once_for_responses_of_a_length():
+    from slopewatch.operators import screen
+
+    screen.drawn_orders.cache_clear()
+    x, r = np.arange(40.0).reshape(20, 2) % 7, np.random.default_rng(3)
+    for _ in range(3):
+        screen.rank_screen(x, r.normal(size=20), 30, 7)
+    assert screen.drawn_orders.cache_info().misses == 1
+    y = r.normal(size=20)
+    assert all((a == b).all() for a, b in zip(screen.contrasts(x, y), screen.contrasts(x, y, parts=screen.high_low(x)), strict=True))
