@@ -19,11 +19,11 @@ from slopewatch.functions.common import clip, with_stats
 from slopewatch.operators.evaluate import neighbours, softmax
 
 
-def summed(d: DataFrame, by: Sequence[str], size: int, columns: Callable[[pd.DataFrame], Iterator[np.ndarray]]) -> DataFrame:
+def summed(d: DataFrame, by: Sequence[str], size: int, columns: Callable[[pd.DataFrame], Iterator[np.ndarray]], rows_of: str | None = None) -> DataFrame:
     """(by, i, total, n): of each group, the sums of `size` numbers that `columns` makes of its rows (one array for each number).
 
     Every task adds up its own rows and emits one row for each of its groups; the vectors are added after the exchange.
-    NaN counts as 0.
+    NaN counts as 0. n counts the rows, or adds up the column `rows_of` where a row stands for several.
     """
     kinds = dict(d.dtypes)
 
@@ -39,9 +39,10 @@ def summed(d: DataFrame, by: Sequence[str], size: int, columns: Callable[[pd.Dat
             totals = np.empty((len(keys), size))
             for i, column in enumerate(columns(b)):
                 totals[:, i] = np.bincount(code, np.nan_to_num(column), len(keys))
-            for key, total, n in zip(keys, totals, np.bincount(code, minlength=len(keys)).tolist(), strict=True):
+            counts = np.bincount(code, None if rows_of is None else b[rows_of].to_numpy(), minlength=len(keys))
+            for key, total, n in zip(keys, totals, counts.tolist(), strict=True):
                 held[key] = held.get(key, 0) + total
-                rows[key] = rows.get(key, 0) + n
+                rows[key] = rows.get(key, 0) + int(n)
         if held:
             out = pd.DataFrame(list(held), columns=list(by))
             yield out.assign(totals=[v.tolist() for v in held.values()], n=list(rows.values()))
@@ -220,11 +221,11 @@ def nested_gates(queries: DataFrame, pool: DataFrame, by: Sequence[str], feature
     near = neighbours(queries, pool, by, features, max(sizes))
     lost = pool.select(*by, F.col("key").alias("neighbour"), *[f"l_{m}" for m in experts])
     w = Window.partitionBy(*by, "query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    run = near.join(lost, [*by, "neighbour"]).select(*by, "query", "rank", *[F.avg(f"l_{m}").over(w).alias(f"l_{m}") for m in experts], F.max("rank").over(Window.partitionBy(*by, "query")).alias("_have"))
+    run = near.join(lost.hint("merge"), [*by, "neighbour"]).select(*by, "query", "rank", *[F.avg(f"l_{m}").over(w).alias(f"l_{m}") for m in experts], F.max("rank").over(Window.partitionBy(*by, "query")).alias("_have"))
     size = F.explode(F.array(*[F.lit(int(s)) for s in sizes]))
     run = run.withColumn("neighbours", size).where(F.col("rank") == F.least("neighbours", "_have"))
     overall = pool.groupBy(*by).agg(*[F.avg(f"l_{m}").alias(f"o_{m}") for m in experts])
-    d = run.join(overall, list(by)).withColumn("temperature", F.explode(F.array(*[F.lit(float(x)) for x in temperatures])))
+    d = run.join(overall.hint("merge"), list(by)).withColumn("temperature", F.explode(F.array(*[F.lit(float(x)) for x in temperatures])))
 
     def gate(prefix: str) -> Column:
         least = F.least(*[f"{prefix}_{m}" for m in experts])
@@ -240,22 +241,32 @@ def teacher_grid(cells: DataFrame, gates: DataFrame, by: Sequence[str], groups:
     """(groups, setting columns, n, baseline_mae, teacher_mae, gain) of mixing the experts by the gates of every setting.
 
     cells: by, key, groups, y_true and the experts; gates: nested_gates() of all `settings` (neighbours, temperature,
-    share). A sample's gates of all settings travel as
-    one row, so cells are met once; their errors are added up in one pass. gain: baseline less teacher error.
+    share). A sample's gates of all settings travel as one row with the errors of its cells (of some 64 nodes, where
+    cells name them), so neither is repeated; their errors are added up in one pass. gain: baseline less teacher error.
     """
     kinds = ["neighbours", "temperature", "share"]
     settings = sorted(settings)
-    packed = gates.groupBy(*by, "key").agg(F.transform(F.array_sort(F.collect_list(F.struct(*kinds, "gate"))), lambda x: x["gate"]).alias("_g"))  # a row's settings
+    packed = gates.groupBy(*by, "key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*kinds, "gate"))), lambda x: x["gate"])).alias("_g"))  # a row's settings
+    # the truth may be unknown: NaN keeps its place in the list
+    rest = F.array(*[F.coalesce(F.col(m) - F.col("y_true"), F.lit(float("nan"))).cast("double") for m in experts])
+    nodes = [F.floor(F.col("node_index") / 64).alias("_nodes")] if "node_index" in cells.columns else []
+    own = cells.groupBy(*dict.fromkeys([*by, "key", *groups]), *nodes).agg(F.flatten(F.collect_list(rest)).alias("_r"), F.count("*").alias("_cells"))
 
     def errors(b: pd.DataFrame) -> Iterator[np.ndarray]:
-        rest = np.stack([b[m].to_numpy(float) - b["y_true"].to_numpy(float) for m in experts], axis=1)
-        yield np.abs(rest[:, list(experts).index(selected)])
-        g = np.stack([np.stack(list(x)) for x in b["_g"]])
+        count = b["_cells"].to_numpy()
+        first = np.concatenate(([0], np.cumsum(count)[:-1]))
+        rest = np.ascontiguousarray(np.concatenate(b["_r"].to_list()).reshape(-1, len(experts)).T)
+        g = np.concatenate(b["_g"].to_list()).reshape(len(b), len(settings), len(experts))
+        yield np.add.reduceat(np.nan_to_num(np.abs(rest[list(experts).index(selected)])), first)
+        row = np.repeat(np.arange(len(b)), count)
         for k in range(len(settings)):
-            yield np.abs((g[:, k] * rest).sum(1))
+            mixed = g[row, k, 0] * rest[0]
+            for e in range(1, len(experts)):
+                mixed += g[row, k, e] * rest[e]
+            yield np.add.reduceat(np.nan_to_num(np.abs(mixed)), first)
 
-    d = cells.join(packed, [*by, "key"]).select(*groups, "y_true", *experts, "_g")
-    s = summed(d, groups, len(settings) + 1, errors).withColumn("mae", F.col("total") / F.col("n"))
+    d = own.join(packed.hint("merge"), [*by, "key"]).select(*groups, "_cells", "_r", "_g")
+    s = summed(d, groups, len(settings) + 1, errors, "_cells").withColumn("mae", F.col("total") / F.col("n"))
     base = s.where("i = 0").select(*groups, F.col("mae").alias("baseline_mae"))
     t = s.where("i > 0").withColumn("x", labelled(kinds, settings)[F.col("i") - 1]).join(base, list(groups))
     return t.select(*groups, "x.*", "n", "baseline_mae", F.col("mae").alias("teacher_mae"), (F.col("baseline_mae") - F.col("mae")).alias("gain"))

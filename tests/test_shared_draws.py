@@ -39,3 +39,19 @@ def test_orders_are_drawn_once_for_responses_of_a_length():
     assert screen.drawn_orders.cache_info().misses == 1
     y = r.normal(size=20)
     assert all((a == b).all() for a, b in zip(screen.contrasts(x, y), screen.contrasts(x, y, parts=screen.high_low(x)), strict=True))
+
+
+def test_teachers_cells_travel_with_their_sample(spark):
+    from slopewatch.operators import search
+
+    cells = spark.createDataFrame([(1, 5, 0, n, "all", float(n), n + 1.0, n - 3.0) for n in range(130)] + [(1, 6, 0, 0, "all", 1.0, 2.0, 1.0)], "site_id long, key long, seed int, node_index long, scope string, y_true double, a double, b double")
+    settings = [(1, 0.5, 0.0), (1, 0.5, 1.0)]
+    gates = spark.createDataFrame([(1, k, 1, 0.5, s, [0.25, 0.75] if s else [1.0, 0.0]) for k in (5, 6) for s in (0.0, 1.0)], "site_id long, key long, neighbours int, temperature double, share double, gate array<double>")
+    d = search.teacher_grid(cells, gates, ["site_id"], ["seed", "scope"], ["a", "b"], "a", settings)
+    got = {r.share: (r.n, r.baseline_mae, r.teacher_mae) for r in d.collect()}
+    assert got[0.0] == (131, 1.0, 1.0) and got[1.0][0] == 131 and abs(got[1.0][2] - (130 * 2.0 + 0.25) / 131) < 1e-12
+    assert "_cells#" in plan(d)
+
+
+def test_gates_are_not_broadcast(spark):
+    assert "BroadcastHashJoin [site_id" not in plan(catalog.queries()["v10_teacher_grid"](spark, SF))
