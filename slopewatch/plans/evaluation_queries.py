@@ -116,8 +116,7 @@ def _(t):
 @query("a29_oracle_bound", f"WITH {WIDE} SELECT split, round(avg(least(abs(persistence - y_true), abs(damped - y_true), abs(trend - y_true))), 6) AS oracle_mae FROM w GROUP BY 1", places=10)
 def _(t):
     """V8: the best expert of each cell."""
-    g = t.predictions.groupBy("site_id", "start", "split", "horizon", "node_index").agg(F.min(F.abs(F.col("y_pred") - F.col("y_true"))).alias("e"))
-    return g.groupBy("split").agg(F.avg("e").alias("oracle_mae"))
+    return wide(t).groupBy("split").agg(F.avg(F.least(*[F.abs(F.col(m) - F.col("y_true")) for m in MODELS])).alias("oracle_mae"))
 
 
 @query("a30_equal_experts", f"WITH {WIDE} SELECT a, b, max(d) <= 0 AS same FROM (SELECT 'persistence' AS a, 'damped' AS b, abs(persistence - damped) - (1e-8 + 1e-5 * abs(damped)) AS d FROM w UNION ALL SELECT 'persistence', 'trend', abs(persistence - trend) - (1e-8 + 1e-5 * abs(trend)) FROM w UNION ALL SELECT 'damped', 'trend', abs(damped - trend) - (1e-8 + 1e-5 * abs(trend)) FROM w) GROUP BY 1, 2")

@@ -55,3 +55,9 @@ def test_teachers_cells_travel_with_their_sample(spark):
 
 def test_gates_are_not_broadcast(spark):
     assert "BroadcastHashJoin [site_id" not in plan(catalog.queries()["v10_teacher_grid"](spark, SF))
+
+
+def test_cells_of_the_experts_are_not_put_together_again(spark):
+    for name in ("r12_source_switch", "a30_equal_experts", "a29_oracle_bound"):
+        p = plan(catalog.queries()[name](spark, SF))
+        assert not [x for x in p.splitlines() if "Aggregate(keys=[" in x and "horizon#" in x], name
