@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopewatch.functions.common import asof_last, min_max, positive_quantile, with_stats
+from slopewatch.functions.common import asof_last, min_max, positive_quantile
 
 SITE = ["site_id"]
 
@@ -175,19 +175,19 @@ def analog_fill(origins: DataFrame, rain: DataFrame, k: int = 5, leads: int = 15
 
     Likeness: distance of the sums over the days before, each over its spread, and half the seasonal distance.
     Candidates are all days of the same site that have the longest sum's days before them and whose leads end before
-    the origin. Origins with fewer than `least` candidates get no rows. A site's days meet its origins in one group;
-    pairs are never rows.
+    the origin. Origins with fewer than `least` candidates get no rows. A site's days meet its origins in one group, where the
+    following rain is at hand too; pairs are never rows, and nothing is shuffled after it.
     """
     w = lambda n: Window.partitionBy("site_id").orderBy("date").rowsBetween(-n, -1)
     names = [f"s{n}" for n in sums]
-    f = rain.select("site_id", "date", *[F.coalesce(F.sum("rain_mm").over(w(n)), F.lit(0.0)).alias(f"s{n}") for n in sums])
-    f = with_stats(f, SITE, **{f"_d{n}": F.stddev_pop(f"s{n}") for n in sums})
-    f = f.select("site_id", F.unix_date("date").alias("day"), F.dayofyear("date").alias("doy"), *[(F.col(f"s{n}") / F.greatest(f"_d{n}", F.lit(1e-6))).alias(f"s{n}") for n in sums])
+    f = rain.select("site_id", F.unix_date("date").alias("day"), F.dayofyear("date").alias("doy"), "rain_mm", *[F.coalesce(F.sum("rain_mm").over(w(n)), F.lit(0.0)).alias(f"s{n}") for n in sums])
     o = origins.select(F.col("site_id").alias("_site"), F.unix_date("origin_date").alias("origin")).distinct()
+    ahead = np.arange(1, leads + 1)
 
     def task(key, f, o):
         f = f.sort_values("day")
-        day, doy, s = f["day"].to_numpy(), f["doy"].to_numpy(), [f[n].to_numpy() for n in names]
+        day, doy, rain_mm = f["day"].to_numpy(), f["doy"].to_numpy(), f["rain_mm"].to_numpy(float)
+        s = [f[n].to_numpy() / max(f[n].to_numpy().std(), 1e-6) if len(f) else f[n].to_numpy() for n in names]
         first = int(np.searchsorted(day, day[0] + max(sums))) if len(day) else 0
         found = []
         for origin in o["origin"].to_numpy():
@@ -199,10 +199,22 @@ def analog_fill(origins: DataFrame, rain: DataFrame, k: int = 5, leads: int = 15
             d = 0.5 * np.minimum(apart, 366 - apart) / 183.0
             for x in s:
                 d = d + np.abs(x[at] - x[c])
-            found += [(key[0], origin, x) for x in day[c][np.argsort(np.round(d, 9), kind="stable")[:k]]]
-        return pd.DataFrame(found, columns=["site_id", "origin", "cand"])
-
-    near = f.groupBy("site_id").cogroup(o.groupBy("_site")).applyInPandas(task, f"site_id {dict(origins.dtypes)['site_id']}, origin int, cand int")
-    near = near.select("site_id", F.date_from_unix_date("origin").alias("origin_date"), "cand")
-    days = near.select("site_id", "origin_date", F.explode(F.sequence(F.lit(1), F.lit(leads))).alias("lead"), "cand").withColumn("date", F.date_from_unix_date(F.col("cand") + F.col("lead")))
-    return days.join(rain, ["site_id", "date"]).groupBy("site_id", "origin_date", "lead").agg(F.avg("rain_mm").alias("forecast_rain_mm"))
+            d = np.round(d, 9)
+            # the k least, ties to the earlier day: only days up to the k-th distance are sorted
+            close = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+            close = close[np.argsort(d[close], kind="stable")[:k]]
+            then = day[c][close][:, None] + ahead
+            to = np.minimum(np.searchsorted(day, then), len(day) - 1)
+            there = day[to] == then
+            known = there & ~np.isnan(rain_mm[to])
+            n = known.sum(0)
+            mean = np.where(n > 0, np.where(known, rain_mm[to], 0.0).sum(0) / np.maximum(n, 1), np.nan)
+            any_ = there.any(0)
+            found.append((np.full(any_.sum(), origin), ahead[any_], mean[any_]))
+        if not found:
+            return pd.DataFrame(columns=["site_id", "origin", "lead", "forecast_rain_mm"])
+        origin, lead, mean = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pd.DataFrame({"site_id": key[0], "origin": origin, "lead": lead, "forecast_rain_mm": pd.Series(mean).astype(object).where(~np.isnan(mean), None)})
+
+    filled = f.groupBy("site_id").cogroup(o.groupBy("_site")).applyInPandas(task, f"site_id {dict(origins.dtypes)['site_id']}, origin int, lead int, forecast_rain_mm double")
+    return filled.select("site_id", F.date_from_unix_date("origin").alias("origin_date"), "lead", "forecast_rain_mm")

@@ -99,3 +99,21 @@ def test_query_equals_its_sql(spark, name):
     df = catalog.queries()[name](spark, SF)
     assert sorted(names) == sorted(df.columns)
     assert comparable([tuple(r) for r in df.collect()], df.columns) == comparable(cur.fetchall(), names)
+
+
+def test_analogs_are_not_shuffled_after_they_are_found(spark):
+    from slopewatch.plans import catalog
+
+    p = catalog.queries()["m11_analog_fill"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    before, found, _ = p.partition("FlatMapCoGroupsInPandas")
+    assert found and "Exchange" not in before and "Join" not in before
+
+
+def test_days_without_known_rain_are_left_out_of_what_followed(spark):
+    days = [day(i) for i in range(120)]
+    rain = [(7, d, None if i in (40, 60) else float(i % 6)) for i, d in enumerate(days)]
+    r = spark.createDataFrame(rain, "site_id long, date date, rain_mm double")
+    o = spark.createDataFrame([(7, days[119])], "site_id long, origin_date date")
+    got = samples.analog_fill(o, r, k=200).collect()  # more than there are candidates: all of them count
+    mean = lambda lead: [rain[c + lead][2] for c in range(30, 104) if rain[c + lead][2] is not None]
+    assert {x.lead: x.forecast_rain_mm for x in got} == {lead: pytest.approx(sum(mean(lead)) / len(mean(lead))) for lead in range(1, 16)}
