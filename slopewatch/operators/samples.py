@@ -143,31 +143,50 @@ def seasonal_sums(rain: DataFrame, origins: DataFrame) -> DataFrame:
     return d.select("*", *[F.coalesce(F.sum(f"own_{c}").over(earlier), F.lit(0)).alias(f"prev_{c}") for c in "sn"])
 
 
+def last_days(rain: DataFrame, days: int) -> DataFrame:
+    """(site_id, date, m<days>): mean rain of the `days` days before each day, put together from sums of 15; `days` is a multiple of that."""
+    w = Window.partitionBy("site_id").orderBy("date")
+    back = lambda c, ns: [F.coalesce(F.lag(c, n).over(w), F.lit(0.0)) for n in ns]
+    total = lambda xs: sum(xs[1:], xs[0])
+    d = rain.select("site_id", "date", "rain_mm", F.count("rain_mm").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_n"))
+    d = d.withColumn("_s15", total(back("rain_mm", range(1, 16))))
+    n = F.col("_n") - F.coalesce(F.lag("_n", days).over(w), F.lit(0))
+    s = total([F.col("_s15"), *back("_s15", range(15, days, 15))])
+    return d.select("site_id", "date", F.when(n > 0, s / n).alias(f"m{days}"))
+
+
 def climatology_fill(origins: DataFrame, rain: DataFrame, leads: int = 15, half: int = 30, least: int = 5) -> DataFrame:
     """(site_id, origin_date, lead, valid_date, forecast_rain_mm): mean of earlier rain within `half` days of the year of
     each lead day; where fewer than `least` days are known, the mean of the last 90 days, else of all earlier days.
 
     Sums and counts come from running sums over (day of the year, year): the days near a lead day are one stretch of
-    the year, or two around its end, and each end of a stretch is two lookups, one for all earlier years and one for
-    the origin's own year, which ends before the origin.
+    the year, or two around its end, and each end of a stretch is two places of an origin's arrays, one for all earlier
+    years and one for the origin's own year, which ends before the origin. Leads become rows only when they are known.
     """
-    # the leads and their lookups look as small as the origins to the planner, which would broadcast them
-    lead = origins.hint("merge").withColumn("lead", F.explode(F.sequence(F.lit(1), F.lit(leads)))).withColumn("valid_date", F.expr("date_add(origin_date, lead)"))
-    v, before_origin = F.dayofyear("valid_date"), F.dayofyear("origin_date") - 1
-    end = lambda at, sign, when=F.lit(True): F.when(when, F.struct(at.cast("int").alias("at"), F.lit(sign).alias("sign")))
-    wraps_back, wraps_on = v - half < 1, v + half > 366
-    ends = F.array_compact(F.array(end(F.least(v + half, F.lit(366)), 1), end(F.greatest(v - half, F.lit(1)) - 1, -1), end(F.lit(366), 1, wraps_back), end(v - half + 365, -1, wraps_back), end(v + half - 366, 1, wraps_on), end(F.lit(0), -1, wraps_on)))
-    key = ["site_id", "origin_date", "lead", "valid_date"]
-    asked = lead.select(*key, F.year("origin_date").alias("year"), before_origin.alias("_o"), F.explode(ends).alias("e"))
-    both = F.explode(F.array(F.struct(F.lit("prev").alias("of"), F.col("e.at").alias("doy")), F.struct(F.lit("own").alias("of"), F.least("e.at", "_o").alias("doy"))))
-    asked = asked.select(*key, "year", F.col("e.sign").alias("sign"), both.alias("x")).select(*key, "year", "sign", "x.of", "x.doy")
-    part = lambda c: F.sum(F.col("sign") * F.when(F.col("of") == "prev", F.col(f"prev_{c}")).otherwise(F.col(f"own_{c}"))).alias(c)
-    m = asked.join(seasonal_sums(rain, origins), ["site_id", "year", "doy"]).groupBy(*key).agg(part("s"), part("n"))
-    before = lambda k: Window.partitionBy("site_id").orderBy("date").rowsBetween(k, -1)
-    back = rain.select("site_id", F.col("date").alias("origin_date"), F.avg("rain_mm").over(before(-90)).alias("m90"))
-    d = lead.join(m, key, "left").join(back, ["site_id", "origin_date"], "left")
+    sums = seasonal_sums(rain, origins)
+    names = [f"{of}_{c}" for of in ("own", "prev") for c in "sn"]
+    # a year's running sums are arrays by the day of the year, so an origin meets one row and its leads are read off it
+    years = sums.groupBy("site_id", "year").agg(F.array_sort(F.collect_list(F.struct("doy", *names))).alias("_d"))
+    years = years.select("site_id", "year", *[F.col(f"_d.{n}").alias(n) for n in names])
+    # origins and years look small to the planner, which would broadcast them
+    d = origins.hint("merge").withColumn("year", F.year("origin_date")).join(years.hint("merge"), ["site_id", "year"], "left")
+    d = d.join(last_days(rain, 90).select("site_id", F.col("date").alias("origin_date"), "m90"), ["site_id", "origin_date"], "left")
+    until = lambda c, at: F.get(f"prev_{c}", at) + F.get(f"own_{c}", F.least(at, F.dayofyear("origin_date") - 1))
+
+    def near(c: str, v: Column) -> Column:
+        inside = until(c, F.least(v + half, F.lit(366))) - until(c, F.greatest(v - half, F.lit(1)) - 1)
+        before = F.when(v - half < 1, until(c, F.lit(366)) - until(c, v - half + 365)).otherwise(0)
+        after = F.when(v + half > 366, until(c, v + half - 366) - until(c, F.lit(0))).otherwise(0)
+        return inside + before + after
+
+    def at(lead: Column) -> Column:
+        v = F.dayofyear(F.date_add("origin_date", lead))
+        return F.struct(lead.alias("lead"), F.date_add("origin_date", lead).alias("valid_date"), near("s", v).alias("s"), near("n", v).alias("n"))
+
+    each = F.explode(F.transform(F.sequence(F.lit(1), F.lit(leads)), at)).alias("x")
+    d = d.select("site_id", "origin_date", "m90", each).select("site_id", "origin_date", "x.*", "m90")
     value = F.when(F.col("n") >= least, F.col("s") / F.col("n")).otherwise(F.coalesce("m90", F.lit(0.0)))
-    return d.select(*key, F.greatest(value, F.lit(0.0)).alias("forecast_rain_mm"))
+    return d.select("site_id", "origin_date", "lead", "valid_date", F.greatest(value, F.lit(0.0)).alias("forecast_rain_mm"))
 
 
 def analog_fill(origins: DataFrame, rain: DataFrame, k: int = 5, leads: int = 15, sums: Sequence[int] = (3, 7, 15, 30), least: int = 20) -> DataFrame:

@@ -117,3 +117,19 @@ def test_days_without_known_rain_are_left_out_of_what_followed(spark):
     got = samples.analog_fill(o, r, k=200).collect()  # more than there are candidates: all of them count
     mean = lambda lead: [rain[c + lead][2] for c in range(30, 104) if rain[c + lead][2] is not None]
     assert {x.lead: x.forecast_rain_mm for x in got} == {lead: pytest.approx(sum(mean(lead)) / len(mean(lead))) for lead in range(1, 16)}
+
+
+def test_climatology_makes_leads_rows_after_all_joins(spark):
+    from slopewatch.plans import catalog
+
+    p = catalog.queries()["m10_climatology_fill"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    before, found, _ = p.partition("Generate explode(transform(")
+    assert found and "Join" not in before
+
+
+def test_mean_of_last_days_equals_a_plain_window(spark):
+    values = [None if i % 11 == 3 else (i * 37 % 23) * 0.1 for i in range(130)]
+    r = spark.createDataFrame([(7, day(i), x) for i, x in enumerate(values)], "site_id long, date date, rain_mm double")
+    got = {x.date: x.m90 for x in samples.last_days(r, 90).collect()}
+    known = {day(i): [x for x in values[max(0, i - 90) : i] if x is not None] for i in range(130)}
+    assert got == {d: pytest.approx(sum(v) / len(v)) if v else None for d, v in known.items()}
