@@ -228,7 +228,7 @@ def _(t):
 @query("r20_residual_regressor")
 def _(t):
     """A linear model of the displacement residual on lagged and neighbouring changes, weighted; errors by horizon."""
-    return learned.residual_regressor(wide(t), t.panel, p.terrain_edges(t.nodes))
+    return learned.corrected_errors(t.cells_of(p.with_near(t.panel, p.terrain_edges(t.nodes)), "near"))
 
 
 @query("x1_rain_stream", "SELECT l_suppkey AS site_id, CAST(l_shipdate AS DATE) AS date, round(avg(l_quantity), 6) AS rain_mm FROM lineitem WHERE CAST(l_shipdate AS DATE) + 4 <= (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem) GROUP BY 1, 2")
