@@ -61,18 +61,27 @@ def labelled(names: Sequence[str], settings: Sequence[tuple]) -> Column:
 # expanding folds
 
 
+def with_speeds(panel: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """panel with `speeds`: for each k, the mean of the last k - 1 differences, null where the history is shorter."""
+    w = Window.partitionBy("site_id", "node_index").orderBy("t")
+    return panel.withColumn("speeds", F.array(*[(F.col("disp") - F.lag("disp", k - 1).over(w)) / (k - 1) for k in ks]))
+
+
 def rolling_rows(cells: DataFrame, panel: DataFrame, n_his: int, ks: Sequence[int], model: str = "trend") -> DataFrame:
+    """moving_cells() of any cells: the speeds at their origins are joined to them from the panel."""
+    speed = with_speeds(panel, ks).select("site_id", "node_index", (F.col("t") - n_his + 1).alias("start"), "speeds")
+    return moving_cells(cells.join(speed, ["site_id", "node_index", "start"]), model)
+
+
+def moving_cells(cells: DataFrame, model: str = "trend") -> DataFrame:
     """Cells with what the rolling search needs: last, u and v (changes of the model and the truth from it), z (for each k, horizon times the mean of the last k - 1 differences).
 
-    cells: site_id, start, horizon, node_index, y_true, persistence and the model. Cells whose history is shorter than
-    the largest k have no row.
+    cells: site_id, start, horizon, node_index, y_true, persistence, the model and the `speeds` of with_speeds() at
+    their origin. Cells whose history is shorter than the largest k have no row.
     """
-    w = Window.partitionBy("site_id", "node_index").orderBy("t")
-    recent = [((F.col("disp") - F.lag("disp", k - 1).over(w)) / (k - 1)) for k in ks]
-    speed = panel.select("site_id", "node_index", (F.col("t") - n_his + 1).alias("start"), F.array(*recent).alias("_r")).where(~F.exists("_r", lambda x: x.isNull()))
-    d = cells.join(speed, ["site_id", "node_index", "start"])
-    z = F.transform("_r", lambda r: r * F.col("horizon"))
-    return d.withColumns({"u": F.col(model) - F.col("persistence"), "v": F.col("y_true") - F.col("persistence"), "z": z}).drop("_r")
+    z = F.transform("speeds", lambda r: r * F.col("horizon"))
+    d = cells.where(~F.exists("speeds", F.isnull))
+    return d.withColumns({"u": F.col(model) - F.col("persistence"), "v": F.col("y_true") - F.col("persistence"), "z": z}).drop("speeds")
 
 
 def rolling_search(rows: DataFrame, by: Sequence[str], samples: int, first: int, ks: Sequence[int], alphas: Sequence[float], shrinks: Sequence[float], folds: int = 4, limit: float = 1.5) -> DataFrame:
@@ -83,7 +92,8 @@ def rolling_search(rows: DataFrame, by: Sequence[str], samples: int, first: int,
     velocity, clipped to +-limit) on blocks up to f and scores block f + 1; samples beyond the last block fit the final
     gain only. Returns by, k, alpha, shrink, cv_rmse, cv_mae (means over the folds), test_rmse, test_mae (by the gain of
     all validation samples), mean_gain. Gains and squared errors come from moments of each node; absolute errors from
-    one pass over the rows.
+    the cells of a node's block, which travel as one row with the block's gains, so that no gain is repeated for a cell
+    and all errors take one pass.
     """
     node = [*by, "site_id", "node_index"]
     size = max(1, samples // (folds + 1))
@@ -94,10 +104,12 @@ def rolling_search(rows: DataFrame, by: Sequence[str], samples: int, first: int,
     sums = {"n": F.count("*"), "uu": F.sum(F.col("u") ** 2), "uv": F.sum(F.col("u") * F.col("v")), "vv": F.sum(F.col("v") ** 2)}
     for i, x in enumerate(z):
         sums |= {f"uz{i}": F.sum(F.col("u") * x), f"vz{i}": F.sum(F.col("v") * x), f"zz{i}": F.sum(x * x)}
-    m = d.groupBy(*node, "_b").agg(*[c.alias(n) for n, c in sums.items()])
+    # the truth may be unknown: NaN keeps its place in the list
+    cell = F.array(*[F.coalesce(c, F.lit(float("nan"))).cast("double") for c in (F.col("u"), F.col("v"), *z)])
+    m = d.groupBy(*node, "_b").agg(*[c.alias(n) for n, c in sums.items()], F.flatten(F.collect_list(cell)).alias("_cells"))
     # what each fold is fitted on: all blocks before the scored one; the test block follows all of validation
     past = Window.partitionBy(*node).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    m = m.select(*node, "_b", *sums, *[F.coalesce(F.sum(n).over(past), F.lit(0)).alias(f"f_{n}") for n in sums]).where(f"_b between 1 and {folds} or _b = {folds + 2}")
+    m = m.select(*node, "_b", "_cells", *sums, *[F.coalesce(F.sum(n).over(past), F.lit(0)).alias(f"f_{n}") for n in sums]).where(f"_b between 1 and {folds} or _b = {folds + 2}")
 
     def products(get: Callable, i, a) -> tuple:
         """Sums of changes from last + alpha * z: those of the model times the truth's, and the squares of each."""
@@ -113,30 +125,34 @@ def rolling_search(rows: DataFrame, by: Sequence[str], samples: int, first: int,
     m = m.withColumn("_g", F.transform(labelled(["i", "a"], [(i, float(a)) for i, a in pairs]), gain))
     settings = [(int(ks[i]), float(a), float(s)) for i, a in pairs for s in shrinks]
 
-    def squared(b: pd.DataFrame) -> Iterator[np.ndarray]:
-        """Squared errors of all settings, then their shrunken gains."""
-        g = np.stack(b["_g"].to_numpy())
+    def errors(b: pd.DataFrame) -> Iterator[np.ndarray]:
+        """Squared errors of all settings, their shrunken gains, their absolute errors, and the count of the nodes."""
+        g = np.stack(b["_g"].to_numpy()).T
         for j, (i, a) in enumerate(pairs):
             pt, pp, tt = products(lambda n, i=None: b[n if i is None else f"{n}{i}"].to_numpy(), i, a)
             for s in shrinks:
-                yield tt - 2 * s * g[:, j] * pt + s * s * g[:, j] ** 2 * pp
+                yield tt - 2 * s * g[j] * pt + s * s * g[j] ** 2 * pp
         for j in range(len(pairs)):
             for s in shrinks:
-                yield s * g[:, j]
-
-    nodes = summed(m.select(*by, "_b", *sums, "_g"), [*by, "_b"], 2 * len(settings), squared)
-    squares = nodes.groupBy(*by, "_b", (F.col("i") % len(settings)).alias("i")).agg(F.max(F.when(F.col("i") < len(settings), F.col("total"))).alias("sse"), F.max(F.when(F.col("i") >= len(settings), F.col("total") / F.col("n"))).alias("gain"))
-
-    def absolute(b: pd.DataFrame) -> Iterator[np.ndarray]:
-        u, v, zs, g = b["u"].to_numpy(), b["v"].to_numpy(), np.stack(b["z"].to_numpy()), np.stack(b["_g"].to_numpy())
+                yield s * g[j]
+        count = b["n"].to_numpy()
+        first = np.concatenate(([0], np.cumsum(count)[:-1]))
+        u, v, *zs = np.ascontiguousarray(np.concatenate(b["_cells"].to_list()).reshape(-1, 2 + len(ks)).T)
+        known = np.isfinite(u + v + sum(zs)).all()
+        e = np.empty(len(u))
         for j, (i, a) in enumerate(pairs):
-            rest, move = v - a * zs[:, i], g[:, j] * (u - a * zs[:, i])
+            rest, move = v - a * zs[i], np.repeat(g[j], count) * (u - a * zs[i])
             for s in shrinks:
-                yield np.abs(rest - s * move)
-
-    scored = d.select(*node, "_b", "u", "v", "z").join(m.select(*node, "_b", "_g"), [*node, "_b"])
-    mae = summed(scored.select(*by, "_b", "u", "v", "z", "_g"), [*by, "_b"], len(settings), absolute)
-    e = mae.join(squares, [*by, "_b", "i"]).withColumns({"mae": F.col("total") / F.col("n"), "rmse": F.sqrt(F.greatest(F.col("sse"), F.lit(0.0)) / F.col("n"))})
+                np.abs(np.subtract(rest, np.multiply(move, s, out=e), out=e), out=e)
+                yield np.add.reduceat(e if known else np.nan_to_num(e), first)
+        yield np.ones(len(b))
+
+    many = len(settings)
+    total = summed(m.select(*by, "_b", *sums, "_g", "_cells"), [*by, "_b"], 3 * many + 1, errors, "n")
+    nodes = F.max(F.when(F.col("i") == 3 * many, F.col("total"))).over(Window.partitionBy(*by, "_b"))  # a row for each setting and block
+    part = lambda k: F.max(F.when(F.floor(F.col("i") / many) == k, F.col("total")))
+    e = total.withColumn("_nodes", nodes).where(F.col("i") < 3 * many).groupBy(*by, "_b", (F.col("i") % many).alias("i")).agg(part(0).alias("sse"), (part(1) / F.max("_nodes")).alias("gain"), (part(2) / F.max("n")).alias("mae"), F.max("n").alias("n"))
+    e = e.withColumn("rmse", F.sqrt(F.greatest(F.col("sse"), F.lit(0.0)) / F.col("n")))
     test = F.col("_b") == folds + 2
     pick = lambda c, on: F.avg(F.when(on, F.col(c)))
     out = e.groupBy(*by, "i").agg(pick("rmse", ~test).alias("cv_rmse"), pick("mae", ~test).alias("cv_mae"), pick("rmse", test).alias("test_rmse"), pick("mae", test).alias("test_mae"), pick("gain", test).alias("mean_gain"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from slopewatch.operators import experts, learned
 from slopewatch.operators import panel as p
+from slopewatch.plans import catalog
 from slopewatch.plans.bindings import HIS, PRED, Tables
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +52,9 @@ def test_cells_skip_windows_with_a_gap(spark):
     d = experts.expert_cells(spark.createDataFrame(rows, "site_id long, node_index long, t long, disp double, mark long"), HIS, PRED, ["mark"])
     got = {(r.start, r.horizon, r.mark) for r in d.where("persistence is not null").collect()}
     assert got == {(s, h, 10 * (s + HIS - 1)) for s in (0, 1, 7) for h in range(1, PRED + 1) if s != 6 and s + HIS - 1 + PRED < 24 and not s + HIS <= 17 <= s + HIS - 1 + PRED}
+
+
+def test_rolling_search_reads_the_lines_once_and_joins_no_cells(spark):
+    p = plan(catalog.queries()["r5_rolling_search"](spark, SF))
+    assert len([x for x in p.splitlines() if "FileScan" in x and "l_quantity" in x]) == 1
+    assert "SortMergeJoin" not in p and "_cells#" in p
