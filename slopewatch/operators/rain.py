@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopewatch.functions.common import beside, cut, interpolated, positive_quantile, quantile, range_by_day, robust_scales, with_stats
+from slopewatch.functions.common import beside, interpolated, positive_quantile, quantile, range_by_day, robust_scales, with_stats
 
 SITE = ["site_id"]
 
@@ -86,22 +86,23 @@ def event_candidates(background: DataFrame) -> DataFrame:
 def select_events(candidates: DataFrame, rain: DataFrame, gap: int = 7) -> DataFrame:
     """Candidates by score, each unless one within `gap` days is already kept; with the extents of their wet spells and ids.
 
-    The order is total: score, rain, then earlier date. A site's candidates are folded in one array expression.
+    The order is total: score, rain, then earlier date. A site's candidates, with all their columns, are folded in one array
+    expression, and each event meets the days around it once: candidates are neither kept nor read again.
     """
-    candidates = cut(candidates)
-    ranked = candidates.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct((-F.round("event_selection_score", 9)).alias("a"), (-F.col("rain_mm")).alias("b"), F.unix_date("date").alias("n")))).alias("r"))
-    kept = F.aggregate("r", F.array().cast("array<int>"), lambda acc, x: F.when(F.exists(acc, lambda k: F.abs(k - x["n"]) <= gap), acc).otherwise(F.concat(acc, F.array(x["n"]))))
-    chosen = ranked.select("site_id", F.explode(kept).alias("n")).select("site_id", F.date_from_unix_date("n").alias("date"))
-    events = chosen.join(candidates, ["site_id", "date"])
-    spans = events.select("site_id", F.col("date").alias("event_date"), F.date_sub("date", gap).alias("lo"), F.date_add("date", gap).alias("hi"))
-    near = range_by_day(spans, rain.select("site_id", F.col("date").alias("day"), F.col("rain_mm").alias("r")), SITE, "lo", "hi", "day")
+    columns = [c for c in candidates.columns if c != "site_id"]
+    candidate = F.struct((-F.round("event_selection_score", 9)).alias("a"), (-F.col("rain_mm")).alias("b"), F.unix_date("date").alias("n"), F.struct(*columns).alias("row"))
+    ranked = candidates.groupBy("site_id").agg(F.array_sort(F.collect_list(candidate)).alias("r"))
+    kept = F.aggregate("r", F.slice("r", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: F.abs(k["n"] - x["n"]) <= gap), acc).otherwise(F.concat(acc, F.array(x))))
+    events = ranked.select("site_id", F.explode(kept).alias("e")).select("site_id", "e.row.*").select(*candidates.columns)
+    spans = events.withColumns({"_lo": F.date_sub("date", gap), "_hi": F.date_add("date", gap)})
+    near = range_by_day(spans, rain.select("site_id", F.col("date").alias("day"), F.col("rain_mm").alias("r")), SITE, "_lo", "_hi", "day")
     wet = F.col("r") > 0
     pick = lambda agg: lambda c: F.coalesce(agg(F.when(wet, c)), agg(c))
     first, last, most, total = pick(F.min)(F.col("day")), pick(F.max)(F.col("day")), pick(F.max)(F.col("r")), F.sum("r")
-    spells = near.groupBy("site_id", F.col("event_date").alias("date")).agg(first.alias("spell_start"), last.alias("spell_end"), total.alias("spell_rain_sum"), most.alias("spell_peak_rain"))
+    spells = near.groupBy(*candidates.columns).agg(first.alias("spell_start"), last.alias("spell_end"), total.alias("spell_rain_sum"), most.alias("spell_peak_rain"))
     spells = spells.withColumn("spell_days", F.datediff("spell_end", "spell_start") + 1)
     number = F.row_number().over(Window.partitionBy("site_id").orderBy("date"))
-    return cut(events.join(spells, ["site_id", "date"]).withColumn("event_id", F.concat(F.lit("E"), F.lpad(number.cast("string"), 3, "0"))))
+    return spells.withColumn("event_id", F.concat(F.lit("E"), F.lpad(number.cast("string"), 3, "0")))
 
 
 def active_nodes(susceptibility: DataFrame, q: float = 0.75) -> DataFrame:

@@ -58,8 +58,10 @@ def _(t):
     return d.orderBy(F.desc("event_selection_score"), "site_id", "date").limit(20)
 
 
-def _events(t):
-    return rain.select_events(rain.event_candidates(rain.rain_background(t.daily_rain)), t.daily_rain)
+def _events(t, *columns):
+    """The events with all columns of the background, or with those named."""
+    candidates = rain.event_candidates(rain.rain_background(t.daily_rain))
+    return rain.select_events(candidates.select(*columns) if columns else candidates, t.daily_rain)
 
 
 _EVENTS = f"""{CANDIDATES},
@@ -75,7 +77,7 @@ ev AS MATERIALIZED (SELECT c.*, spell_start, spell_end, spell_rain_sum, spell_pe
 @query("e5_select_events", f"WITH {_EVENTS} SELECT site_id, date, event_id, spell_start, spell_end, CAST(spell_days AS INT) AS spell_days, {_ROUND(['spell_rain_sum', 'spell_peak_rain', 'event_selection_score'])} FROM ev")
 def _(t):
     """T5: greedy suppression in time, with the extents of wet spells."""
-    return _events(t).select("site_id", "date", "event_id", "spell_start", "spell_end", "spell_days", "spell_rain_sum", "spell_peak_rain", "event_selection_score")
+    return _events(t, "site_id", "date", "rain_mm", "event_selection_score").select("site_id", "date", "event_id", "spell_start", "spell_end", "spell_days", "spell_rain_sum", "spell_peak_rain", "event_selection_score")
 
 
 _LAGS = (3, 7, 15)
@@ -94,7 +96,7 @@ _LAB_COLS = [f"{n}_{lag}d" for n in ("response_nodes", "cp_records", "is_respons
 
 
 def labelled(t):
-    return rain.label_response(_events(t), t.change_points, rain.active_nodes(t.susceptibility))
+    return rain.label_response(c.cut(_events(t)), t.change_points, rain.active_nodes(t.susceptibility))
 
 
 @query("e6_label_response", f"WITH {_LABEL} SELECT site_id, date, {', '.join(_LAB_COLS)}, round(trigger_probability, 6) AS trigger_probability FROM lab")

@@ -1,9 +1,11 @@
 """Cells take what belongs to their origin from one pass over the panel: no second read of the lines, no join of cells."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from slopewatch.operators import experts, learned
+from slopewatch.operators import experts, learned, rain
 from slopewatch.operators import panel as p
 from slopewatch.plans import catalog
 from slopewatch.plans.bindings import HIS, PRED, Tables
@@ -58,3 +60,17 @@ def test_rolling_search_reads_the_lines_once_and_joins_no_cells(spark):
     p = plan(catalog.queries()["r5_rolling_search"](spark, SF))
     assert len([x for x in p.splitlines() if "FileScan" in x and "l_quantity" in x]) == 1
     assert "SortMergeJoin" not in p and "_cells#" in p
+
+
+def test_events_are_chosen_without_keeping_or_joining_candidates(spark):
+    p = plan(catalog.queries()["e5_select_events"](spark, SF))
+    assert "pre45" not in p and "max_roll" not in p and p.count("SortMergeJoin") == 1 and "ExistingRDD" not in p
+
+
+def test_events_keep_all_columns_of_their_candidates(spark):
+    day = lambda n: datetime.date(2000, 1, n)
+    days = spark.createDataFrame([(s, day(n), float(n % 4)) for s in (1, 2) for n in range(1, 29)], "site_id long, date date, rain_mm double")
+    cand = spark.createDataFrame([(1, day(5), 3.0, 1.0, None), (1, day(12), 3.0, 1.0, "tie of day 5"), (1, day(13), 3.0, 1.0, "b"), (2, day(9), 1.0, None, "c")], "site_id long, date date, rain_mm double, event_selection_score double, mark string")
+    got = {(r.site_id, r.date.day, r.mark, r.event_id, r.spell_start.day, r.spell_end.day, r.spell_rain_sum) for r in rain.select_events(cand, days).collect()}
+    total = lambda a, b: float(sum(n % 4 for n in range(a, b + 1)))
+    assert got == {(1, 5, None, "E001", 1, 11, total(1, 12)), (1, 13, "b", "E002", 6, 19, total(6, 20)), (2, 9, "c", "E001", 2, 15, total(2, 16))}
