@@ -8,24 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slopewatch.functions.common import asof_last
-from slopewatch.operators.evaluate import bootstrap_mean
+from slopewatch.operators.evaluate import bootstrap_means
 from slopewatch.operators.panel import NODE, stage_columns
 
 SAMPLE = ["site_id", "start"]
 
 
-def sample_context(samples: DataFrame, events: DataFrame, risk: DataFrame, coefficients: Sequence[float] = (10.0, 1.0, -5.0), lookback: int = 60) -> DataFrame:
-    """(site_id, start, spell_days, wetness, gate) of each sample by the latest event up to its origin.
+def sample_context(samples: DataFrame, events: DataFrame, risk: DataFrame | None = None, coefficients: Sequence[float] = (10.0, 1.0, -5.0), lookback: int = 60, keep: Sequence[str] = ()) -> DataFrame:
+    """(site_id, start, spell_days, wetness, gate, keep) of each sample by the latest event up to its origin.
 
-    events: site_id, date, event_id, spell_days, antecedent_wetness_index; risk: site_id, start, risk. Samples without an
-    event in the `lookback` days before have a spell of 0 days and no wetness. The gate is logistic in risk and wetness.
+    events: site_id, date, event_id, spell_days, antecedent_wetness_index; risk: site_id, start, risk, or None if samples
+    have it; `keep` names their columns that stay. Samples without an event in the `lookback` days before have a spell of
+    0 days and no wetness. The gate is logistic in risk and wetness.
     """
-    d = asof_last(samples.select(*SAMPLE, "origin_date"), events, ["site_id"], "origin_date", "date", ["spell_days", "antecedent_wetness_index"], ["event_id"])
+    own = [*keep] if risk is not None else [*keep, "risk"]
+    d = asof_last(samples.select(*SAMPLE, "origin_date", *own), events, ["site_id"], "origin_date", "date", ["spell_days", "antecedent_wetness_index"], ["event_id"])
     ok = F.coalesce(F.datediff("origin_date", "asof_date") <= lookback, F.lit(False))
-    d = d.select(*SAMPLE, F.when(ok, F.col("asof_spell_days")).otherwise(0).alias("spell_days"), F.when(ok, F.col("asof_antecedent_wetness_index")).otherwise(0.0).alias("wetness"))
+    d = d.select(*SAMPLE, *own, F.when(ok, F.col("asof_spell_days")).otherwise(0).alias("spell_days"), F.when(ok, F.col("asof_antecedent_wetness_index")).otherwise(0.0).alias("wetness"))
     a, b, c = coefficients
     linear = a * F.coalesce("risk", F.lit(0.0)) + b * F.col("wetness") + c
-    return d.join(risk, SAMPLE, "left").select(*SAMPLE, "spell_days", "wetness", (1 / (1 + F.exp(-linear))).alias("gate"))
+    d = d if risk is None else d.join(risk, SAMPLE, "left")
+    return d.select(*SAMPLE, "spell_days", "wetness", (1 / (1 + F.exp(-linear))).alias("gate"), *keep)
 
 
 def audit_segments(is_fallback: Column, gate: Column, spell_days: Column, wetness: Column) -> Column:
@@ -42,21 +45,42 @@ def audit_segments(is_fallback: Column, gate: Column, spell_days: Column, wetnes
     return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
 
 
+METRICS = ("global_mae", "rain_sensitive_mae", "h5_rain_sensitive_mae")
+
+
+def sample_errors(cells: DataFrame, scopes: DataFrame, models: Sequence[str], by: Sequence[str], *more: Column) -> DataFrame:
+    """(by, the metrics, more): a sample's mean absolute errors, each an array in the order of the models; `more` aggregates all its cells.
+
+    cells: site_id, start, horizon, node_index, y_true and a column for each model. A node has its scopes in one row.
+    """
+    count = lambda scope: F.count(F.when(F.col("scope") == scope, 1))
+    nodes = scopes.where("scope in ('all', 'rain_sensitive')").groupBy(*NODE).agg(count("all").alias("_all"), count("rain_sensitive").alias("_sensitive"))
+    d = cells.join(nodes.hint("merge"), NODE, "left")
+
+    def mean(m: str, n: Column) -> Column:
+        e, n = F.abs(F.col(m) - F.col("y_true")), F.when(n > 0, n)
+        return F.sum(e * n) / F.sum(F.when(e.isNotNull(), n))
+
+    times = dict(zip(METRICS, (F.col("_all"), F.col("_sensitive"), F.when(F.col("horizon") == 5, F.col("_sensitive"))), strict=True))
+    return d.groupBy(*by).agg(*[F.array(*[mean(m, n) for m in models]).alias(k) for k, n in times.items()], *more)
+
+
 def segment_audit(cells: DataFrame, scopes: DataFrame, context: DataFrame, draws: int = 100) -> DataFrame:
-    """(model, seed, segment, metric, n, mean, lo, hi): means of the samples' errors in each segment, with a 90 % interval.
+    """segment_means() of cells with a row for each model: site_id, start, horizon, node_index, seed, model, is_fallback, y_true, y_pred."""
+    s = sample_errors(cells, scopes, ["y_pred"], ["model", "seed", *SAMPLE, "is_fallback"]).join(context, SAMPLE)
+    return segment_means(s, ["model", "seed"], ["y_pred"], draws).drop("value")
+
+
+def segment_means(samples: DataFrame, by: Sequence[str], models: Sequence[str], draws: int = 100) -> DataFrame:
+    """(by, segment, metric, value: the model, n, mean, lo, hi): means of the samples' errors in each segment, with a 90 % interval.
 
-    cells: site_id, start, horizon, node_index, seed, model, is_fallback, y_true, y_pred. Metrics: global_mae,
-    rain_sensitive_mae, h5_rain_sensitive_mae; a sample whose site has no sensitive node counts for the first only.
+    samples: sample_errors() with by, is_fallback and the sample_context(). Metrics: global_mae, rain_sensitive_mae,
+    h5_rain_sensitive_mae; a sample whose site has no sensitive node counts for the first only.
     """
-    d = cells.join(scopes.where("scope in ('all', 'rain_sensitive')"), NODE).withColumn("e", F.abs(F.col("y_pred") - F.col("y_true")))
-    mean = lambda rule: F.avg(F.when(rule, F.col("e")))
-    sensitive = F.col("scope") == "rain_sensitive"
-    metrics = {"global_mae": mean(F.col("scope") == "all"), "rain_sensitive_mae": mean(sensitive), "h5_rain_sensitive_mae": mean(sensitive & (F.col("horizon") == 5))}
-    s = d.groupBy("model", "seed", *SAMPLE, "is_fallback").agg(*[c.alias(n) for n, c in metrics.items()]).join(context, SAMPLE)
-    s = s.withColumn("segment", F.explode(audit_segments(F.col("is_fallback"), F.col("gate"), F.col("spell_days"), F.col("wetness"))))
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("e")) for n in metrics]))
-    s = s.select("model", "seed", "segment", *SAMPLE, each.alias("x")).select("model", "seed", "segment", *SAMPLE, "x.*").where("e is not null")
-    return bootstrap_mean(s, ["model", "seed", "segment", "metric"], "e", SAMPLE, draws)
+    s = samples.withColumn("segment", F.explode(audit_segments(F.col("is_fallback"), F.col("gate"), F.col("spell_days"), F.col("wetness"))))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("e")) for n in METRICS]))
+    s = s.select(*by, "segment", *SAMPLE, each.alias("x")).select(*by, "segment", "x.metric", *SAMPLE, *[F.col("x.e")[k].alias(m) for k, m in enumerate(models)])
+    return bootstrap_means(s.where(F.coalesce(*models).isNotNull()), [*by, "segment", "metric"], models, SAMPLE, draws)
 
 
 def event_samples(aligned: DataFrame, samples: DataFrame, flags: Sequence[str], n_his: int) -> DataFrame:

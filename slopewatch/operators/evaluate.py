@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +84,63 @@ def bootstrap_mean(d: DataFrame, by: Sequence[str], value: str, order: Sequence[
     return n.join(spread, list(by), "left").select(*by, F.col("_n").alias("n"), "mean", F.coalesce("lo", "mean").alias("lo"), F.coalesce("hi", "mean").alias("hi"))
 
 
+def bootstrap_means(d: DataFrame, by: Sequence[str], values: Sequence[str], order: Sequence[str], draws: int = 100, seed: int = 7) -> DataFrame:
+    """(by, value, n, mean, lo, hi): bootstrap_mean() of each column of `values` over its known rows, for large groups.
+
+    A group's rows come to a task in their order and stay there as plain numbers, 8 bytes a value; a draw is a sum over
+    them, never rows. Columns that are known for equally many rows share their draws.
+    """
+    kinds = dict(d.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in by) + ", value string, n long, mean double, lo double, hi double"
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def rows() -> pa.RecordBatch:
+            known = {v: np.concatenate([x[i][m[i]] for x, m in held]) for i, v in enumerate(values)}
+            known = {v: x for v, x in known.items() if len(x)}
+            means = resampled_means(list(known.values()), draws, seed)
+            cols = [pa.array([k.as_py()] * len(known), k.type) for k in key]
+            numbers = [[len(x) for x in known.values()], [float(x.mean()) for x in known.values()]]
+            bounds = [np.quantile(m, (0.05, 0.95)).tolist() if len(m) else [x.mean()] * 2 for m, x in zip(means, known.values(), strict=True)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(list(known), pa.string()), pa.array(numbers[0], pa.int64()), *[pa.array(x, pa.float64()) for x in (numbers[1], *zip(*bounds, strict=True))]], names=[*by, "value", "n", "mean", "lo", "hi"])
+
+        for batch in batches:
+            k = [batch.column(i) for i in range(len(by))]
+            x = np.stack([batch.column(len(by) + i).to_numpy(zero_copy_only=False) for i in range(len(values))]).astype(float)
+            known = np.stack([np.asarray(batch.column(len(by) + i).is_valid()) for i in range(len(values))])
+            ids = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in k]
+            first = np.flatnonzero(np.concatenate([[True], np.any([i[1:] != i[:-1] for i in ids], axis=0)])) if batch.num_rows else []
+            for a, b in zip(first, [*first[1:], batch.num_rows], strict=True):
+                now = [c[int(a)] for c in k]
+                if key is not None and [c.as_py() for c in now] != [c.as_py() for c in key]:
+                    yield rows()
+                    held = []
+                key = now
+                held.append((x[:, a:b], known[:, a:b]))
+        if held:
+            yield rows()
+
+    s = d.select(*by, *order, *[F.col(v).cast("double").alias(v) for v in values]).repartition(*by).sortWithinPartitions(*by, *order)
+    return s.select(*by, *values).mapInArrow(task, schema)
+
+
+def resampled_means(values: Sequence[np.ndarray], draws: int, seed: int, block: int = 1 << 20) -> list[np.ndarray]:
+    """The means of each array's drawn items, one for each draw; none of fewer than five. Arrays of a length share their draws."""
+    out = [np.zeros(draws if len(x) >= 5 else 0) for x in values]
+    for n in {len(x) for x in values if len(x) >= 5}:
+        same = [i for i, x in enumerate(values) if len(x) == n]
+        for first in range(0, n, block):
+            item = np.arange(first, min(first + block, n), dtype=np.int64)
+            for b in range(draws):
+                at = drawn(np.int64(b), item, seed, n)
+                for i in same:
+                    out[i][b] += values[i][at].sum()
+        for i in same:
+            out[i] /= n
+    return out
+
+
 def average_ranks(d: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """Ranks from 1, ties share their mean."""
     w = Window.partitionBy(*by)

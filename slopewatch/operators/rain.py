@@ -142,8 +142,12 @@ def label_response(events: DataFrame, change_points: DataFrame, active: DataFram
     )
 
 
+#: What the wetness index is the mean of.
+WETNESS = ("pre15_rain_sum", "pre30_rain_sum", "pre60_rain_sum", "pre60_p90_days", "max_roll30_before")
+
+
 def wetness_index(events: DataFrame) -> DataFrame:
-    parts = ["pre15_rain_sum", "pre30_rain_sum", "pre60_rain_sum", "pre60_p90_days", "max_roll30_before"]
+    parts = list(WETNESS)
     d = robust_scales(events, SITE, parts)
     return d.withColumn("antecedent_wetness_index", sum((F.col(f"scaled_{c}") for c in parts[1:]), F.col(f"scaled_{parts[0]}")) / 5.0).drop(*[f"scaled_{c}" for c in parts])
 
