@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopewatch.functions.common import draw, drawn, with_stats
+from slopewatch.functions.common import beside, draw, drawn, with_stats
 
 
 def scopes(susceptibility: DataFrame, q: float = 0.6) -> DataFrame:
@@ -178,74 +178,120 @@ def node_response(events: DataFrame, change_points: DataFrame, nodes: DataFrame,
 
     events: site_id, threshold_level, lag_days, date (windows of lag_days from date on; one change point counts once).
     Returns site_id, threshold_level, lag_days, profile, node_index, observed, baseline, lift, p_value, for all nodes:
-    zero counts count. A site's windows meet its change points in one group, whose drawn windows are never rows: a change
-    point is hit if a window begins on one of the lag_days days before it, or on its own.
+    zero counts count. A site's windows meet its change points and nodes in one group, whose drawn windows are never rows:
+    a change point is hit if a window begins on one of the lag_days days before it, or on its own.
     """
     keys = ["site_id", "threshold_level", "lag_days"]
     day = F.datediff("date", F.lit(first_day).cast("date")).alias("day")
     kinds = dict(events.dtypes) | {f"node_{k}": v for k, v in nodes.dtypes}
-    c = change_points.select(F.col("site_id").alias("_site"), "node_index", "profile", day)
-    columns = [*keys, "profile", "node_index", "observed", "_sum", "_reached"]
+    c = change_points.select(F.col("site_id").alias("_site"), "node_index", "profile", day).where("profile is not null and day is not null")
+    c = c.unionByName(nodes.select(F.col("site_id").alias("_site"), "node_index"), allowMissingColumns=True).where("_site is not null and node_index is not null")
+    kind = "int64" if kinds["node_node_index"] in ("bigint", "int", "smallint", "tinyint") else "object"
+    counts = ["observed", "_sum", "_reached"]
+    columns = [*keys, "profile", "node_index", *counts]
+    profiles = ["strict", "medium"]
 
     def task(key, e, c):
-        c = c.sort_values(["profile", "node_index"], kind="stable")
-        if not len(c):
+        listed = c["profile"].isna().to_numpy()
+        own, c = c["node_index"][listed].to_numpy().astype(kind), c[~listed]
+        if not len(e) or not len(own):
             return pd.DataFrame(columns=columns)
-        found = [pd.DataFrame(drawn_hits(g["day"].to_numpy(), c, int(k[1]), days, permutations, seed)).assign(site_id=key[0], threshold_level=k[0], lag_days=k[1]) for k, g in e.groupby(keys[1:], sort=False)]
-        return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
+        # places of the change points among profiles and nodes, of which only those that are listed count
+        node, order = np.unique(own), np.argsort(own, kind="stable")
+        at = c["node_index"].to_numpy().astype(kind)
+        place, profile = np.searchsorted(node, at), c["profile"].map({n: k for k, n in enumerate(profiles)}).to_numpy(float)
+        known = (node[np.minimum(place, len(node) - 1)] == at) & ~np.isnan(profile)
+        group, days_hit = (profile[known] * len(node) + place[known]).astype(np.int64), c["day"].to_numpy(np.int64)[known]
+        sort = np.argsort(group, kind="stable")
+        group, days_hit = group[sort], days_hit[sort]
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        level, names = pd.factorize(e["threshold_level"])
+        lag, begins = e["lag_days"].to_numpy(np.int64), e["day"].to_numpy(np.int64)
+        rows = []
+        for k in np.unique(lag):
+            there = lag == k
+            which = [i for i in range(len(names)) if (there & (level == i)).any()]
+            found = hits_of_groups([begins[there & (level == i)] for i in which], days_hit, first, int(k), days, permutations, seed)
+            for i, f in zip(which, zip(*found, strict=True), strict=True):
+                # nodes without a change point: no hits, and no fewer in all permutations
+                table = np.repeat([[0], [0], [permutations]], len(profiles) * len(node), axis=1)
+                table[:, group[first]] = f
+                rows.append((names[i], int(k), table.reshape(3, len(profiles), -1)[:, :, np.searchsorted(node, own)].reshape(3, -1)))
+        n = len(profiles) * len(own)
+        numbers = np.concatenate([r[2] for r in rows], axis=1)
+        labels = {"site_id": key[0], "threshold_level": np.repeat(np.array([r[0] for r in rows], object), n), "lag_days": np.repeat([r[1] for r in rows], n)}
+        return pd.DataFrame(labels | {"profile": np.tile(np.repeat(np.array(profiles, object), len(own)), len(rows)), "node_index": np.tile(own, len(profiles) * len(rows))} | dict(zip(counts, numbers, strict=True)))[columns]
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", profile string, node_index {kinds['node_node_index']}, observed long, _sum long, _reached long"
-    g = events.select(*keys, day).groupBy("site_id").cogroup(c.groupBy("_site")).applyInPandas(task, schema)
-    grid = events.select(*keys).distinct().join(nodes.select("site_id", "node_index"), "site_id").join(F.broadcast(change_points.sparkSession.range(1).select(F.explode(F.array(F.lit("strict"), F.lit("medium"))).alias("profile"))))
-    d = grid.join(g, [*keys, "profile", "node_index"], "left").fillna({"observed": 0, "_sum": 0, "_reached": permutations})
+    e = events.select(*keys, day).where("site_id is not null and threshold_level is not null and lag_days is not null and day is not null")
+    d = e.groupBy("site_id").cogroup(c.groupBy("_site")).applyInPandas(task, schema)
     base = F.col("_sum") / permutations
     return d.select(*keys, "profile", "node_index", "observed", base.alias("baseline"), (F.col("observed") / F.greatest(base, F.lit(1e-6))).alias("lift"), ((F.col("_reached") + 1) / (permutations + 1)).alias("p_value"))
 
 
-@lru_cache(maxsize=512)
-def drawn_days(n: int, lag: int, days: int, permutations: int, seed: int) -> np.ndarray:
-    """For each day and, in bits, each permutation whether one of its n drawn windows holds that day. They are the same for
-    all groups of n windows, and take some 100 KB for 300 permutations of seven years."""
+@lru_cache(maxsize=64)
+def drawn_days(most: int, lag: int, days: int, permutations: int, seed: int) -> np.ndarray:
+    """For each day and permutation the first of its `most` drawn windows that holds the day, from 1; `most` + 1 if none does.
+
+    Drawn windows don't depend on how many are drawn, so the days that n of them hold are those whose first is at most n.
+    A row more stands for days that no window can hold. A table of 300 permutations of seven years takes 1.5 MB.
+    """
     span = days - lag
-    perm, item = np.arange(1, permutations + 1)[:, None], np.arange(1, n + 1)[None, :]
-    at = drawn(perm, item, seed, span) + (perm - 1) * span
-    upto = np.zeros((permutations, span + 1), np.int32)
-    np.cumsum(np.bincount(at.ravel(), minlength=permutations * span).reshape(permutations, span), axis=1, out=upto[:, 1:])
-    day = np.arange(days)
-    return np.packbits((upto[:, np.clip(day + 1, 0, span)] > upto[:, np.clip(day - lag, 0, span)]).T, axis=1)
+    perm, item = np.arange(1, permutations + 1)[:, None], np.arange(1, most + 1)[None, :]
+    at = drawn(perm, item, seed, span)
+    first = np.full((permutations, days + 1), most + 1, np.uint16 if most < 65_535 else np.int64)
+    np.minimum.at(first, (perm - 1, at), item.astype(first.dtype))
+    width = 1
+    while width <= lag:  # the least of the days up to `lag` before, by doubling
+        step = min(width, lag + 1 - width)
+        first[:, step:days] = np.minimum(first[:, step:days], first[:, : days - step])
+        width += step
+    return np.ascontiguousarray(first.T)
+
+
+def hits_of_groups(begins: Sequence[np.ndarray], day: np.ndarray, first: np.ndarray, lag: int, days: int, permutations: int, seed: int, block: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each list of windows' first days and each group of change points, which begin at the places `first` of `day`:
+    change points hit, hits of as many drawn windows over all permutations, and in how many permutations these are as many."""
+    ends = np.append(first[1:], len(day))
+    drawn_on = {len(b): drawn_days(1 << max(6, (len(b) - 1).bit_length()), lag, days, permutations, seed) for b in begins}
+    inside = np.where((day >= 0) & (day < days), day, days)  # no drawn window holds other days
+    observed, total, reached = np.zeros((3, len(begins), len(first)), np.int64)
+    longest = int((ends - first).max(initial=0))
+    small = np.uint8 if longest < 256 else np.uint16 if longest < 65_536 else np.int64
+    for k, b in enumerate(begins):
+        b = np.sort(b)
+        own = np.searchsorted(b, day, "right") > np.searchsorted(b, day - lag, "left")
+        observed[k] = np.add.reduceat(own, first, dtype=np.int64) if len(first) else 0
+    i = 0
+    while i < len(first):  # whole groups, about `block` change points at once
+        j = max(i + 1, int(np.searchsorted(ends, first[i] + block, "right")))
+        part = slice(first[i], ends[j - 1])
+        rows = {id(t): t[inside[part]] for t in drawn_on.values()}
+        for k, b in enumerate(begins):
+            hit = (rows[id(drawn_on[len(b)])] <= len(b)).view(np.uint8)
+            hits = np.add.reduceat(hit, first[i:j] - first[i], axis=0, dtype=small)
+            total[k, i:j], reached[k, i:j] = hits.sum(axis=1, dtype=np.int64), (hits >= observed[k, i:j, None].astype(small)).sum(axis=1)
+        i = j
+    return observed, total, reached
 
 
 def drawn_hits(begins: np.ndarray, c: pd.DataFrame, lag: int, days: int, permutations: int, seed: int, block: int = 20_000) -> dict[str, np.ndarray]:
-    """Of each profile and node of c (day, profile, node_index): change points hit by the windows that begin on the days
-    `begins`, hits by as many drawn windows over all permutations, and in how many permutations these are as many."""
+    """hits_of_groups() of each profile and node of c (day, profile, node_index), for the windows that begin on the days `begins`."""
     c = c.sort_values(["profile", "node_index"], kind="stable")
-    begins = np.sort(begins)
-    drawn_on = drawn_days(len(begins), lag, days, permutations, seed)
-    day = c["day"].to_numpy()
-    own = np.searchsorted(begins, day, "right") > np.searchsorted(begins, day - lag, "left")
     first = np.flatnonzero(~c.duplicated(["profile", "node_index"]).to_numpy())
-    ends = np.append(first[1:], len(c))
-    out = {"profile": c["profile"].to_numpy()[first], "node_index": c["node_index"].to_numpy()[first], "observed": np.zeros(len(first), np.int64), "_sum": np.zeros(len(first), np.int64), "_reached": np.zeros(len(first), np.int64)}
-    i = 0
-    while i < len(first):  # whole nodes, about `block` change points at once
-        j = max(i + 1, int(np.searchsorted(ends, first[i] + block, "right")))
-        part = slice(first[i], ends[j - 1])
-        inside = (day[part] >= 0) & (day[part] < days)  # no drawn window holds other days
-        hit = np.unpackbits(drawn_on[np.where(inside, day[part], 0)], axis=1, count=permutations) * inside[:, None].astype(np.uint8)
-        hits = np.add.reduceat(hit, first[i:j] - first[i], axis=0, dtype=np.int64)
-        out["observed"][i:j] = np.add.reduceat(own[part], first[i:j] - first[i], dtype=np.int64)
-        out["_sum"][i:j], out["_reached"][i:j] = hits.sum(axis=1), (hits >= out["observed"][i:j, None]).sum(axis=1)
-        i = j
-    return out
+    found = hits_of_groups([begins], c["day"].to_numpy(), first, lag, days, permutations, seed, block)
+    return {"profile": c["profile"].to_numpy()[first], "node_index": c["node_index"].to_numpy()[first]} | {n: x[0] for n, x in zip(("observed", "_sum", "_reached"), found, strict=True)}
 
 
 def susceptibility_scores(response: DataFrame, nodes: DataFrame) -> DataFrame:
     """(site_id, node_index, rain_susceptibility_dense): mean log lift, mean -log10 p and most hits, each scaled, weighted .45, .35, .20; 0 for nodes without evidence."""
-    hit = F.sum((F.col("p_value") < 0.1).cast("int")).over(Window.partitionBy("site_id", "node_index", "threshold_level", "lag_days"))
-    r = response.withColumn("_h", hit)
-    g = r.groupBy("site_id", "node_index").agg(F.avg(F.log1p(F.greatest("lift", F.lit(0.0)))).alias("a"), F.avg(-F.log10(F.greatest("p_value", F.lit(1e-6)))).alias("b"), F.max("_h").cast("double").alias("c"))
+    lift, p = F.log1p(F.greatest("lift", F.lit(0.0))), -F.log10(F.greatest("p_value", F.lit(1e-6)))
+    # the windows' sums first, then the node's; one pass over the response
+    sums = {f"{k}{n}": f(x) for n, x in (("a", lift), ("b", p)) for k, f in (("_s", F.sum), ("_n", F.count))}
+    w = response.groupBy("site_id", "node_index", "threshold_level", "lag_days").agg(F.sum((F.col("p_value") < 0.1).cast("int")).alias("_h"), *[x.alias(n) for n, x in sums.items()])
+    g = w.groupBy("site_id", "node_index").agg(*[(F.sum(f"_s{n}") / F.sum(f"_n{n}")).alias(n) for n in "ab"], F.max("_h").cast("double").alias("c"))
     stats = {f"_{k}{c}": (F.min if k == "lo" else F.max)(c) for c in "abc" for k in ("lo", "hi")}
-    d = with_stats(g, ["site_id"], **stats)
+    d = beside(g, ["site_id"], **stats)
     scaled = lambda c: F.when(F.col(f"_hi{c}") - F.col(f"_lo{c}") < 1e-6, 0.0).otherwise((F.col(c) - F.col(f"_lo{c}")) / (F.col(f"_hi{c}") - F.col(f"_lo{c}")))
     d = d.select("site_id", "node_index", (0.45 * scaled("a") + 0.35 * scaled("b") + 0.20 * scaled("c")).alias("_v"))
     return nodes.select("site_id", "node_index").join(d, ["site_id", "node_index"], "left").select("site_id", "node_index", F.coalesce("_v", F.lit(0.0)).alias("rain_susceptibility_dense"))
