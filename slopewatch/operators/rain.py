@@ -193,13 +193,20 @@ def align_rain(rain: DataFrame, acquisitions: DataFrame, has: Sequence[str] = ()
 
     rain: site_id, date, rain_mm and, if named in `has`, hydrological columns. acquisitions: site_id, date.
     """
-    sums = {f"rain_{n}d": F.sum("rain_mm").over(_rows(-(n - 1), 0)) for n in (3, 7, 15, 30)} | {"rain_0d": F.col("rain_mm")}
-    tops = {f"_max{n}": F.max("rain_mm").over(_rows(-(n - 1), 0)) for n in (3, 7, 15)}
+    # sums and maxima of long windows are put together from those of shorter ones, as in rain_background()
+    w = Window.partitionBy("site_id").orderBy("date")
+    plus = lambda c, *ns: sum((F.coalesce(F.lag(c, n).over(w), F.lit(0.0)) for n in ns), F.coalesce(F.col(c), F.lit(0.0)))
+    most = lambda c, *ns: F.greatest(c, *[F.lag(c, n).over(w) for n in ns])
+    d = rain.withColumns({"rain_0d": F.col("rain_mm"), "_sum3": plus("rain_mm", 1, 2), "_max3": most("rain_mm", 1, 2), "_cum": F.sum("rain_mm").over(_rows(Window.unboundedPreceding, 0))})
+    d = d.withColumns({"_sum7": plus("_sum3", 3) + F.coalesce(F.lag("rain_mm", 6).over(w), F.lit(0.0)), "_max7": most("_max3", 3, 4), "_sum15": plus("_sum3", 3, 6, 9, 12)})
+    d = d.withColumns({"_max15": most("_max7", 7, 8), "_sum30": plus("_sum15", 15)}).withColumn("_max30", most("_max15", 15))
+    d = d.withColumns({f"rain_{n}d": F.when(F.col(f"_max{n}").isNotNull(), F.col(f"_sum{n}")) for n in (3, 7, 15, 30)})  # null where no day is known
+    d = d.drop("_max30", *[f"_sum{n}" for n in (3, 7, 15, 30)])
     back = _rows(-44, 0)
     ages = F.collect_list("rain_mm").over(back)
     indexed = lambda f: F.aggregate(F.transform(F.reverse("_window"), f), F.lit(0.0), lambda a, x: a + x)
-    d = rain.withColumns(sums | tops | {"_window": ages, "_cum": F.sum("rain_mm").over(_rows(Window.unboundedPreceding, 0))})
-    d = with_stats(d, SITE, _p90=positive_quantile("rain_mm", 0.9), _p95=positive_quantile("rain_mm", 0.95), _q95=quantile("rain_mm", 0.95), _med=quantile("rain_30d", 0.5))
+    d = beside(d, SITE, _p90=positive_quantile("rain_mm", 0.9), _p95=positive_quantile("rain_mm", 0.95), _q95=quantile("rain_mm", 0.95), _med=quantile("rain_30d", 0.5))
+    d = d.withColumn("_window", ages)
     if "soil_moisture" in has:
         d = d.withColumn("_soil", F.avg("soil_moisture").over(_rows(-29, 0)))
         d = with_stats(d, SITE, _sm=F.avg("soil_moisture"), _ss=F.stddev_pop("soil_moisture"))

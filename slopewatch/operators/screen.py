@@ -40,10 +40,16 @@ def motion_responses(panel: DataFrame, scopes: DataFrame) -> DataFrame:
 
 def centred_ranks(x: np.ndarray) -> np.ndarray:
     """Twice the average ranks of each column, less their mean: whole numbers, as ties share a half at most."""
+    n = len(x)
+    order = np.argsort(x, axis=0, kind="stable")
+    v = np.take_along_axis(x, order, 0)
+    place = np.arange(n)[:, None]
+    new = np.ones((n + 1, x.shape[1]), bool)  # where a value begins
+    new[1:n] = (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))
+    first = np.maximum.accumulate(np.where(new[:n], place, 0), axis=0)
+    last = np.minimum.accumulate(np.where(new[1:], place, n)[::-1], axis=0)[::-1]
     out = np.empty(x.shape)
-    for k in range(x.shape[1]):
-        _, place, count = np.unique(x[:, k], return_inverse=True, return_counts=True)
-        out[:, k] = (2 * np.cumsum(count) - count + 1)[place] - (len(x) + 1)
+    np.put_along_axis(out, order, first + last + 1.0 - n, 0)
     return out
 
 
@@ -56,21 +62,28 @@ def drawn_orders(n: int, permutations: range, seed: int) -> np.ndarray:
 
 def rank_screen(x: np.ndarray, y: np.ndarray, permutations: int, seed: int, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spearman's rho of y with each column of x and (#{|permuted| >= |rho|} + 1) / (permutations + 1); NaN where either is constant. ranks: centred_ranks(x), if known."""
-    a, b = centred_ranks(x) if ranks is None else ranks, centred_ranks(y[:, None])[:, 0]
-    own, reached = b @ a, np.zeros(x.shape[1], np.int64)
-    step = max(1, BLOCK // max(len(y), 1))
+    rho, p = rank_screens(x, y[:, None], permutations, seed, ranks)
+    return rho[0], p[0]
+
+
+def rank_screens(x: np.ndarray, y: np.ndarray, permutations: int, seed: int, ranks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """rank_screen() of each column of y, which all take the same orders: a row for each."""
+    a, b = centred_ranks(x) if ranks is None else ranks, np.ascontiguousarray(centred_ranks(y).T)
+    own, reached = b @ a, np.zeros((y.shape[1], x.shape[1]), np.int64)
+    step = max(1, BLOCK // max(y.size, 1))
     for first in range(1, permutations + 1, step):
         orders = drawn_orders(len(y), range(first, min(first + step, permutations + 1)), seed)
-        reached += (np.abs(b[orders] @ a) >= np.abs(own)).sum(0)
-    size = np.sqrt((a**2).sum(0) * (b**2).sum())
-    known = (size > 0) & (x.std(0) >= 1e-9) & (y.std() >= 1e-9)
+        reached += (np.abs(b[:, orders] @ a) >= np.abs(own)[:, None, :]).sum(1)
+    size = np.sqrt((a**2).sum(0) * (b**2).sum(1)[:, None])
+    known = (size > 0) & (x.std(0) >= 1e-9) & (y.std(0) >= 1e-9)[:, None]
     return np.where(known, own / np.where(size > 0, size, 1), np.nan), np.where(known, (reached + 1) / (permutations + 1), np.nan)
 
 
 def contrasts(x: np.ndarray, y: np.ndarray, high: float = 0.9, low: float = 0.5, parts: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The means of y where each column of x is at least its high quantile, and where it is at most its low one. parts: high_low(x), if known."""
+    """The means of y where each column of x is at least its high quantile, and where it is at most its low one; a row for each
+    column of y if it has columns. parts: high_low(x), if known."""
     above, below = high_low(x, high, low) if parts is None else parts
-    return (above * y[:, None]).sum(0) / above.sum(0), (below * y[:, None]).sum(0) / below.sum(0)
+    return tuple(y.T @ k.astype(float) / k.sum(0) for k in (above, below))
 
 
 def high_low(x: np.ndarray, high: float = 0.9, low: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
@@ -88,38 +101,46 @@ def lag_screen(features: DataFrame, names: Sequence[str], responses: DataFrame,
     either side is constant, lift where the low mean isn't above 1e-9. A site's two tables have a row for each
     acquisition (and scope), not for each node, and meet in one task.
     """
-    names, lags = list(names), [int(k) for k in lags]
+    names, lags, kept = list(names), [int(k) for k in lags], ["rho", "p", "high", "low"]
     kind = dict(responses.dtypes)["site_id"]
 
     def task(key, f: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         times = f["t"].to_numpy()
         order = np.argsort(times, kind="stable")
         times, values = times[order], f[names].fillna(0.0).to_numpy(float)[order]
-        out, ranks = [], {}  # the responses mostly share their times, and so the ranks of the features
-        for (scope, response), g in r.dropna(subset=["y"]).sort_values("t").groupby(["scope", "response"], sort=True):
-            at, y = g["t"].to_numpy(), g["y"].to_numpy(float)
+        r = r.dropna(subset=["scope", "response", "y"])
+        (scope, scopes), (response, kinds) = pd.factorize(r["scope"]), pd.factorize(r["response"])
+        group, at, y = scope * len(kinds) + response, r["t"].to_numpy(), r["y"].to_numpy(float)
+        order = np.lexsort((at, group))
+        group, at, y = group[order], at[order], y[order]
+        alike = {}  # the responses mostly share their times, and so the ranks of the features
+        for part in np.split(np.arange(len(group)), np.flatnonzero(np.diff(group)) + 1) if len(group) else []:
+            alike.setdefault(at[part].tobytes(), []).append(part)
+        out = []
+        for parts in alike.values():
+            t, z, which = at[parts[0]], np.stack([y[p] for p in parts], axis=1), group[[p[0] for p in parts]]
             for lag in lags if len(times) else []:
-                where = np.minimum(np.searchsorted(times, at - lag), len(times) - 1)
-                met = times[where] == at - lag
+                where = np.minimum(np.searchsorted(times, t - lag), len(times) - 1)
+                met = times[where] == t - lag
                 if met.sum() < least:
                     continue
-                x, z = values[where[met]], y[met]
-                same = lag, at[met].tobytes()
-                if same not in ranks:
-                    ranks[same] = centred_ranks(x), high_low(x)
-                rho, p = rank_screen(x, z, permutations, seed, ranks[same][0])
-                high, low = contrasts(x, z, parts=ranks[same][1])
-                out.append(((scope, response, lag, int(met.sum())), (rho, p, high, low)))
+                x = values[where[met]]
+                found = [*rank_screens(x, z[met], permutations, seed), *contrasts(x, z[met])]
+                out.append((which, np.full(len(which), lag), np.full(len(which), met.sum()), np.stack(found)))
         if not out:
-            return pd.DataFrame(columns=["site_id", "scope", "response", "lag", "feature", "n", "rho", "p", "high", "low"])
-        labels = {c: np.repeat(np.array(v, object if isinstance(v[0], str) else np.int64), len(names)) for c, v in zip(("scope", "response", "lag", "n"), zip(*[a for a, _ in out], strict=True), strict=True)}
-        numbers = {c: np.concatenate(v) for c, v in zip(("rho", "p", "high", "low"), zip(*[b for _, b in out], strict=True), strict=True)}
-        return pd.DataFrame({"site_id": key[0], "scope": labels["scope"], "response": labels["response"], "lag": labels["lag"], "feature": names * len(out), "n": labels["n"], **numbers})
+            return pd.DataFrame(columns=["site_id", "scope", "response", "lag", "n", *kept])
+        which, lag, n = (np.concatenate([o[k] for o in out]) for k in range(3))
+        labels = {"site_id": key[0], "scope": np.asarray(scopes, object)[which // len(kinds)], "response": np.asarray(kinds, object)[which % len(kinds)], "lag": lag, "n": n}
+        numbers = np.concatenate([o[3] for o in out], axis=1)
+        return pd.DataFrame(labels | {k: list(x) for k, x in zip(kept, numbers, strict=True)})
 
     known = responses.select(F.col("site_id").alias("_site"), "scope", "response", "t", F.col("y").cast("double").alias("y"))
     table = features.select("site_id", "t", *[F.col(n).cast("double").alias(n) for n in names])
-    schema = f"site_id {kind}, scope string, response string, lag int, feature string, n long, rho double, p double, high double, low double"
+    # the features of a combination travel in one row
+    schema = f"site_id {kind}, scope string, response string, lag int, n long, " + ", ".join(f"{k} array<double>" for k in kept)
     d = table.groupBy("site_id").cogroup(known.groupBy("_site")).applyInPandas(task, schema)
+    d = d.select("site_id", "scope", "response", "lag", "n", F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("feature"), *kept)).alias("x"))
+    d = d.select("site_id", "scope", "response", "lag", "x.feature", "n", *[F.col(f"x.{k}").alias(k) for k in kept])
     d = d.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("rho", "p", "high", "low")})
     return d.withColumn("delta", F.col("high") - F.col("low")).withColumn("lift", F.when(F.col("low") > 1e-9, F.col("high") / F.col("low")))
 
