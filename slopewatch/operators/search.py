@@ -253,16 +253,23 @@ def nested_gates(queries: DataFrame, pool: DataFrame, by: Sequence[str], feature
     return d.select(*by, F.col("query").alias("key"), "neighbours", "temperature", "share", mixed.alias("gate"))
 
 
-def teacher_grid(cells: DataFrame, gates: DataFrame, by: Sequence[str], groups: Sequence[str], experts: Sequence[str], selected: str, settings: Sequence[tuple[int, float, float]]) -> DataFrame:
+def teacher_grid(cells: DataFrame, gates: DataFrame | dict[str, DataFrame], by: Sequence[str], groups: Sequence[str], experts: Sequence[str], selected: str, settings: Sequence[tuple], kinds: Sequence[str] = ("neighbours", "temperature", "share")) -> DataFrame:
     """(groups, setting columns, n, baseline_mae, teacher_mae, gain) of mixing the experts by the gates of every setting.
 
-    cells: by, key, groups, y_true and the experts; gates: nested_gates() of all `settings` (neighbours, temperature,
-    share). A sample's gates of all settings travel as one row with the errors of its cells (of some 64 nodes, where
+    cells: by, key, groups, y_true and the experts; gates: nested_gates() of all `settings`, whose columns are `kinds`;
+    or such tables by a name, which is the first of `kinds` then: a sample has gates in all of them.
+    A sample's gates of all settings travel as one row with the errors of its cells (of some 64 nodes, where
     cells name them), so neither is repeated; their errors are added up in one pass. gain: baseline less teacher error.
     """
-    kinds = ["neighbours", "temperature", "share"]
     settings = sorted(settings)
-    packed = gates.groupBy(*by, "key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*kinds, "gate"))), lambda x: x["gate"])).alias("_g"))  # a row's settings
+    named = isinstance(gates, dict)
+    tables = [gates[k] for k in sorted(gates)] if named else [gates]
+    # a row's settings, in their order; each table is packed where it lies
+    pack = lambda g: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*kinds[named:], "gate"))), lambda x: x["gate"]))
+    packed, *more = [g.groupBy(*by, "key").agg(pack(g).alias(f"_g{i}")) for i, g in enumerate(tables)]
+    for g in more:
+        packed = packed.join(g.hint("merge"), [*by, "key"])
+    packed = packed.select(*by, "key", F.concat(*[f"_g{i}" for i in range(len(tables))]).alias("_g"))
     # the truth may be unknown: NaN keeps its place in the list
     rest = F.array(*[F.coalesce(F.col(m) - F.col("y_true"), F.lit(float("nan"))).cast("double") for m in experts])
     nodes = [F.floor(F.col("node_index") / 64).alias("_nodes")] if "node_index" in cells.columns else []
@@ -272,14 +279,15 @@ def teacher_grid(cells: DataFrame, gates: DataFrame, by: Sequence[str], groups:
         count = b["_cells"].to_numpy()
         first = np.concatenate(([0], np.cumsum(count)[:-1]))
         rest = np.ascontiguousarray(np.concatenate(b["_r"].to_list()).reshape(-1, len(experts)).T)
-        g = np.concatenate(b["_g"].to_list()).reshape(len(b), len(settings), len(experts))
+        g = np.ascontiguousarray(np.concatenate(b["_g"].to_list()).reshape(len(b), len(settings), len(experts)).transpose(1, 2, 0))
+        known = np.isfinite(rest).all() and np.isfinite(g).all()
         yield np.add.reduceat(np.nan_to_num(np.abs(rest[list(experts).index(selected)])), first)
-        row = np.repeat(np.arange(len(b)), count)
         for k in range(len(settings)):
-            mixed = g[row, k, 0] * rest[0]
+            mixed = np.repeat(g[k, 0], count) * rest[0]
             for e in range(1, len(experts)):
-                mixed += g[row, k, e] * rest[e]
-            yield np.add.reduceat(np.nan_to_num(np.abs(mixed)), first)
+                mixed += np.repeat(g[k, e], count) * rest[e]
+            np.abs(mixed, out=mixed)
+            yield np.add.reduceat(mixed if known else np.nan_to_num(mixed), first)
 
     d = own.join(packed.hint("merge"), [*by, "key"]).select(*groups, "_cells", "_r", "_g")
     s = summed(d, groups, len(settings) + 1, errors, "_cells").withColumn("mae", F.col("total") / F.col("n"))
