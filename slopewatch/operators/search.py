@@ -234,6 +234,33 @@ def nested_gates(queries: DataFrame, pool: DataFrame, by: Sequence[str], feature
     fewer rows is taken whole). A gate is the softmax of the negative losses over the temperature, mixed with that of
     the pool's mean losses by `share`.
     """
+    d = _losses(queries, pool, by, features, experts, sizes).withColumn("temperature", F.explode(F.array(*[F.lit(float(x)) for x in temperatures])))
+    gate = lambda prefix: _soft_gate(prefix, experts, F.col("temperature"))
+    d = d.withColumns({"_l": gate("l"), "_o": gate("o"), "share": F.explode(F.array(*[F.lit(float(x)) for x in shares]))})
+    mixed = F.zip_with("_l", "_o", lambda a, b: (1 - F.col("share")) * a + F.col("share") * b)
+    return d.select(*by, F.col("query").alias("key"), "neighbours", "temperature", "share", mixed.alias("gate"))
+
+
+def packed_gates(queries: DataFrame, pool: DataFrame, by: Sequence[str], features: Sequence[str], experts: Sequence[str], sizes: Sequence[int], temperatures: Sequence[float], shares: Sequence[float]) -> DataFrame:
+    """(by, key, _g): nested_gates() of a query one after the other, in the order of the settings, which are never rows."""
+    d = _losses(queries, pool, by, features, experts, sizes)
+    temperatures, shares = sorted(map(float, temperatures)), sorted(map(float, shares))
+    d = d.withColumns({f"_{p}{i}": _soft_gate(p, experts, F.lit(x)) for i, x in enumerate(temperatures) for p in "lo"})
+    mix = lambda i, s: F.zip_with(f"_l{i}", f"_o{i}", lambda a, b: (1 - s) * a + s * b)
+    mixed = [mix(i, s) for i in range(len(temperatures)) for s in shares]
+    each = F.struct("neighbours", F.concat(*mixed).alias("g"))
+    return d.groupBy(*by, F.col("query").alias("key")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["g"])).alias("_g"))
+
+
+def _soft_gate(prefix: str, experts: Sequence[str], temperature: Column) -> Column:
+    """The softmax of the negative losses <prefix>_<expert> over the temperature."""
+    least = F.least(*[f"{prefix}_{m}" for m in experts])
+    e = [F.exp((least - F.col(f"{prefix}_{m}")) / temperature) for m in experts]
+    return F.array(*[x / sum(e[1:], e[0]) for x in e])
+
+
+def _losses(queries: DataFrame, pool: DataFrame, by: Sequence[str], features: Sequence[str], experts: Sequence[str], sizes: Sequence[int]) -> DataFrame:
+    """(by, query, neighbours, l_<expert>, o_<expert>): the mean losses of the nearest rows of each size, and of the pool."""
     near = neighbours(queries, pool, by, features, max(sizes))
     lost = pool.select(*by, F.col("key").alias("neighbour"), *[f"l_{m}" for m in experts])
     w = Window.partitionBy(*by, "query").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -241,23 +268,14 @@ def nested_gates(queries: DataFrame, pool: DataFrame, by: Sequence[str], feature
     size = F.explode(F.array(*[F.lit(int(s)) for s in sizes]))
     run = run.withColumn("neighbours", size).where(F.col("rank") == F.least("neighbours", "_have"))
     overall = pool.groupBy(*by).agg(*[F.avg(f"l_{m}").alias(f"o_{m}") for m in experts])
-    d = run.join(overall.hint("merge"), list(by)).withColumn("temperature", F.explode(F.array(*[F.lit(float(x)) for x in temperatures])))
-
-    def gate(prefix: str) -> Column:
-        least = F.least(*[f"{prefix}_{m}" for m in experts])
-        e = [F.exp((least - F.col(f"{prefix}_{m}")) / F.col("temperature")) for m in experts]
-        return F.array(*[x / sum(e[1:], e[0]) for x in e])
-
-    d = d.withColumns({"_l": gate("l"), "_o": gate("o"), "share": F.explode(F.array(*[F.lit(float(x)) for x in shares]))})
-    mixed = F.zip_with("_l", "_o", lambda a, b: (1 - F.col("share")) * a + F.col("share") * b)
-    return d.select(*by, F.col("query").alias("key"), "neighbours", "temperature", "share", mixed.alias("gate"))
+    return run.join(overall.hint("merge"), list(by))
 
 
 def teacher_grid(cells: DataFrame, gates: DataFrame | dict[str, DataFrame], by: Sequence[str], groups: Sequence[str], experts: Sequence[str], selected: str, settings: Sequence[tuple], kinds: Sequence[str] = ("neighbours", "temperature", "share")) -> DataFrame:
     """(groups, setting columns, n, baseline_mae, teacher_mae, gain) of mixing the experts by the gates of every setting.
 
-    cells: by, key, groups, y_true and the experts; gates: nested_gates() of all `settings`, whose columns are `kinds`;
-    or such tables by a name, which is the first of `kinds` then: a sample has gates in all of them.
+    cells: by, key, groups, y_true and the experts; gates: nested_gates() of all `settings`, whose columns are `kinds`,
+    or packed_gates(); or such tables by a name, which is the first of `kinds` then: a sample has gates in all of them.
     A sample's gates of all settings travel as one row with the errors of its cells (of some 64 nodes, where
     cells name them), so neither is repeated; their errors are added up in one pass. gain: baseline less teacher error.
     """
@@ -266,7 +284,7 @@ def teacher_grid(cells: DataFrame, gates: DataFrame | dict[str, DataFrame], by:
     tables = [gates[k] for k in sorted(gates)] if named else [gates]
     # a row's settings, in their order; each table is packed where it lies
     pack = lambda g: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*kinds[named:], "gate"))), lambda x: x["gate"]))
-    packed, *more = [g.groupBy(*by, "key").agg(pack(g).alias(f"_g{i}")) for i, g in enumerate(tables)]
+    packed, *more = [g.withColumnRenamed("_g", f"_g{i}") if "_g" in g.columns else g.groupBy(*by, "key").agg(pack(g).alias(f"_g{i}")) for i, g in enumerate(tables)]
     for g in more:
         packed = packed.join(g.hint("merge"), [*by, "key"])
     packed = packed.select(*by, "key", F.concat(*[f"_g{i}" for i in range(len(tables))]).alias("_g"))

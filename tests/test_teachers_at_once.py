@@ -26,3 +26,15 @@ def test_cells_are_packed_once_and_not_kept(spark, monkeypatch):
     assert len(kept) == 1 and "horizon" not in kept[0]
     assert d._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 2  # the grid and the baseline it is joined with
     assert d.columns[-1] == "feature_group"
+
+
+def test_packed_gates_are_the_nested_ones_in_order(spark):
+    pool = spark.createDataFrame([(s, k, float(k * k % 7), 0.1 * k, 1.0 / (k + 1)) for s in (1, 2) for k in range(6 if s == 1 else 2)], "site_id long, key long, f double, l_a double, l_b double")
+    ask = spark.createDataFrame([(1, 20, 0.5), (1, 21, 3.0), (2, 22, 1.0), (3, 23, 1.0)], "site_id long, key long, f double")
+    how = (["site_id"], ["f"], ["a", "b"], (5, 1, 3), (0.9, 0.3), (0.5, 0.0))
+    rows = search.nested_gates(ask, pool, *how).collect()
+    want = {}
+    for r in sorted(rows, key=lambda r: (r.neighbours, r.temperature, r.share)):
+        want.setdefault((r.site_id, r.key), []).extend(r.gate)
+    got = {(r.site_id, r.key): r._g for r in search.packed_gates(ask, pool, *how).collect()}
+    assert got == want and len(got) == 3 and all(len(g) == 3 * 2 * 2 * 2 for g in got.values())
